@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewater.llm.packing import pack_documents
 from tidewater.llm.quality_rules import quality_rules
 from tidewater.llm.shared import table
 from tidewater.llm.simhash import simhash_groups
+from tidewater.llm.token_orc import token_digest
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,5 +19,13 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op9_quality_rules, op2_simhash)}
+def op4_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digest(table(spark, sf_dir, "documents"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_simhash, op4_token_orc, op7_packing, op9_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}
