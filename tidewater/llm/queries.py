@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewater.llm.labelled import fold
 from tidewater.llm.packing import pack_documents
+from tidewater.llm.quality_classifier import classify_quality
 from tidewater.llm.quality_rules import quality_rules
 from tidewater.llm.shared import table
 from tidewater.llm.simhash import simhash_groups
 from tidewater.llm.token_orc import token_digest
+from tidewater.llm.toxicity import classify_toxicity
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,5 +30,13 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op4_token_orc, op7_packing, op9_quality_rules)}
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold("doc_id", 5) == 0)
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold("doc_id", 3) == 1)
+
+
+QUERIES = {f.__name__: f for f in (op2_simhash, op4_token_orc, op6_toxicity, op7_packing, op9_quality_rules, op10_quality_classifier)}
 ORACLE_SQL: dict[str, str] = {}
