@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewater.llm.gumbel_pieces import sample_segmentations
 from tidewater.llm.labelled import fold
 from tidewater.llm.packing import pack_documents
 from tidewater.llm.quality_classifier import classify_quality
@@ -12,6 +13,15 @@ from tidewater.llm.shared import table
 from tidewater.llm.simhash import simhash_groups
 from tidewater.llm.token_orc import token_digest
 from tidewater.llm.toxicity import classify_toxicity
+from tidewater.llm.unigram import token_counts
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
+def op8_gumbel_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sample_segmentations(table(spark, sf_dir, "documents"))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,5 +48,5 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold("doc_id", 3) == 1)
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op4_token_orc, op6_toxicity, op7_packing, op9_quality_rules, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_simhash, op4_token_orc, op6_toxicity, op7_packing, op8_gumbel_pieces, op9_quality_rules, op10_quality_classifier)}
 ORACLE_SQL: dict[str, str] = {}
