@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewater.llm.cover_tree import near_duplicate_vectors
 from tidewater.llm.gumbel_pieces import sample_segmentations
 from tidewater.llm.labelled import fold
 from tidewater.llm.packing import pack_documents
@@ -40,6 +41,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold("doc_id", 5) == 0)
 
@@ -48,5 +53,5 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold("doc_id", 3) == 1)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_simhash, op4_token_orc, op6_toxicity, op7_packing, op8_gumbel_pieces, op9_quality_rules, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_simhash, op4_token_orc, op5_cover_tree, op6_toxicity, op7_packing, op8_gumbel_pieces, op9_quality_rules, op10_quality_classifier)}
 ORACLE_SQL: dict[str, str] = {}
