@@ -1,6 +1,59 @@
-STAGES = []
+"""From raw documents to packed training sequences: five stages over all rows.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
+as Parquet and read again as the next one's docs.  All but the last return the
+columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewater.llm.labelled import training_rows
+from tidewater.llm.packing import pack_documents
+from tidewater.llm.pii import replace_personal_data
+from tidewater.llm.quality_rules import keep_good
+from tidewater.llm.shared import Scratch, table
+from tidewater.llm.simhash import keep_one
+from tidewater.llm.toxicity import keep_civil, train
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the repetition rules keep."""
+    return keep_good(docs)
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a toxic window; the network learns from a bounded sample of labelled ones among them."""
+    return keep_civil(docs, train(training_rows(docs, table(spark, sf_dir, "labels"), "toxic", F.lit(True))))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return keep_one(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with surrogates for personal data."""
+    return replace_personal_data(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' pieces in their sequences."""
+    return pack_documents(docs)
+
+
+STAGES = [("quality rules", quality), ("toxicity", toxicity), ("near-duplicates", near_duplicates), ("personal data", personal_data), ("packing", packing)]
+
+#: SQL can't express a trained network, nor a tokenizer; the tests hold run() against plain versions of the stages.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over the whole table of documents, each but the last written in the shared folder."""
+    scratch = Scratch(spark, "pipeline")
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = scratch.save(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -8,6 +8,7 @@ from tidewater.llm.cover_tree import near_duplicate_vectors
 from tidewater.llm.gumbel_pieces import sample_segmentations
 from tidewater.llm.labelled import fold
 from tidewater.llm.packing import pack_documents
+from tidewater.llm.pii import replace_personal_data
 from tidewater.llm.quality_classifier import classify_quality
 from tidewater.llm.quality_rules import quality_rules
 from tidewater.llm.shared import table
@@ -33,6 +34,11 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and the text with surrogates, for every row of documents."""
+    return replace_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(table(spark, sf_dir, "documents"))
 
@@ -53,5 +59,5 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold("doc_id", 3) == 1)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_simhash, op4_token_orc, op5_cover_tree, op6_toxicity, op7_packing, op8_gumbel_pieces, op9_quality_rules, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_simhash, op3_pii, op4_token_orc, op5_cover_tree, op6_toxicity, op7_packing, op8_gumbel_pieces, op9_quality_rules, op10_quality_classifier)}
 ORACLE_SQL: dict[str, str] = {}

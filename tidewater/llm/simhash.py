@@ -324,14 +324,20 @@ def simhash_groups(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each near-duplicate group of ``docs``: that with the smallest doc_id, and of equal ones any one.
 
-    All columns stay.  Rows without a doc_id are a group's choice only if it has no other.
+    All columns stay.  Rows without a doc_id are a group's choice only if it has
+    no other; they go by a hash of their text then.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "simhash-keep")
-    groups = scratch.save(simhash_groups(docs, scratch).select("doc_id", "component_id"), "groups")
-    chosen = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(chosen, "doc_id", "left_semi")
-    repeated = groups.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    single = kept.join(repeated, "doc_id", "left_anti")
-    again = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return single.unionByName(again).select(*docs.columns)
+    scratch = Scratch(docs.sparkSession, "simhash-keep")
+    mark = "__tw_key"
+    while mark in docs.columns:
+        mark += "_"
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + F.xxhash64("text").bitwiseAND(F.lit((1 << 61) - 1)))
+    groups = simhash_groups(docs.select(key.alias("doc_id"), "text"), scratch)
+    chosen = groups.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias(mark)).agg(F.count(F.lit(1)).alias("n"))
+    chosen = scratch.save(chosen, "chosen")
+    keyed = docs.withColumn(mark, key)
+    once = keyed.join(chosen.where("n = 1").select(mark), mark, "left_semi").drop(mark)
+    if not chosen.where("n > 1").take(1):
+        return once
+    again = keyed.join(chosen.where("n > 1").select(mark), mark, "left_semi").dropDuplicates([mark]).drop(mark)
+    return once.unionByName(again)
