@@ -439,11 +439,13 @@ class Compiler:
         keys = self.sort_keys(q.order, scope)
         if q.distinct:
             return self.distinct(df, scope, q, items, keys, rids)
-        if keys or q.limit is not None or q.offset:
+        # windows, links and nested results are made of the rows that are left, and deal them anew
+        dealt = any(isinstance(i.expr, (Over, Nested)) or any(isinstance(x, Field) and x.hops for x in walk(i.expr)) for i in items)
+        if q.limit is not None or q.offset or keys and not dealt:
             df = self.sliced(df.orderBy(*keys, *rids), q)
-        return self.projected(df, scope, q, items)
+        return self.projected(df, scope, q, items, [*keys, *rids] if keys and dealt else [])
 
-    def projected(self, df: DataFrame, scope: Scope, q: Query, items: list[Item]) -> Result:
+    def projected(self, df: DataFrame, scope: Scope, q: Query, items: list[Item], order: list[Column]) -> Result:
         df = self.linked(df, scope, items)
         columns = []
         for i in items:
@@ -454,6 +456,9 @@ class Compiler:
             else:
                 t = self.value(i.expr, scope)
             columns.append((self.heading(i, scope, q), t))
+        if order:
+            df = df.withColumns({f"__out{n}": t.col for n, (_, t) in enumerate(columns)}).orderBy(*order)
+            columns = [(name, replace(t, col=F.col(f"__out{n}"))) for n, (name, t) in enumerate(columns)]
         return self.output(df, columns)
 
     def distinct(self, df, scope, q, items, keys, rids) -> Result:
