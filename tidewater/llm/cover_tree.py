@@ -95,6 +95,14 @@ class CoverTree:
                 self.levels[k - 1] = (self.levels[k - 1][0], np.maximum(self.levels[k - 1][1], bound), self.levels[k - 1][2])
         self.parent = owner
 
+    def order(self, rows: np.ndarray) -> np.ndarray:
+        """The rows with those below a node together, at every level."""
+        keys, at = [], self.parent[rows]
+        for _, _, above in reversed(self.levels):
+            keys.append(at)
+            at = above[at]
+        return rows[np.lexsort(keys)]
+
     @staticmethod
     def _alone(x: np.ndarray, radius: float, probes: int = 128) -> float:
         """Share of some vectors that have no other within the radius, and would be centres by themselves."""
@@ -132,7 +140,7 @@ def candidate_pairs(x: np.ndarray, tx: CoverTree, y: np.ndarray, ty: CoverTree,
             alive[np.ix_(own, b)] &= d <= most + rx[own][:, None] + ry[b] + SLACK
     px, py = tx.parent, ty.parent
     rows = np.flatnonzero(alive.any(1)[px])
-    rows = rows[np.argsort(px[rows], kind="stable")]  # those below a node together, so that few columns are left for them
+    rows = tx.order(rows)  # few columns are left for neighbours
     for at in range(0, len(rows), ROWS_AT_ONCE):
         own = rows[at : at + ROWS_AT_ONCE]
         cols = np.flatnonzero(alive[np.unique(px[own])].any(0)[py])
