@@ -60,4 +60,15 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_simhash, op3_pii, op4_token_orc, op5_cover_tree, op6_toxicity, op7_packing, op8_gumbel_pieces, op9_quality_rules, op10_quality_classifier)}
-ORACLE_SQL: dict[str, str] = {}
+#: The other operators hash with XXH64, tokenize or learn, which DuckDB can't; the tests hold them against plain versions.
+ORACLE_SQL: dict[str, str] = {
+    "op5_cover_tree": """
+        WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+        links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v AS x JOIN v AS y ON x.vec_id <> y.vec_id AND list_cosine_similarity(x.e, y.e) >= 0.9),
+        reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM reach AS r JOIN links AS l ON r.b = l.a),
+        least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+        counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+        SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+        FROM v JOIN least ON least.a = vec_id LEFT JOIN counts ON counts.a = vec_id
+    """,
+}
