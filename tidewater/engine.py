@@ -77,15 +77,17 @@ class Prepared:
 class Engine:
     """A catalog in a folder and the session that reads and writes it.
 
-    path: a folder that the driver and all executors share.
+    path: a folder that the driver and all executors share; by default a new
+    one below spark.checkpoint.dir.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None):
         if path is None:
             import tempfile
+            import uuid
 
             root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidewater-")
-            path = f"{root}/store"
+            path = f"{root}/tidewater/store-{uuid.uuid4().hex}"
         spark.conf.set("spark.sql.session.timeZone", "UTC")
         spark.conf.set("spark.sql.caseSensitive", "true")
         spark.conf.set("spark.sql.ansi.enabled", "true")

@@ -110,9 +110,7 @@ def block_link(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stored_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Insert, update, upsert and delete on a stored table, read through a view that they make stale."""
-    import uuid
-
-    e = Engine(spark, f"{Engine(spark).catalog.path}-{uuid.uuid4().hex}")
+    e = Engine(spark)
     e.execute("type T { required unique auto id: int, name: str default \"x\", n: int }")
     e.execute("materialize Big as T filter .n > 15 { .id, .name, .n }")
     e.execute('insert T { n := 10 }, { name := "b", n := 20 }, { name := "c", n := 30 }')
