@@ -9,6 +9,7 @@ is made false.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -33,33 +34,38 @@ class Typed:
 
 @dataclass
 class Dynamic(Typed):
-    """A JSON value: its text, and its tag as Variant names it."""
+    """A JSON value.  col: its text, null for a missing value or a JSON null; raw: the same as it stands in the document."""
 
-    tag: Column = None
+    raw: Column = None
+    is_null: Column = None  # whether it is a JSON null, which only json_type asks
 
     @property
-    def integral(self) -> Column:
-        return ~self.tag.isin("STRING", "BOOLEAN", "VOID") & ~self.nested & self.col.rlike(r"\A-?[0-9]+\z")
+    def is_text(self) -> Column:
+        return self.raw.startswith('"')
 
     @property
     def numeric(self) -> Column:
-        return ~self.tag.isin("STRING", "BOOLEAN", "VOID") & ~self.nested
+        return self.raw.rlike(r"\A-?[0-9]")
 
     @property
     def nested(self) -> Column:
-        return self.tag.rlike("^(OBJECT|ARRAY)")
+        return self.raw.rlike(r"\A[\[{]")
+
+    @property
+    def boolean(self) -> Column:
+        return self.raw.isin("true", "false")
 
     def lane(self, kind: str) -> Column:
-        """The value where it is of the kind, else null; an int is a float too."""
+        """The value where it is of the kind, else null; an int is a float too.  Text is quoted, so no number."""
         if kind == "int":
-            return F.when(self.integral, self.col.try_cast("bigint"))
+            return self.raw.try_cast("bigint")
         if kind == "float":
-            return F.when(self.numeric, self.col.try_cast("double"))
+            return self.raw.try_cast("double")
         if kind == "bool":
-            return F.when(self.tag == "BOOLEAN", self.col.try_cast("boolean"))
+            return F.when(self.raw == "true", F.lit(True)).when(self.raw == "false", F.lit(False))
         if kind == "json":
-            return F.when(self.nested, self.col)
-        return F.when(self.tag == "STRING", self.col)
+            return F.when(self.nested, self.raw)
+        return F.when(self.is_text, self.col)
 
 
 def literal(value, kind: str) -> Typed:
@@ -70,9 +76,11 @@ def literal(value, kind: str) -> Typed:
 
 def dynamic(doc: Column, steps: tuple) -> Dynamic:
     """The value at a path of a canonical document; null where it is missing or a JSON null."""
-    path = "$" + "".join(f"[{s}]" if isinstance(s, int) else f"['{s}']" for s in steps)
-    tag = F.schema_of_variant(F.try_variant_get(F.try_parse_json(doc), path.replace("'", '"') if '"' not in path else path, "variant"))
-    return Dynamic(F.get_json_object(doc, path), "dyn", None, frozenset(), tag)
+    path = "".join(f"[{s}]" if isinstance(s, int) else f"['{s}']" for s in steps)
+    # below a wildcard a single match is written as it stands, with its quotes
+    raw = F.get_json_object(F.concat(F.lit("["), doc, F.lit("]")), "$[*]" + path)
+    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(doc), "$" + path.replace("'", '"'), "variant"))
+    return Dynamic(F.get_json_object(doc, "$" + path), "dyn", None, frozenset(), raw, kind == "VOID")
 
 
 def _nan_safe(col: Column, *floats: Typed) -> Column:
@@ -116,10 +124,11 @@ def compare(op: str, a: Typed, b: Typed, label: str = "") -> Column:
             numbers = compare(op, Typed(a.lane("float"), "float"), Typed(b.lane("float"), "float"))
             same = a.numeric & b.numeric
             texts = {"=": a.col == b.col, "<": a.col < b.col, "<=": a.col <= b.col, ">": a.col > b.col, ">=": a.col >= b.col}[op]
-            return F.when(same, numbers).otherwise((a.tag == b.tag) & texts)
+            alike = (a.is_text & b.is_text) | (a.boolean & b.boolean) | (a.nested & b.nested)
+            return F.when(same, numbers).otherwise(alike & texts)
         if b.kind in ("int", "float"):
             ints, floats = compare(op, Typed(a.lane("int"), "int"), b), compare(op, Typed(a.lane("float"), "float"), b)
-            return F.when(a.integral & a.lane("int").isNotNull(), ints).otherwise(floats)
+            return F.coalesce(ints, floats)
         if b.kind not in ("str", "bool", "json"):
             return F.lit(False)
         return compare(op, Typed(a.lane(b.kind), b.kind), b, label)
@@ -286,10 +295,11 @@ def call(name: str, args: list[Typed]) -> Typed:  # noqa: C901
         return Typed(F.current_timestamp(), "datetime")
     if name == "json_type":
         a = args[0]
-        tag = a.tag if isinstance(a, Dynamic) else F.schema_of_variant(F.try_parse_json(a.col))
-        names = F.when(tag == "VOID", "null").when(tag == "STRING", "string").when(tag == "BOOLEAN", "bool").when(tag.startswith("OBJECT"), "object").when(tag.startswith("ARRAY"), "array")
-        text = a.col
-        return Typed(F.when(tag.isNull(), F.lit(None)).otherwise(F.coalesce(names, F.when(text.rlike(r"\A-?[0-9]+\z"), "int").otherwise("float"))), "str")
+        raw = a.raw if isinstance(a, Dynamic) else a.col
+        kinds = {'"': "string", "t": "bool", "f": "bool", "n": "null", "{": "object", "[": "array"}
+        named = reduce(lambda acc, k: acc.when(raw.startswith(k), kinds[k]), kinds, F)
+        missing = F.when(a.is_null, "null") if isinstance(a, Dynamic) else F.lit(None).cast("string")
+        return Typed(F.when(raw.isNull(), missing).otherwise(named.when(raw.rlike(r"\A-?[0-9]+\z"), "int").otherwise("float")), "str")
     if name == "json_text":
         a = args[0]
         plain = a.col if isinstance(a, Dynamic) else F.coalesce(F.get_json_object(a.col, "$"), a.col)

@@ -237,7 +237,7 @@ class Compiler:
         for e, desc in order:
             t = self.value(e, scope)
             if isinstance(t, Dynamic):
-                rank = F.when(t.col.isNull(), F.lit(None)).when(t.numeric, 0).when(t.tag == "BOOLEAN", 1).when(t.tag == "STRING", 2).otherwise(3)
+                rank = F.when(t.col.isNull(), F.lit(None)).when(t.numeric, 0).when(t.boolean, 1).when(t.is_text, 2).otherwise(3)
                 cols = [rank, t.lane("float"), t.col]
             else:
                 cols = [t.col]
@@ -682,7 +682,7 @@ def json_value(t: Typed) -> Column:
     """A value as JSON text; missing and non-finite as null, times and bytes as strings."""
     text = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"\A\[|\]\z", "")
     if isinstance(t, Dynamic):
-        out = F.when(t.tag == "STRING", text(t.col)).otherwise(t.col)
+        out = t.raw
     elif t.kind == "float":
         out = F.when(F.isnan(t.col) | (F.abs(t.col) == float("inf")), F.lit("null")).otherwise(t.col.cast("string"))
     elif t.kind in ("int", "bool", "json"):
