@@ -30,7 +30,7 @@ from tidewater.llm.unigram import Vocabulary, pre_tokens, vocabulary
 
 SAMPLES, SEED = 3, 17
 #: Characters of the texts whose lattices are in memory together; a longer text is alone.
-CHARS_AT_ONCE = 800_000
+CHARS_AT_ONCE = 1_000_000
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -126,6 +126,9 @@ class Lattices:
             hit = found >= 0
             self.id[inside[hit], k] = found[hit]
             edge[inside[hit], k] = table.score[found[hit]]
+        # no column beyond the longest piece that occurs
+        longest = int(np.flatnonzero((self.id != -1).any(0)).max(initial=0)) + 1
+        self.id, edge = np.ascontiguousarray(self.id[:, :longest]), np.ascontiguousarray(edge[:, :longest])
         # backward sums, nodes with the same distance to the end together
         after = np.zeros(n + longest + 1)
         order = np.argsort(left, kind="stable")
@@ -146,15 +149,13 @@ class Lattices:
             edge[own, m:] = 0
         self.p = edge
         self.upto = np.cumsum(edge, 1, dtype=np.float32)
+        if n:  # rounding mustn't lead beyond the last edge
+            last = longest - 1 - np.argmax(edge[:, ::-1] > 0, axis=1)
+            self.upto[np.arange(longest) >= last[:, None]] = 2
 
     def pick(self, nodes: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge of each node by its probability, as its characters minus one."""
-        k = (self.upto[nodes] <= u[:, None].astype(np.float32)).sum(1)
-        k = np.minimum(k, self.p.shape[1] - 1)
-        bad = self.p[nodes, k] <= 0  # rounding at the upper end
-        if bad.any():
-            k[bad] = self.p[nodes[bad]].argmax(1)
-        return k
+        return (self.upto[nodes] <= u[:, None].astype(np.float32)).sum(1)
 
     def walk(self, pre: np.ndarray, pos: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sample paths from a position of each pre-token to its end: (line, node, edge) in order of line and step.
@@ -183,7 +184,7 @@ class Lattices:
         return np.repeat(np.arange(len(pre)), steps), out[0], out[1]
 
 
-def cut_gumbel(location: np.ndarray, top: float, u: np.ndarray) -> np.ndarray:
+def cut_gumbel(location: np.ndarray, top: np.ndarray, u: np.ndarray) -> np.ndarray:
     """Gumbel values with these locations, given that they're at most ``top``."""
     with np.errstate(over="ignore", divide="ignore"):
         shift = location - top
@@ -191,8 +192,37 @@ def cut_gumbel(location: np.ndarray, top: float, u: np.ndarray) -> np.ndarray:
         return top - np.logaddexp(0.0, np.log(-np.log(u)) - shift)
 
 
-#: Bits of a uniform number, so that no Gumbel value is more than MOST_GUMBEL above its location; steps whose sets are drawn at a time.
-MOST_GUMBEL, SETS_AT_ONCE = 37.0, 48
+def open_sets(logs: np.ndarray, starts: np.ndarray, before: np.ndarray, values: np.ndarray, gone: np.ndarray, keys: np.ndarray, begins: np.ndarray, keep: int) -> list[list[tuple[float, int]]]:
+    """For paths end to end, the ``keep`` largest sets that leave each, as (perturbed value, step).
+
+    logs: log-probabilities of the steps from ``begins`` on; starts: where each
+    path's are, and the end of all; before: the log-probability of what comes
+    before; values: the paths' perturbed values; gone: probability of the first
+    step's edges that other paths took.
+    """
+    out: list[list[tuple[float, int]]] = [[] for _ in begins]
+    sizes = np.diff(starts)
+    if not len(logs):
+        return out
+    path = np.repeat(np.arange(len(begins)), sizes)
+    inner = np.arange(len(logs)) - starts[path]
+    upto = np.cumsum(logs)
+    upto = upto - logs - (upto - logs)[starts[path]] + before[path]
+    rest = -np.expm1(logs)
+    filled = np.flatnonzero(sizes)
+    rest[starts[filled]] -= gone[filled]
+    with np.errstate(invalid="ignore", divide="ignore"):
+        location = np.where(rest > 1e-6, upto + np.log(rest), -np.inf)
+    g = cut_gumbel(location, values[path], uniform(keys[path] + (inner + begins[path]).astype(np.uint64)))
+    for _ in range(keep):
+        most = np.maximum.reduceat(g, starts[filled])
+        at = np.flatnonzero(g == np.repeat(most, sizes[filled]))
+        first = at[np.unique(path[at], return_index=True)[1]]
+        for i, x, s in zip(path[first].tolist(), g[first].tolist(), inner[first].tolist(), strict=True):
+            if x > -np.inf:
+                out[i].append((x, s + int(begins[i])))
+        g[first] = -np.inf
+    return out
 
 
 class Search:
@@ -201,31 +231,12 @@ class Search:
     def __init__(self, key: np.uint64):
         self.key, self.paths, self.frontier = key, [], []
 
-    def take(self, value: float, path: dict, begin: int, excluded: list[tuple[int, float]], sample: int, keep: int) -> None:
-        """Add a path with its perturbed value, and the sets that leave it at steps from ``begin`` on.
-
-        Only the ``keep`` largest sets can ever be taken.  Locations fall along
-        the path, so drawing stops where none that follows can be among them.
-        """
+    def take(self, value: float, path: dict, begin: int, excluded: list[tuple[int, float]], sets: list[tuple[float, int]]) -> None:
+        """Add a path with its perturbed value, and the sets that leave it at steps from ``begin`` on."""
         path["value"] = value
         self.paths.append(path)
-        logs, n = path["logs"], len(path["logs"])
-        before, found, a, size = float(logs[:begin].sum()), [], begin, SETS_AT_ONCE
-        key = mix(self.key + np.array([1_000_003 + sample], np.uint64) * _B)
-        while a < n and not (len(found) >= keep and found[-1][0] > before + MOST_GUMBEL):
-            part = logs[a : a + size]
-            upto = before + np.cumsum(part)
-            rest = -np.expm1(part)
-            if a == begin:
-                rest[0] -= sum(p for _, p in excluded)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                location = np.where(rest > 1e-6, upto - part + np.log(rest), -np.inf)
-            g = cut_gumbel(location, value, uniform(key + np.arange(a, a + len(part), dtype=np.uint64)))
-            best = np.argpartition(-g, keep)[:keep] if len(g) > keep else np.arange(len(g))
-            found = sorted([*found, *((float(g[s]), len(self.paths) - 1, int(s) + a) for s in best if location[s] > -np.inf)], reverse=True)[:keep]
-            before, a, size = float(upto[-1]), a + len(part), 4 * size
-        edge = path["edges"]
-        self.frontier += [(g, k, s, [*(excluded if s == begin else []), (int(edge[s]), float(np.exp(logs[s])))]) for g, k, s in found]
+        edge, logs, n = path["edges"], path["logs"], len(self.paths) - 1
+        self.frontier += [(g, n, s, [*(excluded if s == begin else []), (int(edge[s]), float(np.exp(logs[s])))]) for g, s in sets]
         self.frontier.sort(key=lambda x: -x[0])
 
 
@@ -255,9 +266,11 @@ def sample_texts(texts: list[str], keys: list[int], table: PieceTable, k: int =
     at, lines, nodes, edges, logs, ids = walked(np.arange(len(flat)), np.zeros(len(flat), np.int64), 0)
     ends = np.searchsorted(at, offset)
     roots = -np.log(-np.log(uniform(row_keys + np.array([1_000_001], np.uint64))))
+    zero = np.zeros(len(texts))
+    sets = open_sets(logs, ends, zero, roots, zero, mix(row_keys + np.array([1_000_003], np.uint64) * _B), zero.astype(np.int64), k)
     for i, search in enumerate(searches):
         a, b = ends[i], ends[i + 1]
-        search.take(float(roots[i]), {"lines": lines[a:b], "nodes": nodes[a:b], "edges": edges[a:b], "logs": logs[a:b], "ids": ids[a:b]}, 0, [], 0, k)
+        search.take(float(roots[i]), {"lines": lines[a:b], "nodes": nodes[a:b], "edges": edges[a:b], "logs": logs[a:b], "ids": ids[a:b]}, 0, [], sets[i])
     for sample in range(1, k):
         going = [i for i, s in enumerate(searches) if s.frontier and len(s.paths) == sample]
         if not going:
@@ -281,11 +294,20 @@ def sample_texts(texts: list[str], keys: list[int], table: PieceTable, k: int =
         begin[heads] = [node + edge + 1 - lattices.first[flat[line]] for *_, node, edge, line in starts]
         at, lines, nodes, edges, logs, ids = walked(where, begin, sample)
         ends = np.searchsorted(at, np.append(heads, len(where)))
+        taken = []
         for j, (i, value, path, step, excluded, node, edge, line) in enumerate(starts):
             a, b = ends[j], ends[j + 1]
             first = {"lines": line, "nodes": node, "edges": edge, "logs": np.log(float(lattices.p[node, edge])), "ids": lattices.id[node, edge]}
             rest = {"lines": lines, "nodes": nodes, "edges": edges, "logs": logs, "ids": ids}
-            searches[i].take(value, {name: np.concatenate([path[name][:step], [first[name]], x[a:b]]) for name, x in rest.items()}, step, excluded, sample, k)
+            taken.append({name: np.concatenate([path[name][:step], [first[name]], x[a:b]]) for name, x in rest.items()})
+        steps = np.array([x[3] for x in starts])
+        after = [t["logs"][s:] for t, s in zip(taken, steps, strict=True)]
+        sets = open_sets(
+            np.concatenate(after), np.concatenate([[0], np.cumsum([len(x) for x in after])]), np.array([t["logs"][:s].sum() for t, s in zip(taken, steps, strict=True)]), np.array([x[1] for x in starts]),
+            np.array([sum(p for _, p in x[4]) for x in starts]), mix(row_keys[[x[0] for x in starts]] + np.array([1_000_003 + sample], np.uint64) * _B), steps, k,
+        )
+        for (i, value, _, step, excluded, *_), path, own in zip(starts, taken, sets, strict=True):
+            searches[i].take(value, path, step, excluded, own)
     out = []
     for search in searches:
         threshold = search.frontier[0][0] if search.frontier else -np.inf
@@ -325,7 +347,7 @@ def sample_segmentations(docs: DataFrame, k: int = SAMPLES, seed: int = SEED, vo
 
     def run(batches):
         table = piece_table(vocabulary_path)
-        for batch in slices(batches, 256):
+        for batch in slices(batches, 512):
             doc_ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             at = 0
             while at < len(texts):
