@@ -32,6 +32,8 @@ GRAMS, LONGEST_WORD = (3, 4, 5), 40
 PASSES, STEPS, BATCH, RATE, DECAY, SEED = (6, 30), 600, 32, 0.01, 1e-5, 5
 #: Windows scored at a time, and distinct words whose gate inputs a process keeps.
 WINDOWS_AT_ONCE, KEPT = 2048, 150_000
+#: Words whose n-grams are in memory together.
+WORDS_AT_ONCE = 20_000
 #: The score of a text without words.
 EMPTY_SCORE = 0.0
 
@@ -44,8 +46,13 @@ def word_slots(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The slots of words, those of their n-grams of bytes end to end, and where each word's begin.
 
     Case and outer punctuation don't count.  A word is marked at both ends, so
-    that it has an n-gram even if it is one character.
+    that it has an n-gram even if it is one character.  Many words are hashed a
+    part at a time.
     """
+    if len(words) > WORDS_AT_ONCE:
+        parts = [word_slots(words[i : i + WORDS_AT_ONCE]) for i in range(0, len(words), WORDS_AT_ONCE)]
+        counts = np.concatenate([np.diff(starts) for *_, starts in parts])
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), np.concatenate([[0], np.cumsum(counts)])
     bare = [(x.strip(_OUTER) or x).encode("utf-8", "surrogatepass") for x in map(str.lower, words)]
     own = np.fromiter(map(zlib.crc32, bare), dtype=np.int64, count=len(bare)) % WORD_ROWS
     marked = [b"^%b$" % x[:LONGEST_WORD] for x in bare]
@@ -62,7 +69,7 @@ def word_slots(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             hashes.append((mixed >> np.uint32(12)) % np.uint32(GRAM_ROWS))
             inside.append(np.arange(m) + n <= sizes[:, None])
     inside = np.concatenate(inside, 1)
-    grams = np.concatenate(hashes, 1)[inside].astype(np.int64)
+    grams = np.concatenate(hashes, 1)[inside].astype(np.int32)
     counts = inside.sum(1)
     return own, grams, np.concatenate([[0], np.cumsum(counts)])
 
@@ -213,7 +220,8 @@ def train(rows: list[tuple[str, int]], seed: int = SEED) -> Network:
     share = max(1.0, y.sum()) / len(y)
     class_weight = np.where(y > 0, 0.5 / share, 0.5 / max(1 - share, 1e-6)).astype(np.float32)
     for _ in range(min(PASSES[1], max(PASSES[0], STEPS * BATCH // len(docs)))):
-        gates = net.gates(net.vectors(slots))
+        parts = [np.arange(i, min(i + WORDS_AT_ONCE, len(table))) for i in range(0, len(table), WORDS_AT_ONCE)]
+        gates = np.concatenate([net.gates(net.vectors(_of(slots, part))) for part in parts])
         score = np.concatenate([net.forward(gates, at[i : i + WINDOWS_AT_ONCE], size[i : i + WINDOWS_AT_ONCE]) for i in range(0, len(at), WINDOWS_AT_ONCE)])
         ranked = np.lexsort((-score, owner))
         best = ranked[np.concatenate([[True], owner[ranked][1:] != owner[ranked][:-1]])]
@@ -310,8 +318,8 @@ class Scorer:
             self.table.clear()
             self.used = 0
         new = [w for w in dict.fromkeys(w for words in texts for w in words) if w not in self.table]
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
+        for at in range(0, len(new), WORDS_AT_ONCE):
+            part = new[at : at + WORDS_AT_ONCE]
             rows = self.net.gates(self.net.vectors(word_slots(part)))
             if self.used + len(rows) > len(self.gates):
                 self.gates = np.concatenate([self.gates[: self.used], np.zeros((max(len(rows), self.used, 50_000), 6 * HIDDEN), np.float32)])
