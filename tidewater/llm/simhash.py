@@ -336,7 +336,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     chosen = groups.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias(mark)).agg(F.count(F.lit(1)).alias("n"))
     chosen = scratch.save(chosen, "chosen")
     keyed = docs.withColumn(mark, key)
-    once = keyed.join(chosen.where("n = 1").select(mark), mark, "left_semi").drop(mark)
+    # the chosen keys grow with the documents, so they're merged at any size and never broadcast
+    once = keyed.join(chosen.where("n = 1").select(mark).hint("merge"), mark, "left_semi").drop(mark)
     if not chosen.where("n > 1").take(1):
         return once
     again = keyed.join(chosen.where("n > 1").select(mark), mark, "left_semi").dropDuplicates([mark]).drop(mark)
