@@ -1,5 +1,6 @@
 """Operators on texts against plain versions."""
 
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -119,6 +120,17 @@ def test_keep_one(spark):
     assert keep_one(none(spark)).count() == 0
 
 
+def test_keep_one_of_repeated_ids(spark):
+    from tests.llm.fixtures import words
+    from tidewater.llm.simhash import keep_one
+
+    rng = random.Random(8)
+    a, b, c = (words(rng, 90) for _ in range(3))
+    rows = [(1, a), (1, b), (2, a), (0, c), (1, c), (1, b)]  # two texts under one doc_id; copies; a doc_id that is a choice in one group only
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, keep_one(docs).collect())) == sorted([(1, a), (1, b), (0, c)])
+
+
 def test_components(spark):
     from tidewater.llm.components import components
     from tidewater.llm.shared import Scratch

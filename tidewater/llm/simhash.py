@@ -321,24 +321,39 @@ def simhash_groups(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame
     return prints.join(by_print, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_members")
 
 
+def fingerprint_places(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """(doc_id, text_hash, root) for each row of ``rows`` (doc_id, text_hash, text); root: a number of its group of linked fingerprints."""
+
+    def run(batches):
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _signed([fingerprint(t) for t in batch.column(2).to_pylist()])], ["doc_id", "text_hash", "fp"])
+
+    prints = scratch.save(map_batches(rows.select("doc_id", "text_hash", "text"), run, "doc_id long, text_hash long, fp long"), "fingerprints")
+    distinct = scratch.save(prints.select("fp").distinct(), "distinct")
+    return prints.join(fingerprint_components(distinct, scratch), "fp", "left").select("doc_id", "text_hash", F.coalesce("root", "fp").alias("root"))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each near-duplicate group of ``docs``: that with the smallest doc_id, and of equal ones any one.
 
     All columns stay.  Rows without a doc_id are a group's choice only if it has
-    no other; they go by a hash of their text then.
+    no other; they go by a hash of their text then.  A doc_id may stand on rows
+    with different texts: a row is chosen by its doc_id and text together.
     """
     scratch = Scratch(docs.sparkSession, "simhash-keep")
     mark = "__tw_key"
-    while mark in docs.columns:
+    while any(c.startswith(mark) for c in docs.columns):
         mark += "_"
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + F.xxhash64("text").bitwiseAND(F.lit((1 << 61) - 1)))
-    groups = simhash_groups(docs.select(key.alias("doc_id"), "text"), scratch)
-    chosen = groups.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias(mark)).agg(F.count(F.lit(1)).alias("n"))
-    chosen = scratch.save(chosen, "chosen")
-    keyed = docs.withColumn(mark, key)
+    own, text = [mark, f"{mark}t"], F.xxhash64("text")
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + text.bitwiseAND(F.lit((1 << 61) - 1)))
+    placed = fingerprint_places(docs.select(key.alias("doc_id"), text.alias("text_hash"), "text"), scratch)
+    counted = placed.groupBy("root", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    chosen = counted.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash", "n")).alias("one"))
+    chosen = scratch.save(chosen.select(F.col("one.doc_id").alias(own[0]), F.col("one.text_hash").alias(own[1]), F.col("one.n").alias("n")), "chosen")
+    keyed = docs.withColumn(own[0], key).withColumn(own[1], text)
     # the chosen keys grow with the documents, so they're merged at any size and never broadcast
-    once = keyed.join(chosen.where("n = 1").select(mark).hint("merge"), mark, "left_semi").drop(mark)
+    once = keyed.join(chosen.where("n = 1").select(*own).hint("merge"), own, "left_semi").drop(*own)
     if not chosen.where("n > 1").take(1):
         return once
-    again = keyed.join(chosen.where("n > 1").select(mark), mark, "left_semi").dropDuplicates([mark]).drop(mark)
+    again = keyed.join(chosen.where("n > 1").select(*own), own, "left_semi").dropDuplicates(own).drop(*own)
     return once.unionByName(again)
