@@ -15,6 +15,7 @@ from tidewater.llm.packing import pack_documents
 from tidewater.llm.pii import replace_personal_data
 from tidewater.llm.quality_rules import keep_good
 from tidewater.llm.shared import Scratch, table
+from tidewater.llm.similar import similar_places
 from tidewater.llm.simhash import keep_one
 from tidewater.llm.toxicity import keep_civil, train
 
@@ -30,8 +31,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return keep_one(docs)
+    """One document of each group of near-duplicates: those linked by a similarity of 0.8 of their five-word shingles."""
+    return keep_one(docs, similar_places)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -131,6 +131,32 @@ def test_keep_one_of_repeated_ids(spark):
     assert sorted(map(tuple, keep_one(docs).collect())) == sorted([(1, a), (1, b), (0, c)])
 
 
+def test_near_duplicates_stage_is_complete(spark, monkeypatch):
+    import corpus_pipeline
+    from tests.llm.fixtures import words
+    from tidewater.llm import similar
+
+    monkeypatch.setattr(similar, "ONE_IN", 1)
+    rng, rows = random.Random(4), list(texts())
+    shared = words(rng, 60)
+    for k in range(12):  # chains of ever farther copies, and a passage in unlike texts
+        base = words(rng, 150).split()
+        for _ in range(6):
+            base = [w if rng.random() > 0.01 * k else "changed" for w in base]
+            rows.append(" ".join(base))
+        rows.append(words(rng, 90) + " " + shared + " " + words(rng, 90))
+    sets = []
+    for t in rows:
+        w = similar.split(t)
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    roots = plain_components(sets, lambda a, b: 5 * len(a & b) >= 4 * len(a | b))
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    want = {min(i for i, q in enumerate(roots) if q == root) for root in set(roots)}
+    assert got == want and len(want) < len(rows)
+    assert corpus_pipeline.near_duplicates(spark, docs.limit(0), "").count() == 0
+
+
 def test_components(spark):
     from tidewater.llm.components import components
     from tidewater.llm.shared import Scratch

@@ -16,6 +16,7 @@ between different parts.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations, repeat
 
 import numpy as np
@@ -333,12 +334,13 @@ def fingerprint_places(rows: DataFrame, scratch: Scratch) -> DataFrame:
     return prints.join(fingerprint_components(distinct, scratch), "fp", "left").select("doc_id", "text_hash", F.coalesce("root", "fp").alias("root"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, places: Callable[[DataFrame, Scratch], DataFrame] = fingerprint_places) -> DataFrame:
     """One row of each near-duplicate group of ``docs``: that with the smallest doc_id, and of equal ones any one.
 
     All columns stay.  Rows without a doc_id are a group's choice only if it has
     no other; they go by a hash of their text then.  A doc_id may stand on rows
     with different texts: a row is chosen by its doc_id and text together.
+    places: what puts rows into groups; ``similar.similar_places`` is another.
     """
     scratch = Scratch(docs.sparkSession, "simhash-keep")
     mark = "__tw_key"
@@ -346,7 +348,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
         mark += "_"
     own, text = [mark, f"{mark}t"], F.xxhash64("text")
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + text.bitwiseAND(F.lit((1 << 61) - 1)))
-    placed = fingerprint_places(docs.select(key.alias("doc_id"), text.alias("text_hash"), "text"), scratch)
+    placed = places(docs.select(key.alias("doc_id"), text.alias("text_hash"), "text"), scratch)
     counted = placed.groupBy("root", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
     chosen = counted.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash", "n")).alias("one"))
     chosen = scratch.save(chosen.select(F.col("one.doc_id").alias(own[0]), F.col("one.text_hash").alias(own[1]), F.col("one.n").alias("n")), "chosen")
