@@ -161,6 +161,25 @@ def test_personal_data(spark):
     assert replace_personal_data(docs.limit(0)).count() == 0
 
 
+def test_personal_data_is_found_whole(spark):
+    from tidewater.llm.pii import replace_personal_data
+
+    key = "".join("aB3xY9qLmZ"[i * 7 % 10] for i in range(300))
+    upper, long = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B", "04dbeb5197f2" * 20
+    rows = [
+        f'TOKEN = "{upper}"', f"hash {long} end", f"password={key} end", f"ghp_{key} end", f"sk-{key} end",
+        "Mr John Michael Smith and Mrs Anna Maria Luisa Keller left", f"password={key * 300} end",
+    ]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = [r["text"] for r in sorted(replace_personal_data(docs).collect(), key=lambda r: r["doc_id"])]
+    assert re.fullmatch(r'TOKEN = "[0-9A-F]{40}"', got[0]) and got[0] != rows[0]
+    assert re.fullmatch(r"hash [0-9a-f]{240} end", got[1]) and long[-20:] not in got[1]
+    for k, start in ((2, "password="), (3, "ghp_"), (4, "sk-"), (6, "password=")):
+        assert got[k].startswith(start) and len(got[k]) == len(rows[k]) and got[k].endswith(" end") and key[-40:] not in got[k]
+    assert re.fullmatch(r"Mr \S+ \S+ \S+ and Mrs \S+ \S+ \S+ \S+ left", got[5])
+    assert not re.search("John|Michael|Smith|Anna|Maria|Luisa|Keller", got[5])
+
+
 def test_surrogates_never_collide(spark):
     from tidewater.llm.pii import assign_surrogates
     from tidewater.llm.shared import Scratch

@@ -41,16 +41,16 @@ _NAME = r"\p{Lu}[\p{L}'’-]+"
 _TITLES = "|".join((*MALE, *FEMALE))
 #: Entities in the order in which they're tried at a place; no quantifier that can be tried again from every character of a long run.
 PATTERNS = {
-    "secret": r"(?<![\p{L}0-9])(?i:password|passwd|pwd)\s?[=:]\s?[^\s\"',;|]{4,128}"
-    r"|(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])gh[pousr]_[A-Za-z0-9]{20,64}|(?<![A-Za-z0-9])sk-[A-Za-z0-9]{20,64}"
-    r"|(?<![A-Za-z0-9])[0-9a-f]{32,128}(?![A-Za-z0-9])",
+    "secret": r"(?<![\p{L}0-9])(?i:password|passwd|pwd)\s?[=:]\s?[^\s\"',;|]{4,}+"
+    r"|(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])gh[pousr]_[A-Za-z0-9]{20,}+|(?<![A-Za-z0-9])sk-[A-Za-z0-9]{20,}+"
+    r"|(?<![A-Za-z0-9])[0-9A-Fa-f]{32,}+(?![A-Za-z0-9])",
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?![0-9]|\.[0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"(?<![0-9])(?:[0-9]{4}[ -]?){3}[0-9]{4}(?![0-9])|(?<![0-9])3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"(?<![0-9+])\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[.-][0-9]{4}(?![0-9])",
-    "name": rf"(?<!\p{{L}})(?:{_TITLES})\.? {_NAME}(?: {_NAME})?",
+    "name": rf"(?<!\p{{L}})(?:{_TITLES})\.? {_NAME}(?: {_NAME})*+",
 }
 ENTITY = "|".join(PATTERNS.values())
 #: What every entity holds; texts without it aren't searched.
@@ -79,8 +79,8 @@ def _parts(kind: Column, mention: Column, body: Column) -> Column:
     script = F.when(body.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
     words = F.split(body, " ")
     family = F.struct(F.concat(F.lit("family_"), script).alias("kind"), F.lower(F.element_at(words, -1)).alias("canonical"))
-    given = F.struct(F.concat(F.lit("given_"), gender, F.lit("_"), script).alias("kind"), F.lower(F.element_at(words, 1)).alias("canonical"))
-    name = F.when(F.size(words) > 1, F.array(given, family)).otherwise(F.array(family))
+    given = F.transform(F.slice(words, 1, F.size(words) - 1), lambda w: F.struct(F.concat(F.lit("given_"), gender, F.lit("_"), script).alias("kind"), F.lower(w).alias("canonical")))
+    name = F.concat(given, F.array(family))
     return F.when(kind == "name", name).otherwise(F.array(F.struct(kind.alias("kind"), canonical.alias("canonical"))))
 
 
@@ -100,19 +100,21 @@ def _pick(letters: str, n: Column) -> Column:
 
 def _spelt(canonical: Column, stream: Column, kept: Column) -> Column:
     """The canonical form with each letter and digit from ``kept`` on drawn anew within its class."""
-    hexadecimal = canonical.rlike(r"\A[0-9a-f]+\z")
+    hexadecimal = canonical.rlike(r"\A(?:[0-9a-f]+|[0-9A-Fa-f]{32,})\z")
+    # characters and their bytes as arrays, made once: an entity can be long
+    pairs = F.arrays_zip(F.regexp_extract_all(canonical, F.lit("(?s)."), 0).alias("c"), F.slice(F.regexp_extract_all(stream, F.lit(".."), 0), F.lit(1), F.length(canonical)).alias("b"))
 
-    def char(i: Column) -> Column:
-        c, b = F.substring(canonical, i + 1, F.lit(1)), _byte(stream, i)
+    def char(pair: Column, i: Column) -> Column:
+        c, b = pair["c"], F.conv(pair["b"], 16, 10).cast("int")
         drawn = (
             F.when(c.rlike("[0-9]"), _pick("0123456789", b))
             .when(c.rlike("[a-z]"), F.when(hexadecimal, _pick("abcdef", b)).otherwise(_pick("abcdefghijklmnopqrstuvwxyz", b)))
-            .when(c.rlike("[A-Z]"), _pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", b))
+            .when(c.rlike("[A-Z]"), F.when(hexadecimal, _pick("ABCDEF", b)).otherwise(_pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", b)))
             .otherwise(c)
         )
         return F.when(i < kept, c).otherwise(drawn)
 
-    return F.when(F.length(canonical) == 0, canonical).otherwise(F.array_join(F.transform(F.sequence(F.lit(0), F.length(canonical) - 1), char), ""))
+    return F.array_join(F.transform(pairs, char), "")
 
 
 def _luhn(digits: Column) -> Column:
