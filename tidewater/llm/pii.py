@@ -54,7 +54,7 @@ PATTERNS = {
 }
 ENTITY = "|".join(PATTERNS.values())
 #: What every entity holds; texts without it aren't searched.
-HINT = rf"[0-9@]|(?i:password|passwd|pwd)|(?:{_TITLES})"
+HINT = rf"[0-9@]|(?i:password|passwd|pwd)|AKIA|gh[pousr]_|sk-|[A-Fa-f]{{32}}|(?:{_TITLES})"
 
 
 def _kind(mention: Column) -> Column:
