@@ -286,6 +286,31 @@ def test_segmentations(spark):
     assert sample_segmentations(none(spark)).count() == 0
 
 
+def test_no_segmentation_is_left_out():
+    from tidewater.llm.gumbel_pieces import piece_table, sample_texts
+    from tidewater.llm.unigram import pre_tokens
+
+    table = piece_table()
+
+    def count(s):
+        ways = [1] + [0] * len(s)
+        for end in range(1, len(s) + 1):
+            ways[end] = sum(ways[at] for at in range(end) if s[at:end] in table.words.id_of or (end - at == 1 and s[at:end] not in table.words.id_of))
+        return ways[-1]
+
+    rows = [a + b for a in "AIax!.é☃日 " for b in ("", *"AIfon.!é☃")] + ["of", "in", "to", "! ! ! !", "A A A A A A", "internationalization", "☃" * 400 + " A"]
+    for k in (1, 3, 9):
+        for text, found in zip(rows, sample_texts(rows, list(range(len(rows))), table, k=k), strict=True):
+            total = int(np.prod([float(count(t)) for t in pre_tokens(text)]).clip(0, 1e9))
+            assert len(found) == min(k, total), (text, k)
+            assert len({tuple(x["ids"].tolist()) for x in found}) == len(found)
+            assert all(table.words.decode(x["ids"].tolist()) == text and np.isfinite(x["log_prob"]) for x in found)
+            values = [x["perturbed"] for x in found]
+            assert values == sorted(values, reverse=True)
+            assert total <= k or k == 1 or all(x["inclusion"] <= 1 for x in found)
+            assert total > k or all(x["inclusion"] == 1 for x in found)
+
+
 def test_gumbel_top_k_distribution():
     from tidewater.llm.gumbel_pieces import piece_table, sample_texts
 

@@ -95,7 +95,9 @@ class Lattices:
     """The lattices of distinct pre-tokens; nodes of all of them end to end.
 
     p[node, k]: probability of the edge of k + 1 characters; id[node, k]: its
-    piece, or -2 minus the character for one that is bytes.
+    piece, or -2 minus the character for one that is bytes; rest[node, k]: the
+    log-probability of the node's other edges, added up without the edge itself,
+    -inf only where there is no other.
     """
 
     def __init__(self, texts: list[str], table: PieceTable):
@@ -147,12 +149,33 @@ class Lattices:
             after[own] = top + np.log(s)
             edge[own, :m] = total / s[:, None]
             edge[own, m:] = 0
-        self.p = edge
+        self.p, self.after, self.left, self.table = edge, after, left, table
         self.upto = np.cumsum(edge, 1, dtype=np.float32)
+        rest = np.zeros_like(edge)
+        rest[:, 1:] = self.upto[:, :-1]
+        rest[:, :-1] += np.cumsum(edge[:, :0:-1], 1, dtype=np.float32)[:, ::-1]
+        with np.errstate(divide="ignore"):
+            self.rest = np.log(rest)
+        # edges too improbable for a float32 number
+        tiny = (rest < 1e-30) & (self.id != -1)
+        for node in np.flatnonzero(tiny.any(1) & ((self.id != -1).sum(1) > 1)).tolist():
+            own = self.edge_logs(node)
+            for k in np.flatnonzero(tiny[node]).tolist():
+                self.rest[node, k] = np.logaddexp.reduce(np.delete(own, k))
         if n:  # rounding mustn't lead beyond the last edge
             last = longest - 1 - np.argmax(edge[:, ::-1] > 0, axis=1)
             self.upto[np.arange(longest) >= last[:, None]] = 2
 
+    def edge_logs(self, node: int) -> np.ndarray:
+        """Log-probabilities of a node's edges in float64, -inf where there is none."""
+        ids, left = self.id[node], int(self.left[node])
+        out = np.full(len(ids), -np.inf)
+        for k in np.flatnonzero(ids != -1).tolist():
+            i = int(ids[k])
+            score = self.table.score[i] if i >= 0 else len(chr(-2 - i).encode("utf-8", "surrogatepass")) * self.table.words.byte_score
+            out[k] = score + (0.0 if k + 1 == left else self.after[node + k + 1]) - self.after[node]
+        return out
+
     def pick(self, nodes: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge of each node by its probability, as its characters minus one."""
         return (self.upto[nodes] <= u[:, None].astype(np.float32)).sum(1)
@@ -192,13 +215,13 @@ def cut_gumbel(location: np.ndarray, top: np.ndarray, u: np.ndarray) -> np.ndarr
         return top - np.logaddexp(0.0, np.log(-np.log(u)) - shift)
 
 
-def open_sets(logs: np.ndarray, starts: np.ndarray, before: np.ndarray, values: np.ndarray, gone: np.ndarray, keys: np.ndarray, begins: np.ndarray, keep: int) -> list[list[tuple[float, int]]]:
+def open_sets(logs: np.ndarray, rest: np.ndarray, starts: np.ndarray, before: np.ndarray, values: np.ndarray, keys: np.ndarray, begins: np.ndarray, keep: int) -> list[list[tuple[float, int]]]:
     """For paths end to end, the ``keep`` largest sets that leave each, as (perturbed value, step).
 
-    logs: log-probabilities of the steps from ``begins`` on; starts: where each
+    logs: log-probabilities of the steps from ``begins`` on; rest: those of the
+    steps' edges that no path took, -inf where there are none; starts: where each
     path's are, and the end of all; before: the log-probability of what comes
-    before; values: the paths' perturbed values; gone: probability of the first
-    step's edges that other paths took.
+    before; values: the paths' perturbed values.
     """
     out: list[list[tuple[float, int]]] = [[] for _ in begins]
     sizes = np.diff(starts)
@@ -208,11 +231,8 @@ def open_sets(logs: np.ndarray, starts: np.ndarray, before: np.ndarray, values:
     inner = np.arange(len(logs)) - starts[path]
     upto = np.cumsum(logs)
     upto = upto - logs - (upto - logs)[starts[path]] + before[path]
-    rest = -np.expm1(logs)
     filled = np.flatnonzero(sizes)
-    rest[starts[filled]] -= gone[filled]
-    with np.errstate(invalid="ignore", divide="ignore"):
-        location = np.where(rest > 1e-6, upto + np.log(rest), -np.inf)
+    location = upto + rest
     g = cut_gumbel(location, values[path], uniform(keys[path] + (inner + begins[path]).astype(np.uint64)))
     for _ in range(keep):
         most = np.maximum.reduceat(g, starts[filled])
@@ -231,12 +251,12 @@ class Search:
     def __init__(self, key: np.uint64):
         self.key, self.paths, self.frontier = key, [], []
 
-    def take(self, value: float, path: dict, begin: int, excluded: list[tuple[int, float]], sets: list[tuple[float, int]]) -> None:
+    def take(self, value: float, path: dict, begin: int, excluded: list[int], sets: list[tuple[float, int]]) -> None:
         """Add a path with its perturbed value, and the sets that leave it at steps from ``begin`` on."""
         path["value"] = value
         self.paths.append(path)
-        edge, logs, n = path["edges"], path["logs"], len(self.paths) - 1
-        self.frontier += [(g, n, s, [*(excluded if s == begin else []), (int(edge[s]), float(np.exp(logs[s])))]) for g, s in sets]
+        edge, n = path["edges"], len(self.paths) - 1
+        self.frontier += [(g, n, s, [*(excluded if s == begin else []), int(edge[s])]) for g, s in sets]
         self.frontier.sort(key=lambda x: -x[0])
 
 
@@ -267,7 +287,7 @@ def sample_texts(texts: list[str], keys: list[int], table: PieceTable, k: int =
     ends = np.searchsorted(at, offset)
     roots = -np.log(-np.log(uniform(row_keys + np.array([1_000_001], np.uint64))))
     zero = np.zeros(len(texts))
-    sets = open_sets(logs, ends, zero, roots, zero, mix(row_keys + np.array([1_000_003], np.uint64) * _B), zero.astype(np.int64), k)
+    sets = open_sets(logs, lattices.rest[nodes, edges].astype(np.float64), ends, zero, roots, mix(row_keys + np.array([1_000_003], np.uint64) * _B), zero.astype(np.int64), k)
     for i, search in enumerate(searches):
         a, b = ends[i], ends[i + 1]
         search.take(float(roots[i]), {"lines": lines[a:b], "nodes": nodes[a:b], "edges": edges[a:b], "logs": logs[a:b], "ids": ids[a:b]}, 0, [], sets[i])
@@ -281,30 +301,36 @@ def sample_texts(texts: list[str], keys: list[int], table: PieceTable, k: int =
             value, parent, step, excluded = search.frontier.pop(0)
             path = search.paths[parent]
             node = int(path["nodes"][step])
-            weights = lattices.p[node].astype(np.float64)
-            weights[[e for e, _ in excluded]] = 0
+            own = lattices.edge_logs(node)
+            left = own.copy()
+            left[excluded] = -np.inf
+            weights = np.exp(left - left.max())
             u = float(uniform(mix(search.key + np.array([2_000_003 + sample], np.uint64) * _B) + np.array([step], np.uint64))[0])
             upto = np.cumsum(weights)
             edge = int(min(np.searchsorted(upto, u * upto[-1], side="right"), np.flatnonzero(weights)[-1]))
-            starts.append((i, value, path, step, excluded, node, edge, int(path["lines"][step])))
+            left[edge] = -np.inf
+            starts.append((i, value, path, step, excluded, node, edge, float(own[edge]), float(np.logaddexp.reduce(left)), int(path["lines"][step])))
         sizes = np.array([offset[i + 1] - line for i, *_, line in starts])
         heads = np.cumsum(sizes) - sizes
         where = np.arange(int(sizes.sum())) + np.repeat(np.array([line for *_, line in starts]) - heads, sizes)
         begin = np.zeros(len(where), np.int64)
-        begin[heads] = [node + edge + 1 - lattices.first[flat[line]] for *_, node, edge, line in starts]
+        begin[heads] = [node + edge + 1 - lattices.first[flat[line]] for *_, node, edge, _, _, line in starts]
         at, lines, nodes, edges, logs, ids = walked(where, begin, sample)
         ends = np.searchsorted(at, np.append(heads, len(where)))
         taken = []
-        for j, (i, value, path, step, excluded, node, edge, line) in enumerate(starts):
+        for j, (_, _, path, step, _, node, edge, log, _, line) in enumerate(starts):
             a, b = ends[j], ends[j + 1]
-            first = {"lines": line, "nodes": node, "edges": edge, "logs": np.log(float(lattices.p[node, edge])), "ids": lattices.id[node, edge]}
+            first = {"lines": line, "nodes": node, "edges": edge, "logs": log, "ids": lattices.id[node, edge]}
             rest = {"lines": lines, "nodes": nodes, "edges": edges, "logs": logs, "ids": ids}
             taken.append({name: np.concatenate([path[name][:step], [first[name]], x[a:b]]) for name, x in rest.items()})
         steps = np.array([x[3] for x in starts])
         after = [t["logs"][s:] for t, s in zip(taken, steps, strict=True)]
+        heads = np.concatenate([[0], np.cumsum([len(x) for x in after])])
+        untaken = lattices.rest[np.concatenate([t["nodes"][s:] for t, s in zip(taken, steps, strict=True)]), np.concatenate([t["edges"][s:] for t, s in zip(taken, steps, strict=True)])].astype(np.float64)
+        untaken[heads[:-1]] = [x[8] for x in starts]  # a first step's edges that earlier paths took are gone too
         sets = open_sets(
-            np.concatenate(after), np.concatenate([[0], np.cumsum([len(x) for x in after])]), np.array([t["logs"][:s].sum() for t, s in zip(taken, steps, strict=True)]), np.array([x[1] for x in starts]),
-            np.array([sum(p for _, p in x[4]) for x in starts]), mix(row_keys[[x[0] for x in starts]] + np.array([1_000_003 + sample], np.uint64) * _B), steps, k,
+            np.concatenate(after), untaken, heads, np.array([t["logs"][:s].sum() for t, s in zip(taken, steps, strict=True)]), np.array([x[1] for x in starts]),
+            mix(row_keys[[x[0] for x in starts]] + np.array([1_000_003 + sample], np.uint64) * _B), steps, k,
         )
         for (i, value, _, step, excluded, *_), path, own in zip(starts, taken, sets, strict=True):
             searches[i].take(value, path, step, excluded, own)
