@@ -41,6 +41,22 @@ def test_scores_of_odd_rows(spark):
         assert fn(none(spark), labels, fold("doc_id", 5) == 0).count() == 0
 
 
+def test_long_words_are_read_whole():
+    from tidewater.llm import toxicity as t
+
+    for word in ("x" * 200, "".join(chr(0x4E00 + i * 37 % 5000) for i in range(500)), "a/b_c" * 60, "q" * 41):
+        parts = t.positions(f"one {word} two")
+        assert parts[0] == "one" and parts[-1] == "two" and all(len(p) <= t.LONGEST_WORD + 2 for p in parts[1:-1])
+        marked = b"^%b$" % word.encode()
+        grams = {marked[i : i + n] for n in t.GRAMS for i in range(len(marked) - n + 1)}
+        assert grams == {p[i : i + n] for p in parts[1:-1] for n in t.GRAMS for i in range(len(p) - n + 1)}
+    assert t.positions("short words, " + "y" * 40) == ["short", "words,", "y" * 40]
+    rows = [(" ".join(["good", "plain", "words"][k % 3] for k in range(30)), 0) for _ in range(40)] + [("good plain vileword words " * 5, 1) for _ in range(40)]
+    own = t.Scorer(t.train(rows))
+    clean, toxic = own.scores(["goodplainwords" * 20, "goodplainwords" * 20 + "vileword" * 20])
+    assert toxic > clean
+
+
 def test_network_gradients():
     from tidewater.llm import toxicity as t
 

@@ -26,7 +26,7 @@ from tidewater.llm.shared import map_batches, slices
 WINDOW, STRIDE = 32, 24
 #: Sizes: hash tables of words and character n-grams, their embeddings, a direction's state, and the attention.
 WORD_ROWS, GRAM_ROWS, WORD_DIM, GRAM_DIM, HIDDEN, ATTENTION = 1 << 15, 1 << 15, 6, 6, 8, 8
-#: Lengths of character n-grams, and the characters of a word that they're taken from.
+#: Lengths of character n-grams, and the most bytes of a word that is one position; a longer one is several.
 GRAMS, LONGEST_WORD = (3, 4, 5), 40
 #: Training: least and most passes, steps wanted, documents a step, step size, weight decay of the recurrent weights, seed.
 PASSES, STEPS, BATCH, RATE, DECAY, SEED = (6, 30), 600, 32, 0.01, 1e-5, 5
@@ -42,20 +42,37 @@ _OUTER = ".,!?;:\"'()[]{}|#$%&*<>-_"
 _BASE = np.uint32(0x01000193)
 
 
-def word_slots(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _bare(word: str) -> bytes:
+    """A word without case and outer punctuation."""
+    word = word.lower()
+    return (word.strip(_OUTER) or word).encode("utf-8", "surrogatepass")
+
+
+def positions(text: str) -> list[str | bytes]:
+    """The words of a text, those longer than LONGEST_WORD bytes as parts of their marked bytes that share the longest n-gram."""
+    words = split_words(text)
+    cut, size = {}, LONGEST_WORD + 2
+    for word in set(words):
+        if 4 * len(word) > LONGEST_WORD and len(bare := _bare(word)) > LONGEST_WORD:
+            marked = b"^%b$" % bare
+            cut[word] = [marked[i : i + size] for i in range(0, len(marked) - max(GRAMS), size - max(GRAMS))]
+    return [x for word in words for x in cut.get(word, (word,))] if cut else words
+
+
+def word_slots(words: list[str | bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The slots of words, those of their n-grams of bytes end to end, and where each word's begin.
 
     Case and outer punctuation don't count.  A word is marked at both ends, so
-    that it has an n-gram even if it is one character.  Many words are hashed a
-    part at a time.
+    that it has an n-gram even if it is one character; parts of a long word, as
+    bytes, have their marks.  Many words are hashed a part at a time.
     """
     if len(words) > WORDS_AT_ONCE:
         parts = [word_slots(words[i : i + WORDS_AT_ONCE]) for i in range(0, len(words), WORDS_AT_ONCE)]
         counts = np.concatenate([np.diff(starts) for *_, starts in parts])
         return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), np.concatenate([[0], np.cumsum(counts)])
-    bare = [(x.strip(_OUTER) or x).encode("utf-8", "surrogatepass") for x in map(str.lower, words)]
+    bare = [x if isinstance(x, bytes) else _bare(x) for x in words]
     own = np.fromiter(map(zlib.crc32, bare), dtype=np.int64, count=len(bare)) % WORD_ROWS
-    marked = [b"^%b$" % x[:LONGEST_WORD] for x in bare]
+    marked = [x if isinstance(w, bytes) else b"^%b$" % x for w, x in zip(words, bare, strict=True)]
     sizes = np.fromiter(map(len, marked), dtype=np.int64, count=len(marked))
     width = max(int(sizes.max()), max(GRAMS))
     chars = np.frombuffer(b"".join(x.ljust(width, b"\0") for x in marked), dtype=np.uint8).reshape(-1, width).astype(np.uint32)
@@ -204,7 +221,7 @@ def train(rows: list[tuple[str, int]], seed: int = SEED) -> Network:
     table: dict[str, int] = {}
     docs, labels = [], []
     for text, label in rows:
-        ids = np.array([table.setdefault(w, len(table)) for w in split_words(text or "")], dtype=np.int64)
+        ids = np.array([table.setdefault(w, len(table)) for w in positions(text or "")], dtype=np.int64)
         if len(ids):
             docs.append(ids)
             labels.append(label)
@@ -313,7 +330,7 @@ class Scorer:
         self.gates = np.zeros((0, 6 * HIDDEN), np.float32)
         self.used = 0
 
-    def _ids(self, texts: list[list[str]]) -> list[np.ndarray]:
+    def _ids(self, texts: list[list[str | bytes]]) -> list[np.ndarray]:
         if self.used > KEPT:
             self.table.clear()
             self.used = 0
@@ -330,7 +347,7 @@ class Scorer:
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         """The score of each text, that of its worst window."""
-        words = [split_words(t or "") for t in texts]
+        words = [positions(t or "") for t in texts]
         ids = self._ids(words)
         out = np.full(len(texts), EMPTY_SCORE)
         filled = [k for k, x in enumerate(ids) if len(x)]
