@@ -27,7 +27,7 @@ def engine(spark: SparkSession, sf_dir: str) -> Engine:
     customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
     # keys that are missing in some rows
     e.register("orders_n", orders.withColumn("k", F.nullif(F.col("o_custkey") % 7, F.lit(0))).withColumn("flag", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderkey") % 3 == 1)), ("o_orderkey",))
-    e.register("customer_n", customer.where("c_custkey <= 40").withColumn("k", F.nullif(F.col("c_custkey") % 5, F.lit(0))), ("c_custkey",))
+    e.register("customer_n", customer.withColumn("k", F.nullif(F.col("c_custkey") % 5, F.lit(0))), ("c_custkey",))
     return e
 
 
@@ -62,8 +62,11 @@ CASES: dict[str, tuple[str, bool, str]] = {
     "left_join": ("customer as c left join orders as o on o.o_custkey = c.c_custkey and o.o_totalprice > 300000 { c: c.c_custkey, o: o.o_orderkey }", False, "SELECT c_custkey AS c, o_orderkey AS o FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 300000"),
     "right_join": ("orders as o right join customer as c on o.o_custkey = c.c_custkey and o.o_orderstatus = \"P\" { c: c.c_custkey, o: o.o_orderkey }", False, "SELECT c_custkey AS c, o_orderkey AS o FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P'"),
     "cross_join": ("region as r cross join nation as n { r: r.r_name, n: n.n_name }", False, "SELECT r_name AS r, n_name AS n FROM region CROSS JOIN nation"),
-    "null_key_join": ("customer_n as a join customer_n as b on a.k = b.k { a: a.c_custkey, b: b.c_custkey }", False, "SELECT a.c_custkey AS a, b.c_custkey AS b FROM (SELECT c_custkey, nullif(c_custkey % 5, 0) AS k FROM customer WHERE c_custkey <= 40) a JOIN (SELECT c_custkey, nullif(c_custkey % 5, 0) AS k FROM customer WHERE c_custkey <= 40) b ON a.k IS NOT DISTINCT FROM b.k"),
-    "theta_join": ("customer_n as a join customer_n as b on a.k < b.k { a: a.c_custkey, b: b.c_custkey }", False, "SELECT a.c_custkey AS a, b.c_custkey AS b FROM (SELECT c_custkey, nullif(c_custkey % 5, 0) AS k FROM customer WHERE c_custkey <= 40) a JOIN (SELECT c_custkey, nullif(c_custkey % 5, 0) AS k FROM customer WHERE c_custkey <= 40) b ON (a.k IS NULL AND b.k IS NOT NULL) OR coalesce(a.k < b.k, false)"),
+    "null_key_join": ("customer_n as a join customer_n as b on a.k = b.k filter a.c_custkey <= 40 and b.c_custkey <= 40 { a: a.c_custkey, b: b.c_custkey }", False, "SELECT a.c_custkey AS a, b.c_custkey AS b FROM (SELECT c_custkey, nullif(c_custkey % 5, 0) AS k FROM customer WHERE c_custkey <= 40) a JOIN (SELECT c_custkey, nullif(c_custkey % 5, 0) AS k FROM customer WHERE c_custkey <= 40) b ON a.k IS NOT DISTINCT FROM b.k"),
+    "theta_join": ("customer_n as a join customer_n as b on a.k < b.k filter a.c_custkey <= 40 and b.c_custkey <= 40 { a: a.c_custkey, b: b.c_custkey }", False, "SELECT a.c_custkey AS a, b.c_custkey AS b FROM (SELECT c_custkey, nullif(c_custkey % 5, 0) AS k FROM customer WHERE c_custkey <= 40) a JOIN (SELECT c_custkey, nullif(c_custkey % 5, 0) AS k FROM customer WHERE c_custkey <= 40) b ON (a.k IS NULL AND b.k IS NOT NULL) OR coalesce(a.k < b.k, false)"),
+    # the whole table's joins, aggregated: their rows grow with the square of the customers
+    "null_key_join_whole": ("customer_n as a join customer_n as b on a.k = b.k group a.k { k: a.k, n: count(*), a: sum(raw a.c_custkey), b: sum(raw b.c_custkey) }", False, "SELECT a.k AS k, count(*) AS n, sum(a.c_custkey)::BIGINT AS a, sum(b.c_custkey)::BIGINT AS b FROM (SELECT c_custkey, nullif(c_custkey % 5, 0) AS k FROM customer) a JOIN (SELECT c_custkey, nullif(c_custkey % 5, 0) AS k FROM customer) b ON a.k IS NOT DISTINCT FROM b.k GROUP BY 1"),
+    "theta_join_whole": ("customer_n as a join customer_n as b on a.k < b.k group a.k { k: a.k, n: count(*), a: sum(raw a.c_custkey), b: sum(raw b.c_custkey) }", False, "SELECT a.k AS k, count(*) AS n, sum(a.c_custkey)::BIGINT AS a, sum(b.c_custkey)::BIGINT AS b FROM (SELECT c_custkey, nullif(c_custkey % 5, 0) AS k FROM customer) a JOIN (SELECT c_custkey, nullif(c_custkey % 5, 0) AS k FROM customer) b ON (a.k IS NULL AND b.k IS NOT NULL) OR coalesce(a.k < b.k, false) GROUP BY 1"),
     "window_rank": ("orders { .o_orderkey, rn: row_number() over (partition .o_custkey order .o_totalprice desc), r: rank() over (partition .o_custkey order .o_orderpriority), d: dense_rank() over (partition .o_custkey order .o_orderpriority) }", False, "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC NULLS LAST, o_orderkey) AS rn, rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS r, dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS d FROM orders"),
     "window_running": ("orders { .o_orderkey, run: sum(.o_orderkey) over (partition .o_custkey order .o_orderpriority), n: count(*) over (partition .o_custkey), top: max(.o_totalprice) over (partition .o_custkey) }", False, "SELECT o_orderkey, sum(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderkey ROWS UNBOUNDED PRECEDING)::BIGINT AS run, count(*) OVER (PARTITION BY o_custkey) AS n, max(o_totalprice) OVER (PARTITION BY o_custkey) AS top FROM orders"),
     "window_after_limit": ("orders order .o_totalprice desc limit 20 { .o_orderkey, rn: row_number() over (order .o_orderkey) }", False, "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS rn FROM (SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20)"),
