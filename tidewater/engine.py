@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from contextlib import contextmanager
 from dataclasses import dataclass
 from typing import Any
 
@@ -20,6 +21,10 @@ from tidewater.sources.catalog import RID, Bound, Catalog, Link, Table, View, co
 from tidewater.sqlparser import parse_sql
 
 
+#: Session settings under which the language's rules hold.
+SETTINGS = {"spark.sql.session.timeZone": "UTC", "spark.sql.caseSensitive": "true", "spark.sql.ansi.enabled": "true"}
+
+
 @dataclass
 class Modified:
     """How many rows a statement changed."""
@@ -86,16 +91,31 @@ class Engine:
             import tempfile
             import uuid
 
-            root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidewater-")
+            root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+            if not root:
+                if not spark.sparkContext.master.startswith("local"):
+                    raise LanguageError("give the engine a folder that all executors share, or set spark.checkpoint.dir")
+                root = "file://" + tempfile.mkdtemp(prefix="tidewater-")
             path = f"{root}/tidewater/store-{uuid.uuid4().hex}"
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
-        spark.conf.set("spark.sql.caseSensitive", "true")
-        spark.conf.set("spark.sql.ansi.enabled", "true")
         self.spark, self.catalog = spark, Catalog(spark, path)
         self.saved, self.aborted = None, False
 
+    @contextmanager
+    def settings(self):
+        """The settings that the language's rules need while a plan is analysed; the session has its own before and after."""
+        conf = self.spark.conf
+        before = {k: conf.get(k, None) for k in SETTINGS}
+        for k, v in SETTINGS.items():
+            conf.set(k, v)
+        try:
+            yield
+        finally:
+            for k, v in before.items():
+                conf.unset(k) if v is None else conf.set(k, v)
+
     def register(self, name: str, df: DataFrame, key=(), json_columns=()) -> None:
-        self.catalog.register(name, df, tuple(key), tuple(json_columns))
+        with self.settings():
+            self.catalog.register(name, df, tuple(key), tuple(json_columns))
 
     def prepare(self, text: str, sql: bool = False) -> Prepared:
         return Prepared(self, text, sql)
@@ -105,11 +125,16 @@ class Engine:
 
     def execute(self, text: str, params: list[Any] | None = None, sql: bool = False):
         """A DataFrame for a query, Modified for a change without returning, else a Message."""
+        return self.perform(lambda: (parse_sql if sql else parse)(text, params), sql)
+
+    def perform(self, made, sql: bool):
+        """Run the statement that ``made`` gives; an error aborts an open transaction."""
         try:
-            statement = (parse_sql if sql else parse)(text, params)
+            statement = made()
             if self.aborted and not (isinstance(statement, Statement) and statement.verb == "rollback"):
                 raise LanguageError("the transaction is aborted; roll back first")
-            return self.run(statement, sql)
+            with self.settings():
+                return self.run(statement, sql)
         except Exception:
             self.aborted = self.saved is not None
             raise
@@ -196,9 +221,7 @@ class Engine:
         t = self.writable(s.table)
 
         def change():
-            rows = self.catalog.append(t, [self.complete(t, r) for r in s.rows])
-            self.catalog.check_unique(t)
-            return rows
+            return self.catalog.append(t, [self.complete(t, r) for r in s.rows])
 
         rows = self.guarded(t, change)
         self.changed(t.name)
@@ -246,13 +269,15 @@ class Engine:
         new = {c: self.assigned(t, scope, compiler, c, e) for c, e in s.sets.items()}
 
         def change():
-            marked = df.join(hits.withColumn("__hit", F.lit(True)), RID, "left")
+            # the identities are a table of their own, read for the change, the count and the rows returned
+            path = self.catalog.new_segment(t.name, "hits")
+            hits.write.parquet(path)
+            keep = self.spark.read.schema(hits.schema).parquet(path)
+            marked = df.join(keep.withColumn("__hit", F.lit(True)), RID, "left")
             cols = [F.when(F.col("__hit"), new[c.name]).otherwise(quoted(c.name)).alias(c.name) if c.name in new else quoted(c.name) for c in t.columns]
-            count = hits.count()
-            keep = self.spark.createDataFrame(hits.collect(), hits.schema) if s.returning else None
             self.catalog.replace(t, marked.select(RID, *cols))
             self.catalog.check_unique(t, set(s.sets))
-            return count, keep
+            return keep.count(), keep
 
         count, keep = self.guarded(t, change)
         self.changed(t.name)
@@ -287,7 +312,7 @@ class Engine:
 
     def outside(self, verb: str) -> None:
         if self.saved is not None:
-            raise LanguageError(f"cannot run {verb} inside an explicit transaction: DDL is not transactional, commit or roll back first")
+            raise LanguageError(f"{verb}: definitions can't be rolled back, so end the transaction first")
 
     def create(self, s: CreateType):
         self.outside("create table")
@@ -311,7 +336,7 @@ class Engine:
         if column.name in t.kinds:
             raise LanguageError(f"column '{column.name}' already exists")
         if column.required and t.segments and Bound(self.catalog, t).dataframe().take(1):
-            raise LanguageError(f"cannot add required column '{column.name}' to non-empty table '{table}': no default value to backfill existing rows with")
+            raise LanguageError(f"'{table}' has rows, which would lack the required column '{column.name}'")
         t.columns = [*t.columns, column]
         self.changed(table)
         return Message(f"column '{column.name}' added to '{table}'")
@@ -358,7 +383,7 @@ class Engine:
     def do_drop_index(self, table: str, target, quiet: bool, sql: bool):
         self.outside("drop index")
         if not isinstance(target, Path):
-            raise LanguageError("dropping stored-column indexes is not supported")
+            raise LanguageError("only an index on a path can be dropped")
         t, name = self.writable(table), self.target_name(target)
         if name not in t.indexes and not quiet:
             raise LanguageError(f"index {name} not found")

@@ -107,6 +107,16 @@ def _int_float(op: str, i: Typed, f: Typed) -> Column:
     return edge.otherwise(inside)
 
 
+def minus_zero(col: Column) -> Column:
+    """Whether a float is negative zero; false where it is missing."""
+    return F.when(col == 0, col.cast("string") == "-0.0").otherwise(F.lit(False))
+
+
+def with_zero(col: Column, minus: Column) -> Column:
+    """A float that was a key, with the sign of zero that keys lose."""
+    return F.when(minus, F.lit(-0.0)).otherwise(col)
+
+
 _FLIP = {"<": ">", "<=": ">=", ">": "<", ">=": "<=", "=": "="}
 
 
@@ -170,6 +180,8 @@ def join_compare(op: str, a: Typed, b: Typed) -> Column:
         equal = a.col.isNull() & b.col.isNull()
     else:
         equal = a.col.eqNullSafe(b.col)
+        if a.kind == b.kind == "float":
+            equal = equal & (minus_zero(a.col) == minus_zero(b.col))
     if op == "=":
         return equal
     if op == "!=":
@@ -202,7 +214,9 @@ def like(a: Typed, b: Typed) -> Column:
         a = Typed(a.lane("str"), "str")
     if "str" not in (a.kind, "null") or b.kind not in ("str", "null"):
         raise LanguageError(f"type mismatch: 'like' matches str, not {a.kind if a.kind != 'str' else b.kind}")
-    return F.like(a.col, b.col, F.lit("\u0001"))
+    escape = "\u0001"  # an escape that a pattern holds itself stands for itself when doubled
+    pattern = F.lit(b.literal.replace(escape, 2 * escape)) if isinstance(b.literal, str) else F.replace(b.col, F.lit(escape), F.lit(2 * escape))
+    return F.like(a.col, pattern, F.lit(escape))
 
 
 def text_of(t: Typed) -> Column:

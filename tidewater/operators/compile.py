@@ -32,9 +32,12 @@ class Source:
     prefix: str
     kinds: dict[str, str]
     rid: list[str]
+    keyed: bool = True  # whether rid tells repeated rows apart
+    outer: bool = False  # whether it is of the query around a subquery expression
 
     def column(self, name: str) -> Typed:
-        return Typed(quoted(self.prefix + name), self.kinds[name], None, frozenset([self.alias or self.table]))
+        col = quoted(self.prefix + name)
+        return Typed(col.outer() if self.outer else col, self.kinds[name], None, frozenset([self.alias or self.table]))
 
     def rid_columns(self) -> list[Column]:
         return [quoted(self.prefix + c) for c in self.rid]
@@ -121,6 +124,19 @@ def conjuncts(e) -> list:
     return conjuncts(e.left) + conjuncts(e.right) if isinstance(e, Binary) and e.op == "and" else [e]
 
 
+def identity(t: Typed) -> list[Column]:
+    """What tells values apart in groups, distinct rows and joins: negative zero is a float of its own, which Spark's keys aren't."""
+    return [t.col, S.minus_zero(t.col)] if t.kind == "float" else [t.col]
+
+
+def distinct_rows(df: DataFrame, names: list[str], kinds: list[str]) -> DataFrame:
+    floats = [n for n, k in zip(names, kinds, strict=True) if k == "float"]
+    if not floats:
+        return df.distinct()
+    once = df.withColumns({f"__zero{i}": S.minus_zero(quoted(n)) for i, n in enumerate(floats)}).distinct()
+    return once.select(*(S.with_zero(quoted(n), F.col(f"__zero{floats.index(n)}")).alias(n) if n in floats else quoted(n) for n in names))
+
+
 def both(parts: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, parts) if parts else F.lit(True)
 
@@ -141,7 +157,7 @@ class Compiler:
                 return S.literal(e.value, e.kind)
             case Field():
                 if e.hops:
-                    raise LanguageError(f"link traversal '{e.alias}.{e.name}.{'.'.join(e.hops)}' is only supported in a projection")
+                    raise LanguageError(f"'{e.alias}.{e.name}.{'.'.join(e.hops)}' follows a link, which only a projected field may do; join the linked type here")
                 return scope.find(e)
             case Path():
                 base = self.value(e.base, scope)
@@ -177,11 +193,11 @@ class Compiler:
                 args = [self.value(a, scope) for a in e.args]
                 return replace(S.call(e.name, args), source=frozenset().union(*(a.source for a in args)))
             case Agg():
-                raise LanguageError("aggregate function in an unsupported position")
+                raise LanguageError("an aggregate can't stand here")
             case Over():
-                raise LanguageError("a window function must be a whole projected field of an ungrouped query")
+                raise LanguageError("a window function stands alone as a projected field, and not in a grouped query")
             case InQuery() | Exists():
-                raise LanguageError("a subquery is only supported in a filter, under and, or, not and comparisons")
+                raise LanguageError("subqueries belong in a filter")
         raise LanguageError(f"unsupported expression {type(e).__name__}")
 
     def sources_of(self, e, scope: Scope) -> frozenset:
@@ -249,7 +265,7 @@ class Compiler:
     def scan(self, table: str, alias: str | None, prefix: str) -> tuple[DataFrame, Source]:
         t = self.catalog.table(table)
         df = t.dataframe()
-        return df.select(*(quoted(c).alias(prefix + c) for c in df.columns)), Source(table, alias, prefix, dict(t.kinds), list(t.rid))
+        return df.select(*(quoted(c).alias(prefix + c) for c in df.columns)), Source(table, alias, prefix, dict(t.kinds), list(t.rid), t.keyed)
 
     def sources(self, q: Query, outer: Scope | None, prefix: str) -> tuple[DataFrame, Scope]:
         if not q.joins:
@@ -286,38 +302,34 @@ class Compiler:
 
     def subquery_conjunct(self, df: DataFrame, scope: Scope, c) -> DataFrame:
         inner, negated = (c.arg, True) if isinstance(c, Not) else (c, False)
-        if isinstance(inner, (InQuery, Exists)):
-            if isinstance(inner, InQuery):
-                if inner.negated:
-                    df = df.where(self.value(inner.arg, scope).col.isNotNull())
+        # not (x not in Q) holds for a missing x, which no join with Q finds
+        twice = negated and isinstance(inner, InQuery) and inner.negated
+        if isinstance(inner, (InQuery, Exists)) and not twice:
+            if isinstance(inner, InQuery) and inner.negated:
+                df = df.where(self.value(inner.arg, scope).col.isNotNull())
             right, on, correlated = self.inner_side(inner, scope)
             if isinstance(inner, Exists) and not correlated:
                 flag = right.limit(1).agg((F.count(F.lit(1)) > 0).alias("__any"))
                 keep = F.col("__any") if inner.negated == negated else ~F.col("__any")
                 return df.crossJoin(F.broadcast(flag)).where(keep).drop("__any")
             return df.join(right, on, "left_semi" if inner.negated == negated else "left_anti")
-        # elsewhere each subquery becomes a bool column by a join with the distinct values that match
-        extra = {}
+        # elsewhere a subquery is an expression, which becomes an existence join; the rows around it get names that it can't have
+        mark = f"__o{next(self.numbers)}."
+        named = df.select(*(quoted(x).alias(mark + x) for x in df.columns))
+        here = Scope([replace(s, prefix=mark + s.prefix) for s in scope.sources], scope.outer, {}, scope.joined)
+        around = Scope([replace(s, outer=True) for s in here.sources], scope.outer, {}, scope.joined)
         for x in walk(c):
             if isinstance(x, (InQuery, Exists)):
-                name = f"__flag{next(self.numbers)}"
-                right, on, correlated = self.inner_side(x, scope, flags=True)
-                if isinstance(x, Exists) and not correlated:
-                    flag = right.limit(1).agg((F.count(F.lit(1)) > 0).alias(name))
-                    df = df.crossJoin(F.broadcast(flag))
-                else:
-                    df = df.join(right.distinct().withColumn(name, F.lit(True)), on, "left").drop(*right.columns)
-                col = F.coalesce(F.col(name), F.lit(False))
+                right, on, _ = self.inner_side(x, around)
+                col = right.where(on).exists()
                 if x.negated:
                     col = ~col
                     if isinstance(x, InQuery):
-                        col = self.value(x.arg, scope).col.isNotNull() & col
-                extra[x] = Typed(col, "bool")
-        inner_scope = Scope(scope.sources, scope.outer, {**scope.extra, **extra}, scope.joined)
-        out = df.where(self.condition(c, inner_scope, True))
-        return out.drop(*(c for c in out.columns if c.startswith("__flag")))
+                        col = self.value(x.arg, here).col.isNotNull() & col
+                here.extra[x] = Typed(col, "bool")
+        return named.where(self.condition(c, here, True)).select(*(quoted(mark + x).alias(x) for x in df.columns))
 
-    def inner_side(self, x: InQuery | Exists, outer: Scope, flags: bool = False) -> tuple[DataFrame, Column, bool]:
+    def inner_side(self, x: InQuery | Exists, outer: Scope) -> tuple[DataFrame, Column, bool]:
         """The inner query's rows with what the join needs, the join's condition, and whether it is correlated."""
         q = x.query
         prefix = f"__q{next(self.numbers)}."
@@ -345,8 +357,8 @@ class Compiler:
             if item is None:
                 return right, F.lit(True), False
             return right.where(quoted(prefix + "v").isNotNull()), S.compare("=", self.value(x.arg, outer), value), False
-        if q.group or q.distinct:
-            raise LanguageError("a correlated subquery with group or distinct is not supported")
+        if q.group or q.distinct and (q.limit is not None or q.offset):
+            raise LanguageError("a subquery that reads the query around it takes no group, and no limit of distinct rows")
         right = self.filtered(df, scope, reduce(lambda a, b: Binary("and", a, b), own) if own else None)
         if q.limit is not None or q.offset is not None:
             keys = []
@@ -362,8 +374,6 @@ class Compiler:
         on = [self.condition(c, scope, True) for c in linked]
         used = {f for c in linked for f in walk(c) if isinstance(f, Field) and not scope.is_outer(f)}
         keep = {s.prefix + f.name for f in used for s in scope.sources if (s.alias or s.table) == f.alias or f.alias is None and f.name in s.kinds}
-        if flags and any(not (isinstance(c, Binary) and c.op == "=") for c in linked):
-            raise LanguageError("a correlated subquery below or or not takes equalities with the outer query only")
         if item is not None:
             value = self.value(item, Scope(scope.sources))
             right = right.select(*(quoted(k) for k in sorted(keep)), value.col.alias(prefix + "v")).where(quoted(prefix + "v").isNotNull())
@@ -389,7 +399,7 @@ class Compiler:
         if any(x != y for x, y in zip(a.kinds, b.kinds, strict=True)):
             raise LanguageError("the sides of a union have different types")
         df = a.df.union(b.df)
-        return Result(df if q.all else df.distinct(), a.names, a.kinds)
+        return Result(df if q.all else distinct_rows(df, a.names, a.kinds), a.names, a.kinds)
 
     def expand(self, q: Query, scope: Scope) -> list[Item]:
         if q.items is not None:
@@ -431,7 +441,7 @@ class Compiler:
         if q.group is not None or q.having is not None:
             return self.grouped(df, scope, q, items)
         if any(isinstance(x, Agg) for i in items for x in walk(i.expr)):
-            raise LanguageError("multiple aggregates, or an aggregate mixed with plain columns, without a group are not supported")
+            raise LanguageError("a projection with aggregates needs a group; without one write the aggregate around the query")
         if any(isinstance(i.expr, Nested) for i in items):
             if q.distinct or scope.joined:
                 raise LanguageError("the parent of a nested projection is a plain aliased table, without join, group or distinct")
@@ -466,14 +476,14 @@ class Compiler:
         columns = [(self.heading(i, scope, q), self.window(i.expr, scope) if isinstance(i.expr, Over) else self.value(i.expr, scope)) for i in items]
         if not keys and q.limit is None and not q.offset:
             r = self.output(df, columns)
-            return Result(r.df.distinct(), r.names, r.kinds)
+            return Result(distinct_rows(r.df, r.names, r.kinds), r.names, r.kinds)
         # the first row of each value in sort order stands for it
-        first = df.withColumn("__first", F.row_number().over(Window.partitionBy(*(t.col for _, t in columns)).orderBy(*keys, *rids))).where("__first = 1")
+        first = df.withColumn("__first", F.row_number().over(Window.partitionBy(*(c for _, t in columns for c in identity(t))).orderBy(*keys, *rids))).where("__first = 1")
         return self.output(self.sliced(first.orderBy(*keys, *rids), q), columns)
 
     # -- aggregates --------------------------------------------------------------------------------------
 
-    def aggregate(self, a: Agg, scope: Scope, flags: dict, sql: bool) -> tuple[Column, str]:
+    def aggregate(self, a: Agg, scope: Scope) -> tuple[Column, str]:
         if a.arg is None:
             return F.count(F.lit(1)), "int"
         if isinstance(a.arg, Field) and a.name == "count" and not a.distinct and a.arg.alias is None and len(scope.sources) == 1 and a.arg.name == scope.sources[0].table and a.arg.name not in scope.sources[0].kinds:
@@ -484,12 +494,10 @@ class Compiler:
         if a.name in ("sum", "avg") and t.kind not in ("int", "float", "null"):
             raise LanguageError(f"type mismatch: '{a.name}' takes numbers, not {t.kind}")
         c = t.col
-        if self.symmetric(a, scope, sql):
-            c = F.when(flags[next(iter(t.source))], c)
         if a.name == "count":
-            return (F.countDistinct(c) if a.distinct else F.count(c)), "int"
+            return (F.countDistinct(*identity(t)) if a.distinct else F.count(c)), "int"
         if a.name == "avg":
-            return F.avg(F.when(~F.isnan(c) | F.isnan(c), c) if t.kind == "float" else c), "float"
+            return F.avg(c), "float"
         if a.name == "sum":
             if t.kind == "float":
                 return F.sum(c), "float"
@@ -499,45 +507,69 @@ class Compiler:
     def symmetric(self, a: Agg, scope: Scope, sql: bool) -> bool:
         return len(scope.sources) > 1 and a.name in ("sum", "avg", "count") and a.arg is not None and not (a.distinct or a.raw or sql)
 
-    def row_flags(self, df: DataFrame, scope: Scope, aggs: list[Agg], keys: list[Column], sql: bool) -> tuple[DataFrame, dict]:
-        """For each source that a symmetric aggregate reads, whether a row is the first of its source row in the group."""
-        flags: dict[str, Column] = {}
-        for a in aggs:
+    def aggregated(self, df: DataFrame, scope: Scope, aggs: list[Agg], keys: list[Typed], sql: bool) -> tuple[DataFrame, list[Typed], list[Typed]]:
+        """One row a group: the keys, and the aggregates in their order.
+
+        A symmetric aggregate takes each row of its source once in a group: rows
+        are grouped by the key and that row first.  Each source with such
+        aggregates, and all others together, are aggregated apart, with map-side
+        combination, and meet on the key.
+        """
+        columns = {f"__key{i}_{j}": c for i, k in enumerate(keys) for j, c in enumerate(identity(k))}
+        out_keys = [Typed(S.with_zero(F.col(f"__key{i}_0"), F.col(f"__key{i}_1")) if k.kind == "float" else F.col(f"__key{i}_0"), "str" if k.kind == "dyn" else k.kind) for i, k in enumerate(keys)]
+        kinds: dict[int, str] = {}
+        plain, apart = {}, {}
+        for n, a in enumerate(aggs):
+            col, kinds[n] = self.aggregate(a, scope)
             if not self.symmetric(a, scope, sql):
+                plain[n] = col
                 continue
             reads = self.value(a.arg, scope).source
             if len(reads) != 1:
                 raise LanguageError(f"'{a.name}' over a join must read exactly one source; use {a.name}(raw ...)")
-            (alias,) = reads
-            if alias not in flags:
-                rid = next(s for s in scope.sources if (s.alias or s.table) == alias).rid_columns()
-                name = f"__once{len(flags)}"
-                df = df.withColumn(name, F.row_number().over(Window.partitionBy(*keys, *rid).orderBy(*rid)))
-                present = reduce(lambda x, y: x | y, [c.isNotNull() for c in rid])
-                flags[alias] = (F.col(name) == 1) & present
-        return df, flags
+            apart.setdefault(next(iter(reads)), []).append(n)
+        parts = []
+        if plain:
+            parts.append(df.groupBy(*(c.alias(n) for n, c in columns.items())).agg(*(c.alias(f"__agg{n}") for n, c in plain.items())))
+        for alias, own in apart.items():
+            source = next(s for s in scope.sources if (s.alias or s.table) == alias)
+            if not source.keyed:
+                raise LanguageError(f"'{source.table}' has no key that tells its rows apart; register it with one or use {aggs[own[0]].name}(raw ...)")
+            rid = source.rid_columns()
+            there = reduce(lambda x, y: x | y, [c.isNotNull() for c in rid])
+            values = {n: self.value(aggs[n].arg, scope) for n in own}
+            lanes = {n: t.lane("float") if isinstance(t, Dynamic) and aggs[n].name != "count" else t.col for n, t in values.items()}
+            rows = df.groupBy(*(c.alias(n) for n, c in columns.items()), *(c.alias(f"__rid{i}") for i, c in enumerate(rid)))
+            rows = rows.agg(*(F.first(F.when(there, c)).alias(f"__one{n}") for n, c in lanes.items()))
+            inner = Scope([Source("", None, "", {f"__one{n}": "float" if isinstance(t, Dynamic) and aggs[n].name != "count" else "str" if t.kind == "dyn" else t.kind for n, t in values.items()}, [])])
+            once = [self.aggregate(replace(aggs[n], arg=Field(f"__one{n}")), inner)[0].alias(f"__agg{n}") for n in own]
+            parts.append(rows.groupBy(*columns).agg(*once))
+        if not parts:
+            return df.select(*(c.alias(n) for n, c in columns.items())).distinct(), out_keys, []
+        out = parts[0]
+        for k, part in enumerate(parts[1:]):
+            if not columns:
+                out = out.crossJoin(F.broadcast(part))  # one row each
+                continue
+            part = part.withColumnsRenamed({c: f"{c}_{k}" for c in columns})
+            out = out.join(part, both([F.col(c).eqNullSafe(F.col(f"{c}_{k}")) for c in columns])).drop(*(f"{c}_{k}" for c in columns))
+        return out, out_keys, [Typed(F.col(f"__agg{n}"), kinds[n]) for n in range(len(aggs))]
 
     def grouped(self, df: DataFrame, scope: Scope, q: Query, items: list[Item]) -> Result:
         group = q.group or []
         keys = [self.value(i.expr, scope) for i in group]
         exprs = [*(i.expr for i in items), *([q.having] if q.having is not None else []), *(e for e, _ in q.order)]
         if any(isinstance(x, (Over, Nested)) for e in exprs for x in ([e] if isinstance(e, Nested) else walk(e))):
-            raise LanguageError("window functions and nested projections over grouped results are not supported")
+            raise LanguageError("a grouped query takes no windows and no nested results")
         aggs = list(dict.fromkeys(x for e in exprs for x in walk(e) if isinstance(x, Agg)))
-        df, flags = self.row_flags(df, scope, aggs, [k.col for k in keys], q.sql)
-        made = [self.aggregate(a, scope, flags, q.sql) for a in aggs]
-        names = [f"__key{i}" for i in range(len(keys))]
-        out = df.groupBy(*(k.col.alias(n) for k, n in zip(keys, names, strict=True)))
-        out = out.agg(*(c.alias(f"__agg{i}") for i, (c, _) in enumerate(made))) if made else df.select(*(k.col.alias(n) for k, n in zip(keys, names, strict=True))).distinct()
+        out, out_keys, made = self.aggregated(df, scope, aggs, keys, q.sql)
         extra: dict = {}
-        for i, k, n in zip(group, keys, names, strict=True):
-            t = Typed(F.col(n), "str" if k.kind == "dyn" else k.kind)
+        for i, k, t in zip(group, keys, out_keys, strict=True):
             extra[i.expr] = t
             if isinstance(i.expr, Field):  # with and without its alias
                 owner = next((s for s in scope.sources if (s.alias or s.table) in k.source), None)
                 extra[Field(i.expr.name)] = extra[Field(i.expr.name, owner.alias)] = t
-        for n, (a, (_, kind)) in enumerate(zip(aggs, made, strict=True)):
-            extra[a] = Typed(F.col(f"__agg{n}"), kind)
+        extra |= dict(zip(aggs, made, strict=True))
         after = Scope([], None, extra, scope.joined)
         if q.having is not None:
             out = out.where(self.condition(q.having, after, True))
@@ -548,10 +580,10 @@ class Compiler:
                 after.extra.setdefault(Field(i.name), columns[-1][1])
         if q.distinct:
             r = self.output(out, columns)
-            out, after = r.df.distinct(), Scope([], None, {Field(n): Typed(quoted(n), k) for n, k in zip(r.names, r.kinds, strict=True)})
+            out, after = distinct_rows(r.df, r.names, r.kinds), Scope([], None, {Field(n): Typed(quoted(n), k) for n, k in zip(r.names, r.kinds, strict=True)})
             columns = [(n, Typed(quoted(n), k)) for n, k in zip(r.names, r.kinds, strict=True)]
         if q.order or q.limit is not None or q.offset:
-            ties = [F.col(n).asc_nulls_last() for n in names if n in out.columns]
+            ties = [t.col.asc_nulls_last() for t in out_keys] if not q.distinct else []
             out = self.sliced(out.orderBy(*self.sort_keys(q.order, after), *ties), q)
         return self.output(out, columns)
 
@@ -564,21 +596,20 @@ class Compiler:
             r = self.query(q)
             a = Agg(s.agg, Field(r.names[0]) if item is not None else None, s.distinct, True)
             scope = Scope([Source("", None, "", dict(zip(r.names, r.kinds, strict=True)), [])])
-            col, kind = self.aggregate(a, scope, {}, True)
+            col, kind = self.aggregate(a, scope)
             return self.output(r.df.agg(col.alias("__agg")), [(s.agg, Typed(F.col("__agg"), kind))])
         df, scope = self.sources(q, None, "")
         df = self.filtered(df, scope, q.filter)
         a = Agg(s.agg, item, s.distinct, s.raw)
-        df, flags = self.row_flags(df, scope, [a], [], q.sql)
-        col, kind = self.aggregate(a, scope, flags, q.sql)
-        return self.output(df.agg(col.alias("__agg")), [(s.agg, Typed(F.col("__agg"), kind))])
+        df, _, made = self.aggregated(df, scope, [a], [], q.sql)
+        return self.output(df, [(s.agg, made[0])])
 
     # -- windows -----------------------------------------------------------------------------------------
 
     def window(self, e: Over, scope: Scope) -> Typed:
         keys = self.sort_keys(e.order, scope)
         rids = [c for s in scope.sources for c in s.rid_columns()]
-        w = Window.partitionBy(*(self.value(p, scope).col for p in e.partition))
+        w = Window.partitionBy(*(c for p in e.partition for c in identity(self.value(p, scope))))
         if e.name in ("rank", "dense_rank"):
             fn = (F.rank if e.name == "rank" else F.dense_rank)()
             return Typed(fn.over(w.orderBy(*(keys or [F.lit(1)]))).cast("bigint"), "int")
@@ -612,7 +643,7 @@ class Compiler:
                 for hop in (f.name, *f.hops[:-1]):
                     link = self.catalog.link(at.table, hop)
                     if not self.catalog.is_unique(link.target, link.key):
-                        raise LanguageError(f"link `{hop}` on type `{at.table}` is a to-many link: its target key `{link.target}.{link.key}` is not unique")
+                        raise LanguageError(f"'{hop}' of '{at.table}' can lead to several rows, as '{link.target}.{link.key}' isn't unique; read it with a block")
                     path = (*path, hop)
                     if path not in joined:
                         right, s = self.scan(link.target, None, "__link." + ".".join(path) + ".")
@@ -631,7 +662,7 @@ class Compiler:
                 raise LanguageError(f"unknown alias '{alias}'")
             link = self.catalog.link(parent.table, link_name)
             if self.catalog.is_unique(link.target, link.key):
-                raise LanguageError(f"link `{link_name}` on type `{parent.table}` is a to-one link; read it with a path")
+                raise LanguageError(f"'{link_name}' of '{parent.table}' leads to one row; read it with a path")
             q = replace(q, table=link.target, alias=q.alias or f"__{link_name}")
             equality = [(Field(link.key, q.alias), Field(link.local, alias))]
             rest = conjuncts(q.filter)
@@ -652,7 +683,7 @@ class Compiler:
                 else:
                     raise LanguageError(f"nested projection `{name}`: conditions on the parent belong to the outer query")
         if len(equality) != 1:
-            raise LanguageError(f"nested projection `{name}` requires one equi-correlation predicate linking `{q.alias}` to the outer query")
+            raise LanguageError(f"the children of '{name}' are found by one equality of a column of '{q.alias}' with one of the parent")
         own, other = inner.find(equality[0][0]), scope.find(equality[0][1])
         alone = Scope([source], None)
         child = self.filtered(child, alone, reduce(lambda a, b: Binary("and", a, b), rest) if rest else None)

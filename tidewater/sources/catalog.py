@@ -1,7 +1,7 @@
 """Tables, links and views: declared types stored as Parquet segments, and external DataFrames.
 
-A stored table is a list of segment folders.  An insert adds one; an update or a
-delete writes the table anew beside the old one and swaps the list, so readers
+A stored table is a list of segment folders.  An insert adds one, and many small
+ones are merged by levels; an update or a delete writes the table anew beside the old one and swaps the list, so readers
 of the old version aren't disturbed and a roll-back is the old list.  Every row
 has a materialised identity ``__rid``.
 """
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 import uuid
 from copy import deepcopy
 from dataclasses import asdict, dataclass, field
@@ -24,6 +25,8 @@ from tidewater.functions.semantics import SPARK
 from tidewater.plans.nodes import Call, Cast, ColumnDef, LanguageError, Lit
 
 RID = "__rid"
+#: Segments of one level that are merged into one of the next.
+MERGED = 16
 _TYPES = {"int": T.LongType(), "float": T.DoubleType(), "bool": T.BooleanType(), "str": T.StringType(), "datetime": T.TimestampType(), "uuid": T.BinaryType(), "bytes": T.BinaryType(), "json": T.StringType()}
 
 
@@ -76,6 +79,7 @@ class External:
     kinds: dict[str, str]
     rid: tuple[str, ...]
     unique: frozenset = frozenset()
+    keyed: bool = True
 
     def dataframe(self) -> DataFrame:
         return self.df
@@ -97,7 +101,7 @@ class Bound:
     """A stored table with a session to read it."""
 
     def __init__(self, catalog: Catalog, table: Table):
-        self.catalog, self.table, self.kinds, self.rid = catalog, table, table.kinds, table.rid
+        self.catalog, self.table, self.kinds, self.rid, self.keyed = catalog, table, table.kinds, table.rid, True
 
     def dataframe(self) -> DataFrame:
         spark, t = self.catalog.spark, self.table
@@ -122,11 +126,20 @@ class Catalog:
         where = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         return jvm, where, where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
+    def _versions(self) -> list[tuple[int, Any]]:
+        """(number, file) of the saved versions, the newest first."""
+        _, where, fs = self._file("")
+        found = [f.getPath() for f in fs.listStatus(where)] if fs.exists(where) else []
+        names = [(re.fullmatch(r"catalog-([0-9]+)[.]json", f.getName()), f) for f in found]
+        return sorted(((int(m[1]), f) for m, f in names if m), key=lambda x: -x[0])
+
     def _load(self) -> None:
-        jvm, where, fs = self._file("catalog.json")
-        if not fs.exists(where):
+        versions = self._versions()
+        self.version = versions[0][0] if versions else 0
+        if not versions:
             return
-        stream = fs.open(where)
+        jvm, _, fs = self._file("")
+        stream = fs.open(versions[0][1])
         state = json.loads(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         stream.close()
         for t in state["tables"]:
@@ -136,14 +149,18 @@ class Catalog:
         self.views = {x["name"]: View(**x) for x in state["views"]}
 
     def save(self) -> None:
+        """Write the next version whole and rename it into place, so that there is always one to load; keep the one before."""
         state = {"tables": [asdict(t) for t in self.tables.values()], "links": [asdict(x) for x in self.links.values()], "views": [asdict(v) for v in self.views.values()]}
-        _, new, fs = self._file("catalog.json.new")
+        _, new, fs = self._file(f"catalog-{uuid.uuid4().hex}.new")
         out = fs.create(new, True)
         out.write(bytearray(json.dumps(state).encode()))
         out.close()
-        _, where, _ = self._file("catalog.json")
-        fs.delete(where, False)
-        fs.rename(new, where)
+        self.version += 1
+        _, where, _ = self._file(f"catalog-{self.version:09d}.json")
+        if not fs.rename(new, where):
+            raise LanguageError(f"the catalog in {self.path} was changed by another engine")
+        _, old, _ = self._file(f"catalog-{self.version - 2:09d}.json")
+        fs.delete(old, False)
 
     def snapshot(self):
         return deepcopy((self.tables, self.links, self.views))
@@ -154,7 +171,10 @@ class Catalog:
     # -- look-ups --
 
     def register(self, name: str, df: DataFrame, key: tuple[str, ...] | list[str] = (), json_columns: tuple[str, ...] = ()) -> None:
-        """Make a DataFrame a read-only table; ``key`` identifies its rows.  Columns of other types aren't seen."""
+        """Make a DataFrame a read-only table; ``key`` identifies its rows.  Columns of other types aren't seen.
+
+        Without a key a hash of the row only breaks ties, and symmetric aggregates over joins are refused.
+        """
         kinds = {}
         for f in df.schema.fields:
             kind = "json" if f.name in json_columns else kind_of(f.dataType)
@@ -162,9 +182,9 @@ class Catalog:
                 kinds[f.name] = kind
         cols = [F.col(f"`{c}`").cast(SPARK[k]).alias(c) if df.schema[c].dataType.simpleString() != SPARK[k] else F.col(f"`{c}`") for c, k in kinds.items()]
         df = df.select(*cols)
-        if not key:
+        if not (keyed := bool(key)):
             df, key = df.withColumn(RID, F.xxhash64(*(F.col(f"`{c}`") for c in kinds))), (RID,)
-        self.external[name] = External(name, df, kinds, tuple(key), frozenset(key) if len(key) == 1 and key[0] != RID else frozenset())
+        self.external[name] = External(name, df, kinds, tuple(key), frozenset(key) if len(key) == 1 and keyed else frozenset(), keyed)
 
     def table(self, name: str):
         if name in self.external:
@@ -194,38 +214,61 @@ class Catalog:
 
     # -- writing --
 
-    def new_segment(self, table: str) -> str:
-        return f"{self.path}/{table}/{uuid.uuid4().hex}"
+    def new_segment(self, table: str, level: int | str = 0) -> str:
+        return f"{self.path}/{table}/{level}-{uuid.uuid4().hex}"
 
     def append(self, t: Table, rows: list[dict[str, Any]]) -> list[tuple]:
-        """Add complete rows, by column; returns them with their identities."""
+        """Add complete rows, by column; returns them with their identities.  Segments of one level are merged when they're many."""
         out = []
         for row in rows:
             out.append((t.next_rid, *(row[c.name] for c in t.columns)))
             t.next_rid += 1
+        new = self.spark.createDataFrame(out, t.schema)
+        self.check_new(t, new)
         path = self.new_segment(t.name)
-        self.spark.createDataFrame(out, t.schema).write.parquet(path)
+        new.coalesce(1).write.parquet(path)
         t.segments = [*t.segments, path]
+        level = 0
+        while len(tail := t.segments[-MERGED:]) == MERGED and all(f"/{level}-" in p[-40:] for p in tail):
+            level += 1
+            path = self.new_segment(t.name, level)
+            self.spark.read.schema(t.schema).parquet(*tail).coalesce(1 + MERGED ** max(level - 4, 0)).write.parquet(path)
+            t.segments = [*t.segments[:-MERGED], path]
         return out
 
     def replace(self, t: Table, df: DataFrame) -> None:
-        path = self.new_segment(t.name)
+        path = self.new_segment(t.name, "all")
         df.select(*t.schema.names).write.parquet(path)
         t.segments = [path]
 
-    def check_unique(self, t: Table, columns: set[str] | None = None) -> None:
+    @staticmethod
+    def _unique_column(name: str):
         from tidewater.functions.semantics import dynamic
 
+        if name.startswith("["):
+            base, *steps = json.loads(name)
+            return dynamic(F.col(f"`{base}`"), tuple(steps)).col
+        return F.col(f"`{name}`")
+
+    def _unique(self, t: Table) -> list[str]:
+        return sorted({c.name for c in t.columns if c.unique} | {k for k, unique in t.indexes.items() if unique})
+
+    def check_new(self, t: Table, new: DataFrame) -> None:
+        """Refuse rows of a statement that repeat a value of a unique column, of each other or of the table."""
+        for name in self._unique(t):
+            keys = new.select(self._unique_column(name).alias("__k")).where("__k IS NOT NULL")
+            held = Bound(self, t).dataframe().select(self._unique_column(name).alias("__k"))
+            # the rows of one statement, bounded by its text
+            if keys.groupBy("__k").count().where("count > 1").take(1) or t.segments and held.join(F.broadcast(keys), "__k", "left_semi").take(1):
+                raise LanguageError(f"'{t.name}.{name}' is unique and has that value already")
+
+    def check_unique(self, t: Table, columns: set[str] | None = None) -> None:
         df = Bound(self, t).dataframe()
-        wanted = {c.name for c in t.columns if c.unique} | {k for k, unique in t.indexes.items() if unique}
-        for name in sorted(wanted if columns is None else {w for w in wanted if w in columns or w.startswith("[")}):
-            if name.startswith("["):
-                base, *steps = json.loads(name)
-                col = dynamic(F.col(f"`{base}`"), tuple(steps)).col
-            else:
-                col = F.col(f"`{name}`")
-            if df.where(col.isNotNull()).groupBy(col).count().where("count > 1").take(1):
-                raise LanguageError(f"unique constraint violation on {t.name}.{name}")
+        for name in self._unique(t):
+            if columns is None or name in columns or name.startswith("["):
+                col = self._unique_column(name)
+                if df.where(col.isNotNull()).groupBy(col).count().where("count > 1").take(1):
+                    raise LanguageError(f"'{t.name}.{name}' is unique and would have a value twice")
 
     def dirty(self, table: str) -> None:
         """Mark the views that read a table, and those that read them."""

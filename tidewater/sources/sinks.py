@@ -71,7 +71,7 @@ def backup(catalog: Catalog, path: str) -> int:
 
 def restore(spark: SparkSession, saved: str, path: str) -> Catalog:
     """A store at ``path`` as it was when it was saved."""
-    if _exists(spark, f"{path}/catalog.json"):
+    if Catalog(spark, path).version:
         raise LanguageError(f"'{path}' holds a store already")
     _copy(Catalog(spark, saved), path)
     return Catalog(spark, path)
