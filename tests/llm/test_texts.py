@@ -287,10 +287,11 @@ def test_segmentations(spark):
 
 
 def test_no_segmentation_is_left_out():
-    from tidewater.llm.gumbel_pieces import piece_table, sample_texts
+    from tidewater.llm.gumbel_pieces import piece_lattices, sample_texts
     from tidewater.llm.unigram import pre_tokens
 
-    table = piece_table()
+    lattices = piece_lattices()
+    table = lattices.table
 
     def count(s):
         ways = [1] + [0] * len(s)
@@ -300,7 +301,7 @@ def test_no_segmentation_is_left_out():
 
     rows = [a + b for a in "AIax!.é☃日 " for b in ("", *"AIfon.!é☃")] + ["of", "in", "to", "! ! ! !", "A A A A A A", "internationalization", "☃" * 400 + " A"]
     for k in (1, 3, 9):
-        for text, found in zip(rows, sample_texts(rows, list(range(len(rows))), table, k=k), strict=True):
+        for text, found in zip(rows, sample_texts(rows, list(range(len(rows))), lattices, k=k), strict=True):
             total = int(np.prod([float(count(t)) for t in pre_tokens(text)]).clip(0, 1e9))
             assert len(found) == min(k, total), (text, k)
             assert len({tuple(x["ids"].tolist()) for x in found}) == len(found)
@@ -312,9 +313,10 @@ def test_no_segmentation_is_left_out():
 
 
 def test_gumbel_top_k_distribution():
-    from tidewater.llm.gumbel_pieces import piece_table, sample_texts
+    from tidewater.llm.gumbel_pieces import piece_lattices, sample_texts
 
-    table = piece_table()
+    lattices = piece_lattices()
+    table = lattices.table
 
     def segmentations(s):
         if not s:
@@ -325,7 +327,7 @@ def test_gumbel_top_k_distribution():
     total = sum(np.exp(b) for _, b in found)
     p = {a: np.exp(b) / total for a, b in found}
     n = 8000
-    rows = sample_texts(["anon"] * n, list(range(n)), table, k=2)
+    rows = sample_texts(["anon"] * n, list(range(n)), lattices, k=2)
     first = Counter(tuple(r[0]["ids"].tolist()) for r in rows)
     second = Counter(tuple(r[1]["ids"].tolist()) for r in rows)
     for a in p:

@@ -6,9 +6,9 @@ probabilities, so a path from the left is a segmentation with its probability.
 Sampling without replacement is a best-first search over prefixes of paths: the
 priority of a set of paths is the largest perturbed log-probability in it,
 drawn top-down (Kool et al., "Stochastic Beams and Where to Find Them"; Maddison
-et al., "A* Sampling").  When a path is taken, every set of paths that leaves it
-at some step gets its own largest value, a Gumbel cut off at that of the path,
-and goes to the frontier.  The next path is the frontier's first set: its first
+et al., "A* Sampling").  When a path is taken, the sets of paths that leave it at
+some step get their largest values, Gumbels cut off at that of the path, and as
+many of them as can still matter go to the frontier.  The next path is the frontier's first set: its first
 step is one of the edges that no earlier path took there, the rest is sampled.
 The largest value left in the frontier is the threshold of the inclusion
 probabilities.  Uniform numbers are hashes of the row's key, the sample, the
@@ -17,8 +17,9 @@ pre-token and the step, so a row's samples don't depend on its neighbours.
 
 from __future__ import annotations
 
+import math
 import zlib
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,15 @@ from tidewater.llm.unigram import Vocabulary, pre_tokens, vocabulary
 
 SAMPLES, SEED = 3, 17
 #: Characters of the texts whose lattices are in memory together; a longer text is alone.
-CHARS_AT_ONCE = 1_000_000
+CHARS_AT_ONCE = 500_000
+#: Nodes of lattices that a process keeps between slices of texts.
+NODES_KEPT = 300_000
+#: Log-probability below which what leaves a path can't be seen in 52-bit draws, and below which it isn't weighed at first.
+UNSEEN, FAR = 40.0, 60.0
+#: Log-probability of an edge above which those beside it are added up, as 1 less it is not exact.
+NEAR_ONE = -1e-6
+#: Distance from a pre-token's end from which the sums of its lattice are scaled; closer ones are above e ** -600.
+SCALED = 12
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -47,28 +56,30 @@ def uniform(keys: np.ndarray) -> np.ndarray:
 
 
 class PieceTable:
-    """The pieces by a rolling hash of their characters, for look-ups of whole arrays."""
+    """The pieces and all their beginnings by a rolling hash of their characters, for look-ups of whole arrays."""
+
+    #: What a beginning is that is no piece, and what is no beginning of any.
+    BEGINNING, NOTHING = -1, -2
 
     def __init__(self, words: Vocabulary):
         self.words = words
-        keys = np.array([self.key(p) for p in words.id_of], dtype=np.uint64)
-        order = np.argsort(keys)
-        self.bits = 20
+        found = {piece[:n]: self.BEGINNING for piece in words.id_of for n in range(1, len(piece))} | words.id_of
+        keys = np.array([self.key(p) for p in found], dtype=np.uint64)
+        ids = np.fromiter(found.values(), dtype=np.int32)
+        assert len(np.unique(keys)) == len(keys)
+        self.bits = int(2 * len(keys)).bit_length()
         self.slot_key = np.zeros(1 << self.bits, np.uint64)
-        self.slot_id = np.full(1 << self.bits, -1, np.int32)
-        self.score = np.full(len(words.text_of), -np.inf)
+        self.slot_id = np.full(1 << self.bits, self.NOTHING, np.int32)
+        self.chance = np.zeros(len(words.text_of))
         for piece, i in words.id_of.items():
-            self.score[i] = words.score[piece]
-        ids = np.fromiter(words.id_of.values(), dtype=np.int32)
-        assert len(np.unique(keys)) == len(keys)
-        for i in order:  # open addressing
-            at = int(keys[i]) >> (64 - self.bits)
-            while self.slot_id[at] >= 0:
+            self.chance[i] = math.exp(words.score[piece])
+        self.probes = 1
+        for key, i in zip(keys.tolist(), ids.tolist(), strict=True):  # open addressing
+            own = at = key >> (64 - self.bits)
+            while self.slot_id[at] != self.NOTHING:
                 at = (at + 1) & ((1 << self.bits) - 1)
-            self.slot_key[at], self.slot_id[at] = keys[i], ids[i]
-        # most slots that a key lies beyond its own
-        where = {int(k): a for a, k in enumerate(self.slot_key.tolist()) if k}
-        self.probes = 1 + max((where[int(k)] - (int(k) >> (64 - self.bits))) & ((1 << self.bits) - 1) for k in keys)
+            self.slot_key[at], self.slot_id[at] = key, i
+            self.probes = max(self.probes, 1 + ((at - own) & ((1 << self.bits) - 1)))
 
     @staticmethod
     def key(piece: str) -> int:
@@ -79,106 +90,140 @@ class PieceTable:
         return x
 
     def find(self, keys: np.ndarray) -> np.ndarray:
-        """Ids of keys, -1 where there is no such piece."""
+        """Ids of keys; BEGINNING or NOTHING where there is no such piece."""
         at = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
-        found = np.where(self.slot_key[at] == keys, self.slot_id[at], -1)
+        held = self.slot_key[at]
+        found = np.where(held == keys, self.slot_id[at], self.NOTHING)
+        rest = np.flatnonzero((held != keys) & (held != 0))
         for k in range(1, self.probes):
-            rest = np.flatnonzero(found < 0)
             if not len(rest):
                 break
             slot = (at[rest] + k) & ((1 << self.bits) - 1)
-            found[rest] = np.where(self.slot_key[slot] == keys[rest], self.slot_id[slot], -1)
+            held = self.slot_key[slot]
+            hit = held == keys[rest]
+            found[rest[hit]] = self.slot_id[slot[hit]]
+            rest = rest[~hit & (held != 0)]
         return found
 
 
 class Lattices:
-    """The lattices of distinct pre-tokens; nodes of all of them end to end.
+    """The lattices of distinct pre-tokens, kept from one call to the next; nodes of all of them end to end.
 
-    p[node, k]: probability of the edge of k + 1 characters; id[node, k]: its
-    piece, or -2 minus the character for one that is bytes; rest[node, k]: the
-    log-probability of the node's other edges, added up without the edge itself,
-    -inf only where there is no other.
+    p[node, k]: probability of the edge of k + 1 characters, 0 where there is
+    none; id[node, k]: its piece, or -2 minus the character for one that is
+    bytes; upto[node, k]: probability of the edges up to it.  Beyond NODES_KEPT
+    nodes only frequent pre-tokens are kept.
     """
 
-    def __init__(self, texts: list[str], table: PieceTable):
-        words, longest = table.words, table.words.longest
+    def __init__(self, table: PieceTable):
+        self.table, self.width = table, table.words.longest
+        self.clear()
+
+    def clear(self) -> None:
+        self.index: dict[str, int] = {}
+        self.first = np.zeros(1, np.int64)
+        self.hits = np.zeros(0, np.int64)
+        self.id, self.p, self.upto = self._room(2 * NODES_KEPT)
+
+    def _room(self, nodes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return np.empty((nodes, self.width), np.int32), np.empty((nodes, self.width)), np.empty((nodes, self.width), np.float32)
+
+    def _forget(self) -> None:
+        """Leave the most frequent pre-tokens that were met more than once, to half of the bound."""
+        sizes = np.diff(self.first)
+        often = np.argsort(-self.hits, kind="stable")
+        often = often[(self.hits[often] > 1) & (np.cumsum(sizes[often]) <= NODES_KEPT // 2)]
+        names, at = list(self.index), np.repeat(self.first[often] - np.cumsum(sizes[often]) + sizes[often], sizes[often])
+        at += np.arange(len(at))
+        if len(self.id) > 2 * NODES_KEPT:  # for one very long text
+            old, (self.id, self.p, self.upto) = (self.id, self.p, self.upto), self._room(2 * NODES_KEPT)
+        else:
+            old = self.id, self.p, self.upto
+        for x, y in zip(old, (self.id, self.p, self.upto), strict=True):
+            y[: len(at)] = x[at]
+        self.index = {names[i]: n for n, i in enumerate(often.tolist())}
+        self.first = np.concatenate([[0], np.cumsum(sizes[often])])
+        self.hits = np.zeros(len(often), np.int64)
+
+    def places(self, tokens: list[str]) -> np.ndarray:
+        """The numbers of pre-tokens; those that are new are built."""
+        if self.first[-1] > NODES_KEPT:
+            self._forget()
+        out = np.fromiter(map(self.index.get, tokens, repeat(-1)), dtype=np.int64, count=len(tokens))
+        unknown = np.flatnonzero(out < 0).tolist()
+        if unknown:
+            new = sorted(dict.fromkeys(tokens[i] for i in unknown), key=len)
+            at = len(self.index)
+            self._build(new)
+            self.index.update(zip(new, range(at, at + len(new)), strict=True))
+            out[unknown] = [self.index[tokens[i]] for i in unknown]
+        self.hits += np.bincount(out, minlength=len(self.hits))
+        return out
+
+    def _build(self, texts: list[str]) -> None:
+        """Add the lattices of texts in order of length."""
+        table, words, longest = self.table, self.table.words, self.width
         sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-        self.first = np.concatenate([[0], np.cumsum(sizes)])
-        self.size = sizes
-        n = int(self.first[-1])
+        ends = np.cumsum(sizes)
+        n = int(ends[-1])
         chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
-        left = np.repeat(self.first[1:], sizes) - np.arange(n)  # characters from each node to its pre-token's end
-        self.id = np.full((n, longest), -1, np.int32)
-        edge = np.full((n, longest), -np.inf, np.float32)
-        keys = np.zeros(n, np.uint64)
+        left = np.repeat(ends, sizes) - np.arange(n)  # characters from each node to its pre-token's end
+        base = int(self.first[-1])
+        if base + n > len(self.id):
+            old, room = (self.id, self.p, self.upto), self._room(base + n)
+            for x, y in zip(old, room, strict=True):
+                y[:base] = x[:base]
+            self.id, self.p, self.upto = room
+        ids, p, upto = self.id[base : base + n], self.p[base : base + n], self.upto[base : base + n]
+        ids[:], p[:], upto[:] = -1, 0, 2
+        inside, keys = np.arange(n), np.zeros(n, np.uint64)
         for k in range(longest):
-            inside = np.flatnonzero(left > k)
-            if not len(inside):
-                break
-            x = (keys[inside] + chars[inside + k] + np.uint64(1)) * _A
-            x ^= x >> np.uint64(29)
-            keys[inside] = x
-            found = table.find(x)
+            keys = (keys + chars[inside + k] + np.uint64(1)) * _A
+            keys ^= keys >> np.uint64(29)
+            found = table.find(keys)
             if k == 0:
                 unknown = inside[found < 0]
                 if len(unknown):
-                    self.id[unknown, 0] = -2 - chars[unknown].astype(np.int64)
+                    ids[unknown, 0] = -2 - chars[unknown].astype(np.int64)
                     c = chars[unknown]
-                    edge[unknown, 0] = (1 + (c >= 0x80).astype(int) + (c >= 0x800) + (c >= 0x10000)) * words.byte_score
+                    p[unknown, 0] = np.exp((1 + (c >= 0x80).astype(int) + (c >= 0x800) + (c >= 0x10000)) * words.byte_score)
             hit = found >= 0
-            self.id[inside[hit], k] = found[hit]
-            edge[inside[hit], k] = table.score[found[hit]]
-        # no column beyond the longest piece that occurs
-        longest = int(np.flatnonzero((self.id != -1).any(0)).max(initial=0)) + 1
-        self.id, edge = np.ascontiguousarray(self.id[:, :longest]), np.ascontiguousarray(edge[:, :longest])
-        # backward sums, nodes with the same distance to the end together
-        after = np.zeros(n + longest + 1)
-        order = np.argsort(left, kind="stable")
-        bounds = np.searchsorted(left[order], np.arange(1, (left.max() if n else 0) + 2))
-        steps = np.arange(1, longest + 1)
-        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            own = order[a:b]
-            d = int(left[own[0]])
+            at, own = inside[hit], found[hit]
+            ids[at, k], p[at, k] = own, table.chance[own]
+            more = (found != table.NOTHING) & (left[inside] > k + 1)
+            inside, keys = inside[more], keys[more]
+            if not len(inside):
+                break
+        # backward sums, the nodes of all pre-tokens of some lengths that are as far from their ends together;
+        # exponent: what the sums were scaled by, in steps that keep them far from the smallest numbers
+        after, exponent = np.zeros(n + 1), np.zeros(n + 1, np.int64)
+        for d in range(1, int(sizes[-1]) + 1):
+            own = ends[np.searchsorted(sizes, d) :] - d
             m = min(d, longest)
-            # the end of the pre-token has a sum of one; later nodes belong to another
-            nxt = np.where(steps[:m] == d, 0.0, after[own[:, None] + steps[:m]])
-            total = edge[own, :m] + nxt
-            top = total.max(1)
-            total = np.exp(total - top[:, None])
-            s = total.sum(1)
-            after[own] = top + np.log(s)
-            edge[own, :m] = total / s[:, None]
-            edge[own, m:] = 0
-        self.p, self.after, self.left, self.table = edge, after, left, table
-        self.upto = np.cumsum(edge, 1, dtype=np.float32)
-        rest = np.zeros_like(edge)
-        rest[:, 1:] = self.upto[:, :-1]
-        rest[:, :-1] += np.cumsum(edge[:, :0:-1], 1, dtype=np.float32)[:, ::-1]
-        with np.errstate(divide="ignore"):
-            self.rest = np.log(rest)
-        # edges too improbable for a float32 number
-        tiny = (rest < 1e-30) & (self.id != -1)
-        for node in np.flatnonzero(tiny.any(1) & ((self.id != -1).sum(1) > 1)).tolist():
-            own = self.edge_logs(node)
-            for k in np.flatnonzero(tiny[node]).tolist():
-                self.rest[node, k] = np.logaddexp.reduce(np.delete(own, k))
-        if n:  # rounding mustn't lead beyond the last edge
-            last = longest - 1 - np.argmax(edge[:, ::-1] > 0, axis=1)
-            self.upto[np.arange(longest) >= last[:, None]] = 2
-
-    def edge_logs(self, node: int) -> np.ndarray:
-        """Log-probabilities of a node's edges in float64, -inf where there is none."""
-        ids, left = self.id[node], int(self.left[node])
-        out = np.full(len(ids), -np.inf)
-        for k in np.flatnonzero(ids != -1).tolist():
-            i = int(ids[k])
-            score = self.table.score[i] if i >= 0 else len(chr(-2 - i).encode("utf-8", "surrogatepass")) * self.table.words.byte_score
-            out[k] = score + (0.0 if k + 1 == left else self.after[node + k + 1]) - self.after[node]
-        return out
-
-    def pick(self, nodes: np.ndarray, u: np.ndarray) -> np.ndarray:
-        """An edge of each node by its probability, as its characters minus one."""
-        return (self.upto[nodes] <= u[:, None].astype(np.float32)).sum(1)
+            weight = p[own, :m]
+            nxt = np.empty_like(weight)
+            for k in range(m):
+                nxt[:, k] = 1.0 if k + 1 == d else after[own + k + 1]
+            if d > SCALED:
+                scale = exponent[own + 1]
+                for k in range(1, m):  # of later nodes, which were scaled less or as much
+                    nxt[:, k] = np.ldexp(nxt[:, k], (scale - (0 if k + 1 == d else exponent[own + k + 1])).clip(-2000, 2000).astype(np.int32))
+            weight *= nxt
+            total = weight.sum(1)
+            weight /= total[:, None]
+            p[own, :m] = weight
+            sums = np.cumsum(weight, 1)
+            # rounding mustn't lead beyond the last edge
+            last = m - 1 - np.argmax(ids[own, :m][:, ::-1] != -1, axis=1)
+            sums[np.arange(m) >= last[:, None]] = 2
+            upto[own, :m] = sums
+            if d >= SCALED:
+                shift = np.frexp(total)[1]
+                exponent[own] = (exponent[own + 1] if d > 1 else 0) - shift
+                total = np.ldexp(total, -shift)
+            after[own] = total
+        self.first = np.concatenate([self.first, self.first[-1] + ends])
+        self.hits = np.concatenate([self.hits, np.zeros(len(texts), np.int64)])
 
     def walk(self, pre: np.ndarray, pos: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sample paths from a position of each pre-token to its end: (line, node, edge) in order of line and step.
@@ -186,19 +231,20 @@ class Lattices:
         A line is a pre-token of the input, whose random numbers come from its key and the positions.
         """
         nodes, edges, lines = [], [], []
-        at, end, began = self.first[pre] + pos, self.first[pre + 1], self.first[pre]
-        live = np.flatnonzero(at < end)
+        began, end = self.first[pre], self.first[pre + 1]
+        live = np.flatnonzero(began + pos < end)
+        own, stop, key = (began + pos)[live], end[live], (keys - began.astype(np.uint64))[live]
         steps = np.zeros(len(pre), np.int64)
         while len(live):
-            own = at[live]
-            k = self.pick(own, uniform(keys[live] + (own - began[live]).astype(np.uint64)))
+            u = uniform(key + own.astype(np.uint64)).astype(np.float32)
+            k = (np.take(self.upto, own, axis=0) <= u[:, None]).sum(1)
             lines.append(live)
             nodes.append(own)
             edges.append(k)
             steps[live] += 1
             own = own + k + 1
-            at[live] = own
-            live = live[own < end[live]]
+            more = own < stop
+            live, own, stop, key = live[more], own[more], stop[more], key[more]
         start = np.cumsum(steps) - steps
         out = np.empty((2, int(steps.sum())), np.int64)
         for r, (line, n, e) in enumerate(zip(lines, nodes, edges, strict=True)):
@@ -215,33 +261,98 @@ def cut_gumbel(location: np.ndarray, top: np.ndarray, u: np.ndarray) -> np.ndarr
         return top - np.logaddexp(0.0, np.log(-np.log(u)) - shift)
 
 
-def open_sets(logs: np.ndarray, rest: np.ndarray, starts: np.ndarray, before: np.ndarray, values: np.ndarray, keys: np.ndarray, begins: np.ndarray, keep: int) -> list[list[tuple[float, int]]]:
-    """For paths end to end, the ``keep`` largest sets that leave each, as (perturbed value, step).
+class Path:
+    """A segmentation: its steps' lines, nodes, edges, log-probabilities and ids, and its perturbed value."""
+
+    __slots__ = ("value", "lines", "nodes", "edges", "logs", "ids", "begin", "before", "excluded", "key")
+
+    def __init__(self, value, steps, begin, excluded, key):
+        self.value, self.begin, self.excluded, self.key = value, begin, excluded, key
+        self.lines, self.nodes, self.edges, self.logs, self.ids = steps
+        self.before = float(self.logs[:begin].sum()) if begin else 0.0
+
+    def until(self, far: float) -> int:
+        """Steps from ``begin`` on until what is beyond has a probability of e ** -far at most, or all of them."""
+        n = len(self.logs) - self.begin
+        for size in (256, 4096):
+            if n > size:
+                at = int(np.searchsorted(-np.cumsum(self.logs[self.begin : self.begin + size]), far))
+                if at < size:
+                    return at + 1
+        return n
+
+
+def open_sets(paths: list[Path], lattices: Lattices, keep: int, far: float = FAR) -> list[list[tuple[float, int]]]:
+    """For each path the ``keep`` largest of the sets of paths that leave it from its step ``begin`` on, as (perturbed value, step).
 
-    logs: log-probabilities of the steps from ``begins`` on; rest: those of the
-    steps' edges that no path took, -inf where there are none; starts: where each
-    path's are, and the end of all; before: the log-probability of what comes
-    before; values: the paths' perturbed values.
+    The largest value among independent sets is that of their union, and it is
+    the set's in proportion to their probabilities; the next largest is cut off
+    there, among the sets that are left.  So one draw finds a set, and what
+    leaves a path late is only weighed where it can matter: all sets from a step
+    on have the probability of the steps before it at most.  Paths where that
+    isn't below the resolution of the draws are weighed farther on.
     """
-    out: list[list[tuple[float, int]]] = [[] for _ in begins]
-    sizes = np.diff(starts)
-    if not len(logs):
-        return out
-    path = np.repeat(np.arange(len(begins)), sizes)
-    inner = np.arange(len(logs)) - starts[path]
-    upto = np.cumsum(logs)
-    upto = upto - logs - (upto - logs)[starts[path]] + before[path]
+    out: list[list[tuple[float, int]]] = [[] for _ in paths]
+    total = np.array([len(p.logs) - p.begin for p in paths], np.int64)
+    sizes = np.array([p.until(far) for p in paths], np.int64)
     filled = np.flatnonzero(sizes)
+    if not len(filled):
+        return out
+    cut = [(p.begin, p.begin + n) for p, n in zip(paths, sizes.tolist(), strict=True)]
+    nodes, edges, logs = (np.concatenate([getattr(p, name)[a:b] for p, (a, b) in zip(paths, cut, strict=True)]) for name in ("nodes", "edges", "logs"))
+    ends = np.cumsum(sizes)
+    starts = (ends - sizes)[filled]
+    own = np.repeat(np.arange(len(filled)), sizes[filled])
+    # the edges that no path took there
+    rest = -np.expm1(logs)
+    heads = [(at, paths[i].excluded) for at, i in zip(starts.tolist(), filled.tolist(), strict=True) if paths[i].excluded]
+    near = logs > NEAR_ONE
+    near[[at for at, _ in heads]] = True
+    near = np.flatnonzero(near)
+    rows = lattices.p[nodes[near]]
+    rows[np.arange(len(rows)), edges[near]] = 0
+    for row, (_, excluded) in zip(np.searchsorted(near, [at for at, _ in heads]).tolist(), heads, strict=True):
+        rows[row, excluded] = 0
+    rest[near] = rows.sum(1)
+    with np.errstate(divide="ignore"):
+        rest = np.log(rest)
+    before = np.cumsum(logs)
+    shift = np.array([paths[i].before for i in filled.tolist()])
+    upto = before - logs - (before - logs)[starts][own] + shift[own]
+    beyond = np.where(total[filled] > sizes[filled], (upto + logs)[ends[filled] - 1], -np.inf)
     location = upto + rest
-    g = cut_gumbel(location, values[path], uniform(keys[path] + (inner + begins[path]).astype(np.uint64)))
-    for _ in range(keep):
-        most = np.maximum.reduceat(g, starts[filled])
-        at = np.flatnonzero(g == np.repeat(most, sizes[filled]))
-        first = at[np.unique(path[at], return_index=True)[1]]
-        for i, x, s in zip(path[first].tolist(), g[first].tolist(), inner[first].tolist(), strict=True):
-            if x > -np.inf:
-                out[i].append((x, s + int(begins[i])))
-        g[first] = -np.inf
+    top = np.array([paths[i].value for i in filled.tolist()])
+    keys = np.array([paths[i].key for i in filled.tolist()], np.uint64)
+    found: list[list[tuple[float, int]]] = [[] for _ in filled]
+    live = np.ones(len(filled), bool)
+    whole = np.zeros(len(filled), bool)
+    for r in range(keep):
+        most = np.maximum.reduceat(location, starts)
+        # the sets beyond the window can't be told from rounding, or the path is weighed anew
+        whole |= live & (beyond > np.where(most > -np.inf, most - UNSEEN, -np.inf))
+        live &= (most > -np.inf) & ~whole
+        if not live.any():
+            break
+        weight = np.exp(location - np.where(live, most, np.inf)[own])
+        sums = np.cumsum(weight)
+        mass = np.add.reduceat(weight, starts)
+        with np.errstate(divide="ignore"):
+            value = cut_gumbel(np.where(live, most, 0.0) + np.log(np.where(live, mass, 1.0)), top, uniform(keys + np.uint64(2 * r)))
+        target = (sums - weight)[starts] + uniform(keys + np.uint64(2 * r + 1)) * mass
+        at = np.clip(np.searchsorted(sums, target, side="right"), starts, ends[filled] - 1)
+        # a set of no weight is taken by rounding only: the heaviest stands for it
+        for j in np.flatnonzero(live & (weight[at] == 0)).tolist():
+            at[j] = starts[j] + int(weight[starts[j] : ends[filled[j]]].argmax())
+        for j in np.flatnonzero(live).tolist():
+            found[j].append((float(value[j]), int(at[j] - starts[j]) + paths[filled[j]].begin))
+        location[at[live]] = -np.inf
+        top = np.where(live, value, top)
+    for j, i in enumerate(filled.tolist()):
+        out[i] = found[j]
+    again = filled[whole].tolist()
+    if again:
+        for i, sets in zip(again, open_sets([paths[i] for i in again], lattices, keep, 4 * far), strict=True):
+            out[i] = sets
     return out
 
 
@@ -251,110 +362,102 @@ class Search:
     def __init__(self, key: np.uint64):
         self.key, self.paths, self.frontier = key, [], []
 
-    def take(self, value: float, path: dict, begin: int, excluded: list[int], sets: list[tuple[float, int]]) -> None:
-        """Add a path with its perturbed value, and the sets that leave it at steps from ``begin`` on."""
-        path["value"] = value
+    def take(self, path: Path, sets: list[tuple[float, int]]) -> None:
+        """Add a path and the sets that leave it."""
+        n = len(self.paths)
         self.paths.append(path)
-        edge, n = path["edges"], len(self.paths) - 1
-        self.frontier += [(g, n, s, [*(excluded if s == begin else []), int(edge[s])]) for g, s in sets]
+        self.frontier += [(g, n, s, [*(path.excluded if s == path.begin else []), int(path.edges[s])]) for g, s in sets]
         self.frontier.sort(key=lambda x: -x[0])
 
 
-def sample_texts(texts: list[str], keys: list[int], table: PieceTable, k: int = SAMPLES, seed: int = SEED) -> list[list[dict]]:
+def sample_texts(texts: list[str], keys: list[int], lattices: Lattices, k: int = SAMPLES, seed: int = SEED) -> list[list[dict]]:
     """For each text its sampled segmentations, best perturbed value first.
 
     Each has ids, log_prob, perturbed and inclusion.  Fewer than k where the
     text has no more; an empty text has one, of no pieces.
     """
-    words = table.words
+    words = lattices.table.words
     parts = [pre_tokens(t) for t in texts]
-    distinct = dict.fromkeys(chain.from_iterable(parts))
-    distinct = dict(zip(distinct, range(len(distinct)), strict=True))
     counts = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
     offset = np.concatenate([[0], np.cumsum(counts)])
-    flat = np.fromiter(map(distinct.__getitem__, chain.from_iterable(parts)), dtype=np.int64, count=int(offset[-1]))
-    lattices = Lattices(list(distinct), table)
+    flat = lattices.places(list(chain.from_iterable(parts)))
     row_keys = mix(np.array([x & (2**64 - 1) for x in keys], dtype=np.uint64) + np.array([seed], np.uint64) * _A)
     token_keys = mix(np.repeat(row_keys, counts) + (np.arange(len(flat)) - np.repeat(offset[:-1], counts)).astype(np.uint64) * _C)
     searches = [Search(key) for key in row_keys]
 
+    def path_keys(sample: int) -> np.ndarray:
+        return mix(row_keys + np.array([1_000_003 + sample], np.uint64) * _B)
+
     def walked(lines: np.ndarray, pos: np.ndarray, sample: int):
         at, nodes, edges = lattices.walk(flat[lines], pos, mix(token_keys[lines] + np.array([sample + 1], np.uint64) * _B))
-        return at, lines[at], nodes, edges, np.log(lattices.p[nodes, edges].astype(np.float64)), lattices.id[nodes, edges]
+        flat_edges = nodes * lattices.width + edges
+        return at, (lines[at], nodes, edges, np.log(np.take(lattices.p.ravel(), flat_edges)), np.take(lattices.id.ravel(), flat_edges))
 
     # first paths, all together
-    at, lines, nodes, edges, logs, ids = walked(np.arange(len(flat)), np.zeros(len(flat), np.int64), 0)
-    ends = np.searchsorted(at, offset)
-    roots = -np.log(-np.log(uniform(row_keys + np.array([1_000_001], np.uint64))))
-    zero = np.zeros(len(texts))
-    sets = open_sets(logs, lattices.rest[nodes, edges].astype(np.float64), ends, zero, roots, mix(row_keys + np.array([1_000_003], np.uint64) * _B), zero.astype(np.int64), k)
-    for i, search in enumerate(searches):
-        a, b = ends[i], ends[i + 1]
-        search.take(float(roots[i]), {"lines": lines[a:b], "nodes": nodes[a:b], "edges": edges[a:b], "logs": logs[a:b], "ids": ids[a:b]}, 0, [], sets[i])
+    at, steps = walked(np.arange(len(flat)), np.zeros(len(flat), np.int64), 0)
+    ends = np.searchsorted(at, offset).tolist()
+    roots = (-np.log(-np.log(uniform(row_keys + np.array([1_000_001], np.uint64))))).tolist()
+    made = [Path(roots[i], [x[a:b] for x in steps], 0, [], key) for i, (a, b, key) in enumerate(zip(ends, ends[1:], path_keys(0), strict=False))]
+    for search, path, sets in zip(searches, made, open_sets(made, lattices, k), strict=True):
+        search.take(path, sets)
     for sample in range(1, k):
         going = [i for i, s in enumerate(searches) if s.frontier and len(s.paths) == sample]
         if not going:
             break
-        starts = []
+        starts, own_keys = [], path_keys(sample)
         for i in going:
             search = searches[i]
             value, parent, step, excluded = search.frontier.pop(0)
             path = search.paths[parent]
-            node = int(path["nodes"][step])
-            own = lattices.edge_logs(node)
-            left = own.copy()
-            left[excluded] = -np.inf
-            weights = np.exp(left - left.max())
+            node = int(path.nodes[step])
+            weights = lattices.p[node].copy()
+            weights[excluded] = 0
             u = float(uniform(mix(search.key + np.array([2_000_003 + sample], np.uint64) * _B) + np.array([step], np.uint64))[0])
             upto = np.cumsum(weights)
             edge = int(min(np.searchsorted(upto, u * upto[-1], side="right"), np.flatnonzero(weights)[-1]))
-            left[edge] = -np.inf
-            starts.append((i, value, path, step, excluded, node, edge, float(own[edge]), float(np.logaddexp.reduce(left)), int(path["lines"][step])))
-        sizes = np.array([offset[i + 1] - line for i, *_, line in starts])
+            starts.append((i, value, path, step, excluded, node, edge, int(path.lines[step])))
+        lasts = np.array([line for *_, line in starts])
+        sizes = offset[np.array(going) + 1] - lasts
         heads = np.cumsum(sizes) - sizes
-        where = np.arange(int(sizes.sum())) + np.repeat(np.array([line for *_, line in starts]) - heads, sizes)
+        where = np.arange(int(sizes.sum())) + np.repeat(lasts - heads, sizes)
         begin = np.zeros(len(where), np.int64)
-        begin[heads] = [node + edge + 1 - lattices.first[flat[line]] for *_, node, edge, _, _, line in starts]
-        at, lines, nodes, edges, logs, ids = walked(where, begin, sample)
-        ends = np.searchsorted(at, np.append(heads, len(where)))
-        taken = []
-        for j, (_, _, path, step, _, node, edge, log, _, line) in enumerate(starts):
-            a, b = ends[j], ends[j + 1]
-            first = {"lines": line, "nodes": node, "edges": edge, "logs": log, "ids": lattices.id[node, edge]}
-            rest = {"lines": lines, "nodes": nodes, "edges": edges, "logs": logs, "ids": ids}
-            taken.append({name: np.concatenate([path[name][:step], [first[name]], x[a:b]]) for name, x in rest.items()})
-        steps = np.array([x[3] for x in starts])
-        after = [t["logs"][s:] for t, s in zip(taken, steps, strict=True)]
-        heads = np.concatenate([[0], np.cumsum([len(x) for x in after])])
-        untaken = lattices.rest[np.concatenate([t["nodes"][s:] for t, s in zip(taken, steps, strict=True)]), np.concatenate([t["edges"][s:] for t, s in zip(taken, steps, strict=True)])].astype(np.float64)
-        untaken[heads[:-1]] = [x[8] for x in starts]  # a first step's edges that earlier paths took are gone too
-        sets = open_sets(
-            np.concatenate(after), untaken, heads, np.array([t["logs"][:s].sum() for t, s in zip(taken, steps, strict=True)]), np.array([x[1] for x in starts]),
-            mix(row_keys[[x[0] for x in starts]] + np.array([1_000_003 + sample], np.uint64) * _B), steps, k,
-        )
-        for (i, value, _, step, excluded, *_), path, own in zip(starts, taken, sets, strict=True):
-            searches[i].take(value, path, step, excluded, own)
+        begin[heads] = [node + edge + 1 for *_, node, edge, _ in starts] - lattices.first[flat[lasts]]
+        at, steps = walked(where, begin, sample)
+        ends = np.searchsorted(at, np.append(heads, len(where))).tolist()
+        made = []
+        for (i, value, path, step, excluded, node, edge, line), a, b in zip(starts, ends, ends[1:], strict=False):
+            first = (line, node, edge, math.log(lattices.p[node, edge]), lattices.id[node, edge])
+            old = (path.lines, path.nodes, path.edges, path.logs, path.ids)
+            own = [np.concatenate([x[:step], np.array([f], x.dtype), y[a:b]]) for x, f, y in zip(old, first, steps, strict=True)]
+            made.append(Path(value, own, step, excluded, own_keys[i]))
+        for i, path, sets in zip(going, made, open_sets(made, lattices, k - sample), strict=True):
+            searches[i].take(path, sets)
     out = []
     for search in searches:
         threshold = search.frontier[0][0] if search.frontier else -np.inf
         rows = []
         for path in search.paths:
-            ids, log = path["ids"], float(path["logs"].sum())
-            if len(ids) and ids.min() < 0:
-                ids = np.array([x for i in ids.tolist() for x in ([i] if i >= 0 else words.fallback(chr(-2 - i)))], np.int32)
+            ids, log = path.ids, float(path.logs.sum())
+            if len(unknown := np.flatnonzero(ids < 0)):
+                spelt = [words.fallback(chr(-2 - i)) for i in ids[unknown].tolist()]
+                sizes = np.ones(len(ids), np.int64)
+                sizes[unknown] = list(map(len, spelt))
+                known = np.repeat(ids >= 0, sizes)
+                ids = np.repeat(ids, sizes)
+                ids[~known] = list(chain.from_iterable(spelt))
             inclusion = float(-np.expm1(-np.exp(min(log - threshold, 700.0)))) if np.isfinite(threshold) else 1.0
-            rows.append({"ids": ids, "log_prob": log, "perturbed": path["value"], "inclusion": inclusion})
+            rows.append({"ids": ids, "log_prob": log, "perturbed": path.value, "inclusion": inclusion})
         out.append(rows)
     return out
 
 
-_TABLES: dict[str | None, PieceTable] = {}
+_LATTICES: dict[str | None, Lattices] = {}
 
 
-def piece_table(path: str | None = None) -> PieceTable:
-    if path not in _TABLES:
-        _TABLES[path] = PieceTable(vocabulary(path))
-    return _TABLES[path]
+def piece_lattices(path: str | None = None) -> Lattices:
+    if path not in _LATTICES:
+        _LATTICES[path] = Lattices(PieceTable(vocabulary(path)))
+    return _LATTICES[path]
 
 
 SCHEMA = "doc_id long, rank int, n_pieces long, ids_crc32 long, log_prob double, perturbed double, inclusion double, round_trip boolean"
@@ -372,7 +475,8 @@ def sample_segmentations(docs: DataFrame, k: int = SAMPLES, seed: int = SEED, vo
     """
 
     def run(batches):
-        table = piece_table(vocabulary_path)
+        lattices = piece_lattices(vocabulary_path)
+        decode = lattices.table.words.decode
         for batch in slices(batches, 512):
             doc_ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             at = 0
@@ -384,10 +488,10 @@ def sample_segmentations(docs: DataFrame, k: int = SAMPLES, seed: int = SEED, vo
                 part = texts[at:end]
                 keys = [zlib.crc32(t.encode("utf-8", "surrogatepass")) if d is None else d for d, t in zip(doc_ids[at:end], part, strict=True)]
                 rows, ids = [], []
-                for d, t, found in zip(doc_ids[at:end], part, sample_texts(part, keys, table, k, seed), strict=True):
+                for d, t, found in zip(doc_ids[at:end], part, sample_texts(part, keys, lattices, k, seed), strict=True):
                     for rank, x in enumerate(found, 1):
                         crc = zlib.crc32(np.ascontiguousarray(x["ids"], dtype="<u4").tobytes())
-                        rows.append((d, rank, len(x["ids"]), crc, x["log_prob"], x["perturbed"], x["inclusion"], table.words.decode(x["ids"].tolist()) == t))
+                        rows.append((d, rank, len(x["ids"]), crc, x["log_prob"], x["perturbed"], x["inclusion"], decode(x["ids"]) == t))
                         if with_ids:
                             ids.append(x["ids"])
                 columns = list(zip(*rows, strict=True))

@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +49,7 @@ class Vocabulary:
             if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 piece = model.id_to_piece(i).replace(SPACE, " ")
                 self.id_of[piece], self.text_of[i] = i, piece.encode()
+        self.texts = np.array([*self.text_of, None], dtype=object)[:-1]
         total = math.log(sum(1 / (r + SHIFT) for r in range(1, len(self.id_of) + 2)))
         for rank, piece in enumerate(sorted(self.id_of, key=self.id_of.get), 1):
             self.score[piece] = -math.log(rank + SHIFT) - total
@@ -59,7 +61,7 @@ class Vocabulary:
 
     def decode(self, ids) -> str:
         """The text of ids: the pieces' bytes without the space in front."""
-        return b"".join(map(self.text_of.__getitem__, ids))[1:].decode("utf-8", "surrogatepass")
+        return b"".join(self.texts[np.asarray(ids, np.int64)].tolist())[1:].decode("utf-8", "surrogatepass")
 
 
 _VOCABULARIES: dict[str | None, Vocabulary] = {}
