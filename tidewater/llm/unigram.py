@@ -23,8 +23,8 @@ from tidewater.llm.shared import map_batches, slices
 SPACE = "▁"
 #: The shift of the Zipf-Mandelbrot law.
 SHIFT = 2.7
-#: Trie nodes and pre-tokens' counts that a process keeps; a longer pre-token than LONGEST_SHARED isn't put in the trie.
-TRIE_NODES, KEPT, LONGEST_SHARED = 400_000, 300_000, 256
+#: Trie nodes, and characters of pre-tokens with their counts, that a process keeps; the trie goes beyond by one pre-token at most.
+TRIE_NODES, KEPT_CHARS = 400_000, 3_000_000
 
 _PRE = re.compile(r" +[^ \n]*|[^ \n]+|\n")
 
@@ -116,24 +116,19 @@ class Trie:
 
     def insert(self, text: str) -> tuple[float, int]:
         """(best score, pieces) of a pre-token."""
-        shared = len(text) <= LONGEST_SHARED
-        if shared and len(self.best) >= self.most_nodes:
+        if len(self.best) >= self.most_nodes:
             self.clear()
         best, count, node = [0.0], [0], 0
         for at, char in enumerate(text, 1):
-            if shared and (found := self.children.get((node, char))) is not None:
-                node = found
-                best.append(self.best[node])
-                count.append(self.count[node])
-                continue
-            s, m = self._score(text, at, best, count)
-            best.append(s)
-            count.append(m)
-            if shared:
-                self.children[node, char] = len(self.best)
-                node = len(self.best)
-                self.best.append(s)
-                self.count.append(m)
+            child = self.children.get((node, char))
+            if child is None:
+                score, pieces = self._score(text, at, best, count)
+                child = self.children[node, char] = len(self.best)
+                self.best.append(score)
+                self.count.append(pieces)
+            node = child
+            best.append(self.best[node])
+            count.append(self.count[node])
         return best[-1], count[-1]
 
 
@@ -142,14 +137,14 @@ class Counter(dict):
 
     def __init__(self, words: Vocabulary):
         super().__init__()
-        self.trie = Trie(words)
+        self.trie, self.chars = Trie(words), 0
 
     def __missing__(self, text: str) -> int:
-        if len(self) >= KEPT:
+        if self.chars >= KEPT_CHARS:
             self.clear()
-        n = self.trie.insert(text)[1]
-        if len(text) <= LONGEST_SHARED:
-            self[text] = n
+            self.chars = 0
+        self.chars += len(text)
+        n = self[text] = self.trie.insert(text)[1]
         return n
 
 
@@ -170,7 +165,8 @@ def token_counts(docs: DataFrame, vocabulary_path: str | None = None) -> DataFra
 
     Null and empty texts have none.  Null or repeated doc_ids: a row each.
     Empty table: no rows.  Other columns aren't read.  It is one pass without a
-    shuffle; the trie and the kept counts are bounded.
+    shuffle; the trie and the kept counts are bounded, so a very long text costs
+    the memory of its longest pre-token beside that.
     """
 
     def run(batches):
