@@ -117,6 +117,18 @@ class Engine:
         with self.settings():
             self.catalog.register(name, df, tuple(key), tuple(json_columns))
 
+    def load(self, name: str, df: DataFrame) -> Modified:
+        """Add all rows of a DataFrame to a declared type, by column name; columns that it lacks are missing or counted on."""
+        with self.settings():
+            t = self.writable(name)
+
+            def change():
+                return self.catalog.load(t, df)
+
+            rows = self.guarded(t, change)
+            self.changed(name)
+            return Modified(rows)
+
     def prepare(self, text: str, sql: bool = False) -> Prepared:
         return Prepared(self, text, sql)
 

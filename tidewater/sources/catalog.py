@@ -236,6 +236,31 @@ class Catalog:
             t.segments = [*t.segments[:-MERGED], path]
         return out
 
+    def load(self, t: Table, df: DataFrame) -> int:
+        """Add the rows of a DataFrame as one segment; their identities are made once, when it is written."""
+        given = {f.name: kind_of(f.dataType) for f in df.schema.fields}
+        cols, at = [], F.monotonically_increasing_id()
+        for c in t.columns:
+            if c.name not in given:
+                cols.append((at + t.next_auto).alias(c.name) if c.auto else F.lit(None if c.default is None else coerce(c.default, c.kind, c.name)).cast(SPARK[c.kind]).alias(c.name))
+            elif given[c.name] == c.kind or c.kind == "json" and given[c.name] == "str" or (given[c.name], c.kind) == ("int", "float"):
+                cols.append(F.col(f"`{c.name}`").cast(SPARK[c.kind]).alias(c.name))
+            else:
+                raise LanguageError(f"column '{c.name}' is {c.kind}, the rows have {given[c.name]}")
+        path = self.new_segment(t.name, "all")
+        df.select((at + t.next_rid).alias(RID), *cols).write.parquet(path)
+        new = self.spark.read.schema(t.schema).parquet(path)
+        said = new.agg(F.count(F.lit(1)), F.max(RID), *(F.count(F.when(F.col(f"`{c.name}`").isNull(), 1)) if c.required else F.max(F.col(f"`{c.name}`")) for c in t.columns if c.required or c.auto)).first()
+        for c, n in zip((c for c in t.columns if c.required or c.auto), said[2:], strict=True):
+            if c.required and n:
+                raise LanguageError(f"column '{c.name}' is required")
+            if c.auto and n is not None and not c.required:
+                t.next_auto = max(t.next_auto, n + 1)
+        t.segments = [*t.segments, path]
+        t.next_rid = max(t.next_rid, (said[1] or 0) + 1)
+        self.check_unique(t)
+        return said[0]
+
     def replace(self, t: Table, df: DataFrame) -> None:
         path = self.new_segment(t.name, "all")
         df.select(*t.schema.names).write.parquet(path)
