@@ -89,8 +89,8 @@ def test_simhash(spark):
     assert simhash_groups(none(spark)).count() == 0
 
 
-@pytest.mark.parametrize("width", [2, 3, 4, 5])
-def test_pigeonhole_search_is_complete(spark, width, monkeypatch):
+@pytest.mark.parametrize(("width", "plain", "together"), [(2, 32, 2048), (3, 2, 3), (4, 0, 5), (5, 1, 2)])
+def test_pigeonhole_search_is_complete(spark, width, plain, together, monkeypatch):
     from tidewater.llm import simhash
     from tidewater.llm.shared import Scratch
 
@@ -100,6 +100,8 @@ def test_pigeonhole_search_is_complete(spark, width, monkeypatch):
     flips = np.array([np.bitwise_or.reduce(np.uint64(1) << rng.choice(64, rng.integers(0, 7), replace=False).astype(np.uint64)) for _ in base], dtype=np.uint64)
     fps = np.unique(np.concatenate([base, base ^ flips])).view(np.int64).tolist()
     monkeypatch.setattr(simhash.Plan, "best_width", lambda self: width)
+    monkeypatch.setattr(simhash, "PLAIN", plain)
+    monkeypatch.setattr(simhash, "TOGETHER", together)
     scratch = Scratch(spark, "test")
     got = {r["fp"]: r["root"] for r in simhash.fingerprint_components(scratch.save(spark.createDataFrame([(x,) for x in fps], "fp long"), "fps"), scratch).collect()}
     roots = plain_components(fps, lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count() <= 4)
@@ -109,6 +111,49 @@ def test_pigeonhole_search_is_complete(spark, width, monkeypatch):
     assert {frozenset(g) for g in groups.values()} == {frozenset(x for x in fps if got[x] == r) for r in set(got.values())}
 
 
+def test_bucket_of_near_copies(spark, monkeypatch):
+    """Candidates of one large group grow with its size and not with the square of it, and no link is lost."""
+    from tidewater.llm import simhash
+    from tidewater.llm.shared import Scratch
+
+    rng, counted, real = np.random.default_rng(5), [], simhash.candidates
+    copies = np.array([np.bitwise_or.reduce(np.uint64(1) << rng.choice(64, 3, replace=False).astype(np.uint64)) for _ in range(5000)], dtype=np.uint64)
+    fps = np.unique(np.concatenate([copies ^ np.uint64(0x123456789ABCDEF1), rng.integers(0, 1 << 64, 5000, dtype=np.uint64)]))
+
+    def counting(index, probes):
+        out = real(index, probes)
+        counted.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "candidates", counting)
+    scratch = Scratch(spark, "test")
+    table = scratch.save(spark.createDataFrame([(x,) for x in fps.view(np.int64).tolist()], "fp long"), "fps")
+    got = {r["fp"]: r["root"] for r in simhash.fingerprint_components(table, scratch).collect()}
+    assert counted[0] < 20 * len(fps)
+    pairs = [(i, j) for i in range(len(fps)) for j in np.flatnonzero(np.bitwise_count(fps[i] ^ fps[:i]) <= 4)]
+    root = list(range(len(fps)))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for i, j in pairs:
+        root[max(find(i), find(j))] = min(find(i), find(j))
+    groups = defaultdict(set)
+    for i, x in enumerate(fps.view(np.int64).tolist()):
+        groups[find(i)].add(x)
+    assert {frozenset(g) for g in groups.values()} == {frozenset(x for x in xs) for xs in _by_root(got).values()}
+
+
+def _by_root(got):
+    out = defaultdict(set)
+    for x, r in got.items():
+        out[r].add(x)
+    return out
+
+
 def test_keep_one(spark):
     from tidewater.llm.simhash import keep_one, simhash_groups
 

@@ -75,7 +75,7 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         small = _small_star(large)
         new = scratch.save(small, "stars")
         # stars: each non-root has one link, to its root, and no root has a link
-        if not new.join(new.select(F.col("u").alias("w")), new["v"] == F.col("w"), "left_semi").take(1) and not new.groupBy("u").count().where("count > 1").take(1):
+        if not new.join(new.select(F.col("u").alias("w")).hint("merge"), new["v"] == F.col("w"), "left_semi").take(1) and not new.groupBy("u").count().where("count > 1").take(1):
             scratch.drop(edges)
             return new.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(new.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         scratch.drop(edges)
@@ -87,11 +87,12 @@ def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
     larger = both.where("v > u")
-    return larger.join(low, larger["u"] == low["k"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    # merged, so that the skew join splits the links of a large star
+    return larger.join(low.hint("merge"), larger["u"] == low["k"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Link a node and its smaller neighbours to the smallest of them; links here point from larger to smaller."""
     low = edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
-    joined = edges.join(low, edges["u"] == low["k"])
+    joined = edges.join(low.hint("merge"), edges["u"] == low["k"])
     return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct()

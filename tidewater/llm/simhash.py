@@ -10,8 +10,9 @@ that a partition in which many agree gets a low one.  Fingerprints then probe
 an index of exact partition values, and the join itself verifies the distance.
 
 Equal fingerprints are one row from the start.  Dense groups are contracted
-along a few verified links before the search, which then only returns links
-between different parts.
+along a few verified links before the search, which then only looks for links
+between different parts: of a bucket, the rows of the part that has most of it
+aren't compared with each other, and a large bucket is dealt to several tasks.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.llm.components import components
@@ -33,8 +34,9 @@ BITS, RADIUS, SHINGLE, SEED = 64, 4, 4, 42
 PARTITIONS, PROBE_COST, CANDIDATE_COST = (2, 3, 4, 5), 1.5, 0.03
 #: Bits whose joint values are counted for the estimates; the counts are 8 * 256 numbers whatever the input.
 BLOCK = 8
-#: Parts of a bucket that are sorted apart when dense groups are contracted.
-SALTS = 16
+#: Fingerprints of a bucket that are sorted together when dense groups are contracted, at most 2 ** 16 parts a bucket,
+#: and that a probe is compared with in one task; above PLAIN of them a bucket's main part is kept apart.
+TOGETHER, PLAIN = 2048, 32
 
 _TABLE = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _OFFSETS = (np.arange(8) * 256).astype(np.int64)
@@ -280,24 +282,52 @@ def _probes(plan: Plan):
     return run
 
 
+def _salt(fp: str, n: Column) -> Column:
+    """The part of a bucket of n fingerprints that one of them is in."""
+    return F.pmod(F.xxhash64(fp), F.least(F.ceil(n / TOGETHER), F.lit(1 << 16)))
+
+
+def candidates(index: DataFrame, probes: DataFrame) -> DataFrame:
+    """(q, q_root, fp, root) for probes and the fingerprints of their buckets that have another root.
+
+    index: (part, value, fp, root), probes: (part, value, q, q_root).  A bucket of
+    more than PLAIN has a main root, that of most of its rows; pairs within it
+    aren't made.  A bucket of more than TOGETHER is dealt by fingerprint, and its
+    probes go to all its parts.
+    """
+    key = ["part", "value"]
+    roots = index.groupBy(*key, "root").agg(F.count(F.lit(1)).alias("n"))
+    buckets = roots.groupBy(*key).agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("main"))
+    buckets = buckets.select(*key, "n", F.col("main.n").alias("main_n"), F.col("main.root").alias("main"))
+    own = F.col("root") == F.col("main")
+    held = index.join(buckets.hint("merge"), key).select(*key, ((F.col("n") > PLAIN) & own).alias("apart"), _salt("fp", F.col("n")).alias("salt"), "fp", "root")
+    # probes that meet another root at all
+    met = probes.join(buckets.hint("merge"), key).where((F.col("n") > F.col("main_n")) | (F.col("q_root") != F.col("main")))
+    others = F.when(F.col("n") <= PLAIN, F.array(F.lit(False))).when(F.col("q_root") == F.col("main"), F.array(F.lit(False)))
+    others = others.when(F.col("n") > F.col("main_n"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(True)))
+    met = met.withColumn("apart", F.explode(others)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.least(F.ceil(F.col("n") / TOGETHER), F.lit(1 << 16)) - 1)))
+    met = met.select(*key, "apart", F.col("salt").cast("long").alias("salt"), "q", "q_root")
+    return met.join(held.hint("merge"), [*key, "apart", "salt"]).where("q_root <> root").select("q", "q_root", "fp", "root")
+
+
 def fingerprint_components(distinct: DataFrame, scratch: Scratch) -> DataFrame:
     """(fp, root) for every fp that links to another; root is the smallest fp reachable.
 
     distinct: one column fp without repeats, a table that can be read twice.
     """
     plan = make_plan(distinct)
-    index = map_batches(distinct.select("fp", F.col("fp").alias("root")), _index(plan), "part int, value long, fp long, root long")
+    schema = "part int, value long, fp long, root long"
     # links between neighbours in sorted parts of the buckets contract dense groups
-    from pyspark.sql import Window
-
-    near = Window.partitionBy("part", "value", F.pmod(F.xxhash64("fp"), F.lit(SALTS))).orderBy("fp")
-    first = index.select("fp", F.lag("fp").over(near).alias("other")).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= RADIUS)
+    index = map_batches(distinct.select("fp", F.col("fp").alias("root")), _index(plan), schema)
+    sizes = index.groupBy("part", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    parted = index.select("part", "value", "fp").join(sizes.hint("merge"), ["part", "value"]).withColumn("salt", _salt("fp", F.col("n")))
+    near = Window.partitionBy("part", "value", "salt").orderBy("fp")
+    first = parted.select("fp", F.lag("fp").over(near).alias("other")).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= RADIUS)
     dense = scratch.save(components(first, scratch), "dense")
     rooted = scratch.save(distinct.join(dense.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("root")), "rooted")
-    index = map_batches(rooted, _index(plan), "part int, value long, fp long, root long")
+    index = map_batches(rooted, _index(plan), schema)
     probes = map_batches(rooted, _probes(plan), "part int, value long, q long, q_root long")
-    same = (probes["part"] == index["part"]) & (probes["value"] == index["value"])
-    found = probes.join(index, same & (probes["q_root"] != index["root"]) & (F.bit_count(probes["q"].bitwiseXOR(index["fp"])) <= RADIUS))
+    found = candidates(index, probes).where(F.bit_count(F.col("q").bitwiseXOR(F.col("fp"))) <= RADIUS)
     pairs = found.select(F.least("q_root", "root").alias("a"), F.greatest("q_root", "root").alias("b"))
     joined = components(pairs, scratch).withColumnRenamed("node", "root")
     both = rooted.join(joined, "root", "left").select("fp", F.coalesce("component", "root").alias("root"))
