@@ -36,7 +36,7 @@ _RUN = re.compile(r"(.)\1+")
 def shape(word: str) -> str:
     """Upper-case letters as A, other letters as a, digits as 0; runs of the same are two at most of marks, one of letters and digits."""
     kinds = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word)
-    return _RUN.sub(lambda m: m[1] if m[1] in "Aa0" else m[1] * 2, kinds)[:16]
+    return _RUN.sub(lambda m: m[1] if m[1] in "Aa0" else m[1] * 2, kinds)
 
 
 class _Words(dict):
