@@ -5,7 +5,9 @@ spelling, is its type and canonical form, so that all its mentions get the same
 surrogate: a keyed hash, spelt in the characters that the entity has (digits for
 digits, small letters for small ones, hexadecimal for hexadecimal, names of the
 same gender and script, card numbers that keep their check digit valid).  A
-mention keeps its own punctuation.  All entities of the table are checked
+mention keeps its own punctuation.  A name is found by its form of address;
+within its text the words of such names are replaced wherever they stand alone,
+capitalised, too.  A card number needs a valid check digit.  All entities of the table are checked
 together: of those with one surrogate, or with a surrogate that is itself an
 entity, all but one are drawn again until none is left, so different entities
 stay different.
@@ -25,10 +27,15 @@ DRAWS_IN_FORMAT = 6
 #: Forms of address by gender.
 MALE = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "господин")
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "госпожа")
+NEUTRAL = ("Dr", "Prof", "Professor", "Doktor", "Docteur", "Doctor", "доктор", "профессор")
+#: Words inside a name that are none.
+PARTICLES = ("van", "von", "der", "den", "de", "del", "della", "di", "da", "du", "la", "le", "y", "bin", "al")
 #: Given names to choose from by gender and script, and syllables of family names by script.
 GIVEN = {
     "given_m_latin": ("Adrian", "Bernard", "Conrad", "Desmond", "Edgar", "Felix", "Gilbert", "Hector", "Ivor", "Julius", "Lambert", "Marius", "Norbert", "Oscar", "Roland", "Victor"),
     "given_f_latin": ("Agatha", "Beatrice", "Clara", "Dorothea", "Edith", "Flora", "Gerda", "Helena", "Irene", "Judith", "Laura", "Miriam", "Nora", "Olivia", "Rosa", "Viola"),
+    "given_n_latin": ("Alexis", "Ariel", "Charlie", "Dominique", "Eden", "Frankie", "Jackie", "Kim", "Lou", "Morgan", "Noel", "Quinn", "Robin", "Sascha", "Toni", "Yael"),
+    "given_n_cyrillic": ("Валя", "Вася", "Гена", "Женя", "Миша", "Паша", "Рома", "Саня", "Саша", "Сима", "Слава", "Стася", "Тася", "Тоня", "Шура", "Юля"),
     "given_m_cyrillic": ("Андрей", "Борис", "Виктор", "Глеб", "Денис", "Егор", "Захар", "Игорь", "Кирилл", "Лев", "Макар", "Никита", "Олег", "Павел", "Роман", "Степан"),
     "given_f_cyrillic": ("Алла", "Белла", "Вера", "Галина", "Дарья", "Елена", "Жанна", "Зоя", "Ирина", "Клара", "Лидия", "Мария", "Нина", "Ольга", "Полина", "Раиса"),
 }
@@ -37,24 +44,29 @@ SYLLABLES = {
     "cyrillic": ("ба", "вол", "гор", "дан", "жел", "зор", "кол", "лен", "мар", "нов", "пет", "рад", "сон", "тор", "хар", "чер"),
 }
 
-_NAME = r"\p{Lu}[\p{L}'’-]+"
-_TITLES = "|".join((*MALE, *FEMALE))
+_NAME = r"\p{Lu}(?:\p{L}|['’-](?=\p{L}{2}))++"
+_TITLES = rf"(?:(?:{'|'.join((*MALE, *FEMALE, *NEUTRAL))})\.? )+"
+_LABEL = r"(?i:password|passwd|pwd)\s?[=:]\s?[\"']?"
+_LABEL_DIGIT = r"(?i:secret|token|api[_-]?key)\s?[=:]\s?[\"']?"
+_LOCAL, _HOST = r"[\p{L}\p{M}0-9._%+-]", r"[\p{L}\p{M}0-9-]"
 #: Entities in the order in which they're tried at a place; no quantifier that can be tried again from every character of a long run.
 PATTERNS = {
-    "secret": r"(?<![\p{L}0-9])(?i:password|passwd|pwd)\s?[=:]\s?[^\s\"',;|]{4,}+"
-    r"|(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])gh[pousr]_[A-Za-z0-9]{20,}+|(?<![A-Za-z0-9])sk-[A-Za-z0-9]{20,}+"
+    "secret": rf"(?<![\p{{L}}0-9]){_LABEL}[^\s\"',;|]{{4,}}+|(?<![\p{{L}}0-9]){_LABEL_DIGIT}(?=[^\s\"',;|0-9]*+[0-9])[^\s\"',;|]{{8,}}+"
+    r"|(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])gh[pousr]_[A-Za-z0-9]{20,}+|(?<![A-Za-z0-9])sk-[A-Za-z0-9_-]{20,}+"
     r"|(?<![A-Za-z0-9])[0-9A-Fa-f]{32,}+(?![A-Za-z0-9])",
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": rf"(?<!{_LOCAL}){_LOCAL}++@{_HOST}+(?:\.{_HOST}+)*\.\p{{L}}{{2,}}",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?![0-9]|\.[0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "card": r"(?<![0-9])(?:[0-9]{4}[ -]?){3}[0-9]{4}(?![0-9])|(?<![0-9])3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5}(?![0-9])",
+    "card": r"(?<![0-9])(?:2[2-7]|[3-6][0-9])[0-9]{2}[ -]?(?:[0-9]{4}[ -]?){2}[0-9]{4}(?![0-9])|(?<![0-9])3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"(?<![0-9+])\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[.-][0-9]{4}(?![0-9])",
-    "name": rf"(?<!\p{{L}})(?:{_TITLES})\.? {_NAME}(?: {_NAME})*+",
+    "name": rf"(?<!\p{{L}}){_TITLES}(?:(?:van|von|de|del|della|di|da|du|bin|al) (?:(?:der|den|la|le) )?)?{_NAME}(?: (?:(?:{'|'.join(PARTICLES)}) )*(?!{_TITLES}){_NAME})*+",
 }
 ENTITY = "|".join(PATTERNS.values())
+#: A capitalised word, which can be one of a name.
+WORD = rf"(?<!\p{{L}}){_NAME}"
 #: What every entity holds; texts without it aren't searched.
-HINT = rf"[0-9@]|(?i:password|passwd|pwd)|AKIA|gh[pousr]_|sk-|[A-Fa-f]{{32}}|(?:{_TITLES})"
+HINT = rf"[0-9@]|(?i:password|passwd|pwd)|AKIA|gh[pousr]_|sk-|[A-Fa-f]{{32}}|{_TITLES}"
 
 
 def _kind(mention: Column) -> Column:
@@ -67,17 +79,22 @@ def _kind(mention: Column) -> Column:
 
 def _body(mention: Column, kind: Column) -> Column:
     """What is replaced of a mention: all but a secret's name or known prefix, and a name's title."""
-    secret = F.regexp_replace(mention, r"\A(?:(?i:password|passwd|pwd)\s?[=:]\s?|AKIA|gh[pousr]_|sk-)", "")
-    return F.when(kind == "secret", secret).when(kind == "name", F.regexp_replace(mention, rf"\A(?:{_TITLES})\.? ", "")).otherwise(mention)
+    secret = F.regexp_replace(mention, rf"\A(?:{_LABEL}|{_LABEL_DIGIT}|AKIA|gh[pousr]_|sk-)", "")
+    return F.when(kind == "secret", secret).when(kind == "name", F.regexp_replace(mention, rf"\A{_TITLES}", "")).otherwise(mention)
+
+
+def _name_words(body: Column) -> Column:
+    return F.filter(F.split(body, " "), lambda w: ~w.isin(*PARTICLES))
 
 
 def _parts(kind: Column, mention: Column, body: Column) -> Column:
     """The entities of a mention, as (type, canonical form): a name has one for each word, others have one."""
     digits, compact = F.regexp_replace(body, "[^0-9]", ""), F.regexp_replace(body, "[ -]", "")
     canonical = F.when(kind.isin("card", "ssn", "phone"), digits).when(kind == "email", F.lower(body)).when(kind == "iban", compact).otherwise(body)
-    gender = F.when(mention.rlike(rf"\A(?:{'|'.join(MALE)})[. ]"), "m").otherwise("f")
+    title = F.substring(mention, F.lit(1), F.length(mention) - F.length(body))
+    gender = F.when(title.rlike(rf"(?<!\p{{L}})(?:{'|'.join(MALE)})[. ]"), "m").when(title.rlike(rf"(?<!\p{{L}})(?:{'|'.join(FEMALE)})[. ]"), "f").otherwise("n")
     script = F.when(body.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
-    words = F.split(body, " ")
+    words = _name_words(body)
     family = F.struct(F.concat(F.lit("family_"), script).alias("kind"), F.lower(F.element_at(words, -1)).alias("canonical"))
     given = F.transform(F.slice(words, 1, F.size(words) - 1), lambda w: F.struct(F.concat(F.lit("given_"), gender, F.lit("_"), script).alias("kind"), F.lower(w).alias("canonical")))
     name = F.concat(given, F.array(family))
@@ -110,6 +127,8 @@ def _spelt(canonical: Column, stream: Column, kept: Column) -> Column:
             F.when(c.rlike("[0-9]"), _pick("0123456789", b))
             .when(c.rlike("[a-z]"), F.when(hexadecimal, _pick("abcdef", b)).otherwise(_pick("abcdefghijklmnopqrstuvwxyz", b)))
             .when(c.rlike("[A-Z]"), F.when(hexadecimal, _pick("ABCDEF", b)).otherwise(_pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", b)))
+            .when(c.rlike(r"\p{IsCyrillic}"), _pick("абвгдежзиклмнопрстуфхцчшэюя", b))
+            .when(c.rlike(r"\p{L}"), _pick("abcdefghijklmnopqrstuvwxyz", b))
             .otherwise(c)
         )
         return F.when(i < kept, c).otherwise(drawn)
@@ -132,7 +151,7 @@ def surrogate(key: str, kind: Column, canonical: Column, draw: Column) -> Column
     tail = F.when(draw >= DRAWS_IN_FORMAT, _pick("0123456789", _byte(stream, F.lit(0)))).otherwise(F.lit(""))
     domain = F.element_at(F.split(canonical, "@"), -1)
     user = F.element_at(F.split(canonical, "@"), 1)
-    top = F.regexp_extract(domain, r"\.[a-z]+\z", 0)
+    top = F.regexp_extract(domain, r"\.\p{L}+\z", 0)
     spelt = _spelt(canonical, stream, F.lit(0))
     host = F.substring(spelt, F.length(user) + 2, F.length(domain) - F.length(top))
     email = F.concat(F.substring(spelt, F.lit(1), F.length(user)), tail, F.lit("@"), host, top)
@@ -145,7 +164,7 @@ def surrogate(key: str, kind: Column, canonical: Column, draw: Column) -> Column
     for script, parts in SYLLABLES.items():
         family = _syllables(parts, stream, draw + 3)
         out = out.when(kind == f"family_{script}", F.initcap(family))
-        for gender in "mf":
+        for gender in "mfn":
             names = GIVEN[f"given_{gender}_{script}"]
             given = F.element_at(F.array(*(F.lit(n) for n in names)), _byte(stream, F.lit(0)) % len(names) + 1)
             more = F.when(draw > 0, F.concat(F.lit("-"), F.initcap(family))).otherwise(F.lit(""))
@@ -153,9 +172,14 @@ def surrogate(key: str, kind: Column, canonical: Column, draw: Column) -> Column
     return out.otherwise(F.concat(spelt, tail))
 
 
+def _cased(word: Column, one: Column) -> Column:
+    """A surrogate in capitals where the word is."""
+    return F.when(word == F.upper(word), F.upper(one)).otherwise(one)
+
+
 def _render(kind: Column, mention: Column, body: Column, surrogates: Column) -> Column:
     """A mention with its surrogates: the k-th letter or digit of its body is the k-th of the surrogate, and what is left of that follows."""
-    words = F.array_join(surrogates, " ")
+    words = F.array_join(F.zip_with(_name_words(body), surrogates, _cased), " ")
     one = F.element_at(surrogates, 1)
     chars = F.regexp_replace(one, "[^A-Za-z0-9]", "")
     inner = F.split(body, "")
@@ -194,7 +218,9 @@ def replace_personal_data(docs: DataFrame, key: str = KEY, column: str = "text")
 
     Null and empty texts stay as they are, and so do texts without entities.
     Repeated rows get the same text.  Empty table: no rows.  Columns of any name
-    are carried along.  An entity's surrogate depends on the key and, only where
+    are carried along.  A very long text takes time in proportion to its length
+    and memory for its mentions.  A common word that is also part of a name in
+    the same text is replaced where it is capitalised.  An entity's surrogate depends on the key and, only where
     two entities collide, on the other entities of the table.  Texts with
     entities are shuffled once, by a digest of the text; copies of one text are
     one row until then, and a hot one is split by the skew join.
@@ -206,12 +232,14 @@ def replace_personal_data(docs: DataFrame, key: str = KEY, column: str = "text")
     mark = "__tw"
     while any(c.startswith(mark) for c in docs.columns):
         mark += "_"
-    k, found = f"{mark}_k", f"{mark}_found"
+    k, found, named = f"{mark}_k", f"{mark}_found", f"{mark}_named"
     has = F.coalesce(text.rlike(HINT) & text.rlike(ENTITY), F.lit(False))
-    hits = docs.where(has)
-    mentions = hits.select(F.sha2(text, 256).alias("k"), F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(ENTITY), 0))).alias("mention")).distinct()
+    # the rows with entities, a small part, are searched in three steps and so found once
+    hits = scratch.save(docs.where(has).withColumn(k, F.sha2(text, 256)), "hits")
+    mentions = hits.select(F.col(k).alias("k"), F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(ENTITY), 0))).alias("mention")).distinct()
     mentions = scratch.save(mentions, "mentions")
     kinds = mentions.select("mention").distinct().withColumn("kind", _kind(F.col("mention"))).withColumn("body", _body(F.col("mention"), F.col("kind")))
+    kinds = kinds.where((F.col("kind") != "card") | F.coalesce(_luhn(F.regexp_replace("body", "[^0-9]", "")), F.lit(False)))
     kinds = scratch.save(kinds.withColumn("parts", _parts(F.col("kind"), F.col("mention"), F.col("body"))), "kinds")
     parts = kinds.select("mention", F.posexplode("parts").alias("at", "part")).select("mention", "at", "part.kind", "part.canonical")
     chosen = assign_surrogates(parts.select("kind", "canonical").distinct(), scratch, key)
@@ -219,10 +247,25 @@ def replace_personal_data(docs: DataFrame, key: str = KEY, column: str = "text")
     spelt = parts.join(chosen, ["kind", "canonical"]).groupBy("mention").agg(ordered.alias("surrogates"))
     rendered = kinds.join(spelt, "mention").select("mention", _render(F.col("kind"), F.col("mention"), F.col("body"), F.col("surrogates")).alias("new"))
     by_text = mentions.join(scratch.save(rendered, "rendered"), "mention").groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct("mention", "new"))).alias("new"))
-    by_text = scratch.save(by_text.select(F.col("k").alias(k), F.col("new").alias(found)), "by-text")
-    joined = hits.withColumn(k, F.sha2(text, 256)).join(by_text, k)
-    pieces = F.split(text, ENTITY, -1)
-    mentioned = F.transform(F.regexp_extract_all(text, F.lit(ENTITY), 0), lambda m: F.element_at(F.col(found), m))
-    whole = F.array_join(F.zip_with(pieces, F.concat(mentioned, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+    # the words of a text's names; one that is a family and a given name goes by the former
+    words = mentions.join(parts.where("kind LIKE 'family%' OR kind LIKE 'given%'").select("mention", "kind", "canonical").distinct(), "mention")
+    words = words.join(chosen, ["kind", "canonical"]).groupBy("k", "canonical").agg(F.min(F.struct("kind", "surrogate"))["surrogate"].alias("surrogate"))
+    words = words.groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct("canonical", "surrogate"))).alias("words"))
+    by_text = scratch.save(by_text.join(words, "k", "left").select(F.col("k").alias(k), F.col("new").alias(found), F.col("words").alias(named)), "by-text")
+    joined = hits.join(by_text, k, "left")
+
+    def spliced(pattern: str, change) -> Column:
+        changed = F.transform(F.regexp_extract_all(text, F.lit(pattern), 0), change)
+        return F.array_join(F.zip_with(F.split(text, pattern, -1), F.concat(changed, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+
+    def mentioned(m: Column) -> Column:
+        return F.try_element_at(F.col(found), m)
+
+    def word(w: Column) -> Column:
+        return _cased(w, F.coalesce(F.try_element_at(F.col(named), F.lower(w)), w))
+
+    # a mention, or else a word of a name, whole or between its hyphens
+    either = lambda m: F.coalesce(mentioned(m), F.when(F.try_element_at(F.col(named), F.lower(m)).isNotNull(), word(m)), F.array_join(F.transform(F.split(m, r"(?<=['’-])|(?=['’-])"), word), ""))
+    whole = F.when(F.col(found).isNull(), text).when(F.col(named).isNull(), spliced(ENTITY, lambda m: F.coalesce(mentioned(m), m))).otherwise(spliced(f"{ENTITY}|{WORD}", either))
     replaced = joined.withColumn(column, whole).select(*(F.col(f"`{c}`") for c in docs.columns))
     return docs.where(~has).unionByName(replaced)
