@@ -238,6 +238,15 @@ def test_pipeline(spark, tmp_path):
         assert after.columns == docs.columns
         results[name] = (docs, after)
         docs = after
+def test_vectors_of_any_length(spark):
+    from tidewater.llm.cover_tree import near_duplicate_vectors
+
+    vectors = [[1e-200, 2e-200], [1.0, 2.0], [1e200, 2e200], [3e-310, 0.0], [1e308, 1e300], [-1.0, -2.0], [0.0, 0.0], [5e-324, 1e308]]
+    df = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")
+    got = by_row(near_duplicate_vectors(df), "vec_id", "n_links", "component_id")
+    assert got == [(0, 2, 0), (1, 2, 0), (2, 2, 0), (3, 1, 3), (4, 1, 3), (5, 0, 5), (6, 0, 6), (7, 0, 7)]
+
+
     ids = lambda df: {r["doc_id"] for r in df.select("doc_id").collect()}
     before, after = results["quality rules"]
     assert ids(after) == {r["doc_id"] for r in before.collect() if verdict(measure(r["text"]))[1]}

@@ -29,8 +29,8 @@ from tidewater.llm.components import components, forest
 from tidewater.llm.shared import Scratch, map_batches
 
 THRESHOLD = 0.9
-#: Vectors of a block, of the sample for the top of the tree, and most cells.
-BLOCK, SAMPLE, MOST_CELLS = 4096, 2048, 512
+#: Vectors of a block; and of the sample for the top of the tree, SAMPLE a cell and MOST_SAMPLED in all, which bounds the cells.
+BLOCK, SAMPLE, MOST_SAMPLED = 8192, 8, 32768
 #: Rows of a block whose distances to another block are in memory together.
 ROWS_AT_ONCE = 512
 #: Slack of the bounds for rounding; and how near the threshold a cosine is summed again exactly.
@@ -201,7 +201,9 @@ def _raw(batches):
         out, dims = [], []
         for v in column.to_pylist():
             a = None if v is None or any(c is None for c in v) else np.array(v, dtype=np.float64)
-            good = a is not None and len(a) and np.isfinite(a).all() and 0 < float(a @ a) < np.inf
+            good = a is not None and len(a) and np.isfinite(a).all() and a.any()
+            if good:  # a power of two brings the largest component near one, so that no square is too large or small
+                a = np.ldexp(a, -np.frexp(np.abs(a).max())[1])
             # a negative zero is the same component as a zero
             out.append((a + 0.0).astype(kind).tobytes() if good else None)
             dims.append(len(v) if good else 0)
@@ -267,6 +269,7 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, blo
 
     Vectors that are null, empty, zero, or hold null or non-finite components
     link with nothing; nor do vectors of different lengths with each other.
+    Components of any size count: a vector is scaled by a power of two first.
     component_id: the smallest vec_id that can be reached; for a vector without
     links its own.  Null vec_id: kept is false where it has no other name.
     Repeated rows: a row each, linked with each other.  Empty table: no rows.
@@ -280,12 +283,13 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, blo
     classes = scratch.save(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     # cells from a bounded sample of each length of vectors, of which there are few
     sizes = {r["dim"]: r["n"] for r in classes.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
-    cells, centres = {}, []
+    cells, n_cells = {}, 0
     for dim, n in sorted(sizes.items()):
-        sample = _vectors([r["raw"] for r in classes.where(F.col("dim") == dim).orderBy(F.xxhash64("raw")).select("raw").limit(SAMPLE).collect()], kind)
-        own = fit_cells(sample, min(MOST_CELLS, -(-n // block)))
-        cells[dim] = {"first": len(centres), "centres": own}
-        centres += [(dim, c) for c in own]
+        wanted = -(-n // block)
+        sample = _vectors([r["raw"] for r in classes.where(F.col("dim") == dim).orderBy(F.xxhash64("raw")).select("raw").limit(min(SAMPLE * max(wanted, 256), MOST_SAMPLED)).collect()], kind)
+        own = fit_cells(sample, min(MOST_SAMPLED // SAMPLE, wanted))
+        cells[dim] = {"first": n_cells, "centres": own}
+        n_cells += len(own)
     shared = spark.sparkContext.broadcast(cells)
     dealt = scratch.save(map_batches(classes.select("cid", "raw", "dim", "copies"), _assign(shared, kind), "cid long, raw binary, dim int, copies long, cell int, far double"), "dealt")
     stats = {r["cell"]: (r["n"], r["far"]) for r in dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).collect()}
@@ -293,14 +297,15 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, blo
     blocks = {c: -(-n // block) for c, (n, _) in stats.items()}
     first_block = dict(zip(sorted(blocks), np.concatenate([[0], np.cumsum([blocks[c] for c in sorted(blocks)])]).tolist(), strict=False))
     partners = []
-    for c in sorted(stats):
-        ranges = []
-        for d in sorted(stats):
-            if centres[c][0] == centres[d][0]:
-                apart = float(distances(centres[c][1][None], centres[d][1][None])[0, 0]) if c != d else 0.0
-                if apart <= most + stats[c][1] + stats[d][1] + SLACK:
-                    ranges.append((first_block[d], first_block[d] + blocks[d]))
-        partners.append((c, first_block[c], blocks[c], ranges))
+    for dim, own in cells.items():
+        names = [c for c in range(own["first"], own["first"] + len(own["centres"])) if c in stats]
+        far = np.array([stats[c][1] for c in names])
+        at = own["centres"][np.array(names, np.int64) - own["first"]]
+        for i, c in enumerate(names):
+            apart = distances(at[i : i + 1], at)[0]
+            apart[i] = 0
+            near = np.flatnonzero(apart <= most + far[i] + far + SLACK).tolist()
+            partners.append((c, first_block[c], blocks[c], [(first_block[names[j]], first_block[names[j]] + blocks[names[j]]) for j in near]))
     if not partners:
         links_of = base.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
         return links_of.withColumn("kept", F.col("vec_id").isNotNull())
