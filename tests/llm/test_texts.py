@@ -283,6 +283,19 @@ def test_packing(spark, with_ids):
     assert pack_documents(none(spark)).count() == 0
 
 
+def test_step_groups_are_equal(spark):
+    from tidewater.llm.packing import pack_documents
+
+    for tokens in (4096, 1 << 14):
+        groups, tasks = Counter(), defaultdict(list)
+        rows = pack_documents(documents(spark).repartition(2), step_tokens=tokens).select("sequence_id", "tier", "step_group").distinct().collect()
+        for r in rows:
+            groups[r["step_group"]] += r["tier"]
+        for g, n in groups.items():
+            tasks[g >> 36].append(n)
+        assert len(tasks) == 2 and all(sorted(ns, reverse=True)[:-1] == [tokens] * (len(ns) - 1) and min(ns) <= tokens for ns in tasks.values())
+
+
 def plain_pieces(v, text):
     s = " " + text if text else ""
     best, n = [0.0] + [-1e99] * len(s), [0] * (len(s) + 1)

@@ -6,7 +6,7 @@ that holds it.  Each tier, longest first, opens a window for its largest
 remainder and fills the gap with the largest remainders of shorter tiers that
 fit; the last of them is cut to close the window.  Full windows of any tier
 need no padding, so a task pads one sequence at most.  Windows are dealt to
-step groups of equal numbers of tokens.
+step groups of equal numbers of tokens, whose last ones in a task tiers share.
 """
 
 from __future__ import annotations
@@ -124,18 +124,32 @@ def sum_at_least(pools: list[list[tuple[int, int, int]]], k: int, size: int) ->
 
 
 class Steps:
-    """Step groups of one tier each with equal tokens; what is left of the tiers shares groups."""
+    """Step groups of equal tokens: of one tier each, and at the end of what is left of all tiers, so that one at most is short."""
 
     def __init__(self, tokens: int = STEP_TOKENS):
         self.tokens, self.open, self.next = tokens, {}, 0
 
-    def group(self, tier: int) -> int:
-        group, left = self.open.get(tier, (None, 0))
-        if left < tier:
-            group, left = self.next, self.tokens
-            self.next += 1
-        self.open[tier] = (group, left - tier)
-        return group
+    def add(self, tier: int, window: list) -> list[tuple[int, list]]:
+        """Hold a window; (group, window) for those of a group that it fills."""
+        held = self.open.setdefault(tier, [])
+        held.append(window)
+        return self._close(tier) if (len(held) + 1) * tier > self.tokens else []
+
+    def _close(self, tier: int) -> list[tuple[int, list]]:
+        self.next += 1
+        return [(self.next - 1, window) for window in self.open.pop(tier)]
+
+    def rest(self) -> list[tuple[int, list]]:
+        """The windows that are held, longest first, in groups that tiers share."""
+        out, total = [], 0
+        for tier, window in sorted(((t, w) for t, ws in self.open.items() for w in ws), key=lambda x: -x[0]):
+            if total + tier > self.tokens and total:
+                self.next, total = self.next + 1, 0
+            out.append((self.next, window))
+            total += tier
+        self.open = {}
+        self.next += 1
+        return out
 
 
 def _pack(path: str | None, end_id: int, tiers: tuple[int, ...], step_tokens: int, with_ids: bool):
@@ -150,20 +164,25 @@ def _pack(path: str | None, end_id: int, tiers: tuple[int, ...], step_tokens: in
         n = sequence = 0
         out: list[tuple] = []
 
+        def emit(closed):
+            for group, rows in closed:
+                out.extend((*row, base + group, part) if with_ids else (*row, base + group) for row, part in rows)
+
         def place(found):
             nonlocal sequence
             for tier, window in found:
-                offset, group = 0, base + steps.group(tier)
+                offset, rows = 0, []
                 for doc, start, length in window:
                     doc_id, ids = docs[doc]
                     part = ids[4 * start : 4 * (start + length)]
-                    row = (doc_id, start, length, zlib.crc32(part), len(ids) // 4, base + sequence, offset, tier, group)
-                    out.append((*row, part) if with_ids else row)
+                    row = (doc_id, start, length, zlib.crc32(part), len(ids) // 4, base + sequence, offset, tier)
+                    rows.append((row, part if with_ids else None))
                     offset += length
                     left[doc] -= length
                     if not left[doc]:
                         del left[doc], docs[doc]
                 sequence += 1
+                emit(steps.add(tier, rows))
 
         def flush():
             columns = list(zip(*out, strict=True)) if out else [[]] * (9 + with_ids)
@@ -185,6 +204,7 @@ def _pack(path: str | None, end_id: int, tiers: tuple[int, ...], step_tokens: in
                 yield flush()
         place(packer.pack())
         place(packer.rest())
+        emit(steps.rest())
         yield flush()
 
     return run
@@ -199,7 +219,8 @@ def pack_documents(
     doc_ids: each row is a document.  Empty table: no rows.  Other columns
     aren't read.  A document longer than the longest window is cut into full
     windows first.  It is one pass without a shuffle; a task holds about
-    HELD_TOKENS tokens of remainders.
+    HELD_TOKENS tokens of remainders and a step group of each tier.  Copies of a
+    text are packed apart.  All step groups but one a task have the same tokens.
     """
     from pyspark.sql import functions as F
 
