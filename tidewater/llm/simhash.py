@@ -55,11 +55,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     if len(words) <= shingle:
         return xxhash.xxh64_intdigest(b" ".join(words), SEED)
     grams = map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False))
-    n = len(words) - shingle + 1
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), dtype="<u8", count=n)
+    return majority(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), dtype="<u8", count=len(words) - shingle + 1))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; 0 of none."""
+    n = len(hashes)
     ones = np.zeros((8, 256), dtype=np.int64)
     for at in range(0, n, 1 << 16):
-        part = hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8) + _OFFSETS
+        part = np.ascontiguousarray(hashes[at : at + (1 << 16)], dtype="<u8").view(np.uint8).reshape(-1, 8) + _OFFSETS
         ones += np.bincount(part.ravel(), minlength=2048).reshape(8, 256)
     bits = 2 * (ones @ _TABLE) > n
     return int(np.packbits(bits.astype(np.uint8), axis=1, bitorder="little").reshape(8).view("<u8")[0])
@@ -310,10 +314,11 @@ def candidates(index: DataFrame, probes: DataFrame) -> DataFrame:
     return met.join(held.hint("merge"), [*key, "apart", "salt"]).where("q_root <> root").select("q", "q_root", "fp", "root")
 
 
-def fingerprint_components(distinct: DataFrame, scratch: Scratch) -> DataFrame:
-    """(fp, root) for every fp that links to another; root is the smallest fp reachable.
+def fingerprint_components(distinct: DataFrame, scratch: Scratch, verified: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(node, component) for every fp that links to another; component is the smallest fp reachable.
 
     distinct: one column fp without repeats, a table that can be read twice.
+    verified: leaves those of candidate pairs (a, b) of fingerprints that are links; by default all are.
     """
     plan = make_plan(distinct)
     schema = "part int, value long, fp long, root long"
@@ -322,16 +327,17 @@ def fingerprint_components(distinct: DataFrame, scratch: Scratch) -> DataFrame:
     sizes = index.groupBy("part", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     parted = index.select("part", "value", "fp").join(sizes.hint("merge"), ["part", "value"]).withColumn("salt", _salt("fp", F.col("n")))
     near = Window.partitionBy("part", "value", "salt").orderBy("fp")
-    first = parted.select("fp", F.lag("fp").over(near).alias("other")).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= RADIUS)
-    dense = scratch.save(components(first, scratch), "dense")
+    first = parted.select(F.lag("fp").over(near).alias("a"), F.col("fp").alias("b")).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)
+    dense = scratch.save(components(verified(first.distinct()) if verified else first, scratch), "dense")
     rooted = scratch.save(distinct.join(dense.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("root")), "rooted")
     index = map_batches(rooted, _index(plan), schema)
     probes = map_batches(rooted, _probes(plan), "part int, value long, q long, q_root long")
     found = candidates(index, probes).where(F.bit_count(F.col("q").bitwiseXOR(F.col("fp"))) <= RADIUS)
-    pairs = found.select(F.least("q_root", "root").alias("a"), F.greatest("q_root", "root").alias("b"))
-    joined = components(pairs, scratch).withColumnRenamed("node", "root")
-    both = rooted.join(joined, "root", "left").select("fp", F.coalesce("component", "root").alias("root"))
-    return both
+    # without a further check a link of two fingerprints is one of their roots
+    ends = ("q", "fp") if verified else ("q_root", "root")
+    pairs = found.select(F.least(*ends).alias("a"), F.greatest(*ends).alias("b"))
+    pairs = verified(pairs.distinct()) if verified else pairs
+    return components(pairs.unionByName(dense.select(F.col("component").alias("a"), F.col("node").alias("b"))), scratch)
 
 
 def simhash_groups(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
@@ -346,7 +352,7 @@ def simhash_groups(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame
     prints = scratch.save(fingerprints(docs), "fingerprints")
     copies = scratch.save(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")), "distinct")
     roots = fingerprint_components(copies.select("fp"), scratch)
-    placed = scratch.save(copies.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first", "copies"), "placed")
+    placed = scratch.save(copies.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("root"), "first", "copies"), "placed")
     classes = placed.groupBy("root").agg(F.min("first").alias("component_id"), F.sum("copies").alias("n_members"))
     by_print = placed.select("fp", "root").join(classes, "root").drop("root")
     return prints.join(by_print, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_members")
@@ -361,7 +367,8 @@ def fingerprint_places(rows: DataFrame, scratch: Scratch) -> DataFrame:
 
     prints = scratch.save(map_batches(rows.select("doc_id", "text_hash", "text"), run, "doc_id long, text_hash long, fp long"), "fingerprints")
     distinct = scratch.save(prints.select("fp").distinct(), "distinct")
-    return prints.join(fingerprint_components(distinct, scratch), "fp", "left").select("doc_id", "text_hash", F.coalesce("root", "fp").alias("root"))
+    roots = fingerprint_components(distinct, scratch).withColumnRenamed("node", "fp")
+    return prints.join(roots, "fp", "left").select("doc_id", "text_hash", F.coalesce("component", "fp").alias("root"))
 
 
 def keep_one(docs: DataFrame, places: Callable[[DataFrame, Scratch], DataFrame] = fingerprint_places) -> DataFrame:

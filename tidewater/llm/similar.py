@@ -1,14 +1,17 @@
-"""Near-duplicates by exact similarity of word shingles.
+"""SimHash near-duplicates with an exact similarity of word shingles.
 
 Two texts link if the Jaccard similarity of their sets of five-word shingles is
-0.8 or more.  By the prefix filter two such sets share one of their first
-n - ceil(0.8 n) + 1 shingles in any order common to all texts, so an index of
-these finds every link.  Shingles that are frequent in a part of the texts come
-last in the order; that part bears on the work only, not on what is found.
-Texts that are neighbours in many buckets of the index are linked first; then
-the buckets are searched for links between different groups.  How many shingles
-two prefixes share bounds the similarity of their texts from above, so that few
-candidates are left, and those are verified on their whole sets.
+0.8 or more.  The SimHash search, on fingerprints of five-word shingles, gives
+the first candidates, and each is verified on the whole sets.  But texts of 0.8
+differ in about ten of 64 bits, which no search within four bits meets, so the
+links that it can't see are found by a prefix filter: two such sets share one of
+their first n - ceil(0.8 n) + 1 shingles in any order common to all texts, so an
+index of these finds every link.  Shingles that are rare in all texts come first
+in the order; their counts, in a table of fixed size, bear on the work only, not
+on what is found.  Texts that are neighbours in buckets of the index are linked
+next; then the buckets are searched for links between different groups.  How
+many shingles two prefixes share bounds the similarity of their texts from
+above, so that few candidates are left, and those are verified too.
 """
 
 from __future__ import annotations
@@ -23,12 +26,13 @@ from pyspark.sql import functions as F
 
 from tidewater.llm.components import components
 from tidewater.llm.shared import Scratch, map_batches, slices
+from tidewater.llm.simhash import fingerprint_components, majority
 
 SHINGLE, SEED = 5, 42
 #: The least similarity, as a fraction.
 LEAST = (4, 5)
-#: The order of shingles: one text in so many is looked at, for so many frequent ones, seen so often at least.
-ONE_IN, FREQUENT, SEEN = 32, 50_000, 3
+#: Bits of a shingle's hash that name its counter: the table has a fixed size whatever the input.
+COUNTERS = 18
 
 
 def split(text: str | None) -> list[bytes]:
@@ -36,39 +40,47 @@ def split(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def shingles(words: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
-    """The sorted distinct 64-bit hashes of a text's shingles; fewer words than a shingle are one, no words none."""
+def hashes(words: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
+    """The 64-bit hashes of a text's shingles, in order; fewer words than a shingle are one, no words none."""
     if len(words) <= shingle:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)] if words else [], dtype=np.uint64).view(np.int64)
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)] if words else [], dtype=np.uint64)
     grams = map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False))
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), dtype=np.uint64, count=len(words) - shingle + 1).view(np.int64))
+    return np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), dtype=np.uint64, count=len(words) - shingle + 1)
+
+
+def shingles(words: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
+    """The sorted distinct hashes of a text's shingles."""
+    return np.unique(hashes(words, shingle).view(np.int64))
+
+
+def counter(grams: np.ndarray) -> np.ndarray:
+    return grams.view(np.uint64) >> np.uint64(64 - COUNTERS)
 
 
-def prefix(sets: np.ndarray, grams: np.ndarray, ranks: np.ndarray) -> np.ndarray:
-    """The first shingles of a set that two similar sets must share; ``grams`` (sorted) are frequent ones and come last, by rank."""
+def prefix(sets: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first shingles of a set that two similar sets must share, those with small counters first."""
     n = len(sets)
     first = n - -(-LEAST[0] * n // LEAST[1]) + 1 if n else 0
-    rank = np.zeros(n, np.int64)
-    if len(grams) and n:
-        at = np.minimum(np.searchsorted(grams, sets), len(grams) - 1)
-        rank = np.where(grams[at] == sets, ranks[at], 0)
-    return sets[np.lexsort((sets, rank))[:first]]
+    return sets[np.lexsort((sets, counts[counter(sets)]))[:first]]
 
 
-def _frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Frequent shingles, sorted, and their ranks from one; at most FREQUENT come to the driver."""
+def _counted(rows: DataFrame) -> np.ndarray:
+    """How often the shingles of each counter occur in all texts; 2 ** COUNTERS numbers come to the driver, whatever the input."""
 
     def run(batches):
-        for batch in slices(batches, 1024):
-            found = [shingles(split(t)) for t in batch.column(0).to_pylist()]
-            grams, counts = np.unique(np.concatenate([np.zeros(0, np.int64), *found]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(counts.astype(np.int64))], ["gram", "seen"])
+        counts = np.zeros(1 << COUNTERS, np.int64)
+        for batch in slices(batches):
+            found = [counter(hashes(split(text))) for text in batch.column(0).to_pylist()]
+            counts += np.bincount(np.concatenate(found).view(np.int64), minlength=1 << COUNTERS)
+        at = np.flatnonzero(counts)
+        for i in range(0, len(at), 1 << 16):
+            part = at[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(counts[part])], ["at", "n"])
 
-    part = rows.where(F.pmod("text_hash", F.lit(ONE_IN)) == 0).select("text")
-    seen = map_batches(part, run, "gram long, seen long").groupBy("gram").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= SEEN)
-    found = np.array(seen.orderBy(F.desc("seen"), "gram").limit(FREQUENT).toPandas()["gram"], dtype=np.int64)
-    order = np.argsort(found)
-    return found[order], (len(found) - np.arange(len(found)))[order]
+    found = map_batches(rows.select("text"), run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(1 << COUNTERS, np.int64)
+    out[found["at"].to_numpy()] = found["n"].to_numpy()
+    return out
 
 
 def similar_places(rows: DataFrame, scratch: Scratch) -> DataFrame:
@@ -77,20 +89,22 @@ def similar_places(rows: DataFrame, scratch: Scratch) -> DataFrame:
     Texts of the same words are one text; those without words, null ones too,
     are a group.  Empty table: no rows.
     """
-    order = rows.sparkSession.sparkContext.broadcast(_frequent(rows))
+    counts = rows.sparkSession.sparkContext.broadcast(_counted(rows))
 
     def prefixes(batches):
         for batch in slices(batches):
-            digests, sizes, firsts = [], [], []
+            digests, sizes, firsts, prints = [], [], [], []
             for text in batch.column(2).to_pylist():
                 words = split(text)
-                grams = shingles(words)
+                grams = hashes(words)
+                prints.append(majority(grams) if len(grams) else 0)
+                grams = np.unique(grams.view(np.int64))
                 digests.append(xxhash.xxh64_intdigest(b" ".join(words), SEED))
                 sizes.append(len(grams))
-                firsts.append(prefix(grams, *order.value))
+                firsts.append(prefix(grams, counts.value))
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, firsts)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *firsts]).astype(np.int32)))
-            fp = pa.array(np.array(digests, dtype=np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fp, pa.array(sizes, pa.int64()), lists], ["doc_id", "text_hash", "fp", "size", "first"])
+            fp, bits = (pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (digests, prints))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fp, bits, pa.array(sizes, pa.int64()), lists], ["doc_id", "text_hash", "fp", "bits", "size", "first"])
 
     def whole(batches):
         for batch in slices(batches):
@@ -98,15 +112,26 @@ def similar_places(rows: DataFrame, scratch: Scratch) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["fp", "grams"])
 
-    said = scratch.save(map_batches(rows.select("doc_id", "text_hash", "text"), prefixes, "doc_id long, text_hash long, fp long, size long, first array<int>"), "prefixes")
+    said = scratch.save(map_batches(rows.select("doc_id", "text_hash", "text"), prefixes, "doc_id long, text_hash long, fp long, bits long, size long, first array<int>"), "prefixes")
     prints = said.select("doc_id", "text_hash", "fp")
     # the index: buckets of texts that share a shingle of their prefixes; 32 bits of its hash, which can only add candidates
     index = said.select("fp", "size", "first").dropDuplicates(["fp"]).select("fp", "size", F.explode("first").alias("gram"))
-    near = Window.partitionBy("gram").orderBy("size", "fp")
-    index = index.withColumns({"other": F.lag("fp").over(near), "other_size": F.lag("size").over(near), "next": F.lead("fp").over(near)})
+    beside = Window.partitionBy("gram").orderBy("size", "fp")
+    index = index.withColumns({"other": F.lag("fp").over(beside), "other_size": F.lag("size").over(beside), "next": F.lead("fp").over(beside)})
     index = scratch.save(index.where("other IS NOT NULL OR next IS NOT NULL").drop("next"), "buckets")
     one = scratch.save(prints.groupBy("fp").agg(F.min(F.struct("doc_id", "text_hash")).alias("one")).select("fp", "one.*"), "texts")
 
+    def alike(pairs: DataFrame) -> DataFrame:
+        """Those of pairs (a, b) of texts that are similar, by their whole sets."""
+        pairs = scratch.save(pairs, "candidates")
+        held = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
+        texts = rows.join(one.join(held.hint("merge"), "fp", "left_semi").hint("merge"), ["doc_id", "text_hash"]).dropDuplicates(["fp"]).select("fp", "text")
+        sets = scratch.save(map_batches(texts, whole, "fp long, grams array<long>"), "sets")
+        left = sets.select(F.col("fp").alias("a"), F.col("grams").alias("x"))
+        right = sets.select(F.col("fp").alias("b"), F.col("grams").alias("y"))
+        near = F.size(F.array_intersect("x", "y")) * sum(LEAST) >= (F.size("x") + F.size("y")) * LEAST[0]
+        return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").where(near).select("a", "b")
+
     def linked(pairs: DataFrame) -> DataFrame:
         """Links (a, b) among candidates (a, a_size, b, b_size), a row for each shingle that their prefixes share.
 
@@ -114,27 +139,36 @@ def similar_places(rows: DataFrame, scratch: Scratch) -> DataFrame:
         """
         small, large = F.least("a_size", "b_size"), F.greatest("a_size", "b_size")
         beyond = F.floor((large * LEAST[0] + LEAST[1] - 1) / LEAST[1]) - 1
-        total = sum(LEAST)
         pairs = pairs.where((F.col("a") != F.col("b")) & (small * LEAST[1] >= large * LEAST[0])).groupBy("a", "b", "a_size", "b_size").agg(F.count(F.lit(1)).alias("n"))
-        pairs = scratch.save(pairs.where((F.col("n") + beyond) * total >= (small + large) * LEAST[0]).select("a", "b"), "candidates")
-        held = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
-        texts = rows.join(one.join(held.hint("merge"), "fp", "left_semi").hint("merge"), ["doc_id", "text_hash"]).dropDuplicates(["fp"]).select("fp", "text")
-        sets = scratch.save(map_batches(texts, whole, "fp long, grams array<long>"), "sets")
-        left = sets.select(F.col("fp").alias("a"), F.col("grams").alias("x"))
-        right = sets.select(F.col("fp").alias("b"), F.col("grams").alias("y"))
-        alike = F.size(F.array_intersect("x", "y")) * total >= (F.size("x") + F.size("y")) * LEAST[0]
-        return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").where(alike).select("a", "b")
+        return alike(pairs.where((F.col("n") + beyond) * sum(LEAST) >= (small + large) * LEAST[0]).select("a", "b"))
+
+    # the SimHash search: a text for each fingerprint, and the texts that share it
+    marked = said.select("fp", "bits").distinct()
+    named = scratch.save(marked.groupBy("bits").agg(F.min("fp").alias("text")), "fingerprints")
+
+    def of_texts(pairs: DataFrame) -> DataFrame:
+        ends = pairs.join(named.select(F.col("bits").alias("a"), F.col("text").alias("x")), "a").join(named.select(F.col("bits").alias("b"), F.col("text").alias("y")), "b")
+        good = alike(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+        back = good.join(named.select(F.col("text").alias("a"), F.col("bits").alias("p")), "a").join(named.select(F.col("text").alias("b"), F.col("bits").alias("q")), "b")
+        return back.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
+
+    found = fingerprint_components(scratch.save(named.select(F.col("bits").alias("fp")), "distinct"), scratch, of_texts)
+    names = named.select(F.col("bits").alias("node"), F.col("text").alias("a")), named.select(F.col("bits").alias("component"), F.col("text").alias("b"))
+    by_bits = found.join(names[0], "node").join(names[1], "component").select("a", "b")
+    same = alike(marked.join(named.hint("merge"), "bits").where("fp <> text").select(F.col("text").alias("a"), F.col("fp").alias("b")))
 
     def ordered(fp: str, size: str, other: str, other_size: str) -> list[Column]:
         first = F.col(fp) < F.col(other)
         return [F.least(fp, other).alias("a"), F.when(first, F.col(size)).otherwise(F.col(other_size)).alias("a_size"), F.greatest(fp, other).alias("b"), F.when(first, F.col(other_size)).otherwise(F.col(size)).alias("b_size")]
 
-    dense = scratch.save(components(linked(index.where("other IS NOT NULL").select(*ordered("fp", "size", "other", "other_size"))), scratch), "dense")
+    # then the prefix filter's neighbours, and what is left between different groups
+    near = linked(index.where("other IS NOT NULL").select(*ordered("fp", "size", "other", "other_size")))
+    dense = scratch.save(components(by_bits.unionByName(same).unionByName(near), scratch), "dense")
     rooted = index.select("fp", "size", "gram").join(dense.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp")).drop("component")
     rooted = scratch.save(rooted, "rooted")
     other = rooted.select("gram", F.col("fp").alias("o"), F.col("size").alias("o_size"), F.col("root").alias("o_root"))
-    alike = F.least("size", "o_size") * LEAST[1] >= F.greatest("size", "o_size") * LEAST[0]
-    apart = rooted.join(other.hint("merge"), (rooted["gram"] == other["gram"]) & (F.col("fp") < F.col("o")) & (F.col("root") != F.col("o_root")) & alike)
+    close = F.least("size", "o_size") * LEAST[1] >= F.greatest("size", "o_size") * LEAST[0]
+    apart = rooted.join(other.hint("merge"), (rooted["gram"] == other["gram"]) & (F.col("fp") < F.col("o")) & (F.col("root") != F.col("o_root")) & close)
     links = linked(apart.select(*ordered("fp", "size", "o", "o_size")))
     roots = components(links.unionByName(dense.select(F.col("node").alias("a"), F.col("component").alias("b"))), scratch)
     return prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("doc_id", "text_hash", F.coalesce("component", "fp").alias("root"))
