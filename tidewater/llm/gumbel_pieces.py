@@ -471,7 +471,9 @@ def sample_segmentations(docs: DataFrame, k: int = SAMPLES, seed: int = SEED, vo
     whether decoding the ids gives the text.  The key of a row is its doc_id, or
     for a null one its text.  Null and empty texts have one segmentation, of no
     pieces.  Repeated rows have the same samples.  Empty table: no rows.  Other
-    columns aren't read.  Texts that have fewer than k segmentations give all.
+    columns aren't read.  Texts that have fewer than k segmentations give all.  A
+    very long text is sampled whole and alone, with memory for its k paths and
+    the lattice of its distinct pre-tokens.
     """
 
     def run(batches):

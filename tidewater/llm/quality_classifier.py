@@ -119,7 +119,8 @@ def quality_scores(docs: DataFrame, model: tuple[np.ndarray, float], held_out: C
     Null and empty texts, and those of white space, have no n-gram and score
     what the bias alone gives.  Null doc_id: a row, held out where the condition
     is true.  Repeated rows: a row each.  Empty table: no rows.  Other columns
-    aren't read.  The weights, 2 ** HASH_BITS numbers, are broadcast.
+    aren't read.  The weights, 2 ** HASH_BITS numbers, are broadcast.  A very long
+    text is scored whole, with memory for its words.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

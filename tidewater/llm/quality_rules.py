@@ -100,7 +100,8 @@ def measure(text: str | None) -> dict:
     ids = np.fromiter(map(table.__getitem__, words), dtype=np.int64, count=n)
     lines = [x for x in text.split("\n") if WORD.search(x)]
     dup_lines = len(lines) - len(set(lines))
-    dup_line_chars = sum(map(len, lines)) - sum(map(len, set(lines))) if dup_lines else 0
+    in_words = lambda xs: sum(len(w) for x in xs for w in WORD.findall(x))
+    dup_line_chars = in_words(lines) - in_words(set(lines)) if dup_lines else 0
     repeat_words, top, dup = 0, dict.fromkeys(TOP_NGRAM_SHARE, 0.0), dict.fromkeys(DUPLICATE_NGRAM_SHARE, 0.0)
     before = None
     for size, starts, firsts, counts in repeated_windows(ids, len(table), max(DUPLICATE_NGRAM_SHARE)):
@@ -142,7 +143,7 @@ def verdict(m: dict) -> tuple[bool, bool, str]:
 
 SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-    "base_failed boolean, kept boolean, reason string, dup_line_chars long, top_ngram_chars double, dup_ngram_chars double"
+    "base_failed boolean, kept boolean, reason string, dup_line_chars long, top_ngram_share double, dup_ngram_share double"
 )
 
 
@@ -180,7 +181,12 @@ def _kept(batches):
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all their columns."""
+    """The rows of ``docs`` that the rules keep, with all their columns, whatever their names.
+
+    Null and empty texts, and those of white space, go: they have too few words.
+    Very long texts are measured whole.  Rows are judged alone, so repeated rows
+    and ties stay or go together.  Empty table: no rows.
+    """
     from pyspark.sql.types import StructType
 
     ship_schema = StructType.fromJson(docs.schema.jsonValue())

@@ -62,22 +62,47 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; one of our own only where that is unset."""
+    """The shared folder of ``spark.checkpoint.dir``; one of our own only where that is unset and all runs on this machine."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if root:
         return root
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not hasattr(spark.sparkContext, "_tidewater_scratch"):
         spark.sparkContext._tidewater_scratch = "file://" + tempfile.mkdtemp(prefix="tidewater-scratch-")
     return spark.sparkContext._tidewater_scratch
 
 
 class Scratch:
-    """Tables written in the shared folder to cut lineage; a lost executor loses none of them."""
+    """Tables written in the shared folder to cut lineage; a lost executor loses none of them.
+
+    Results read them when they're computed, so they stay until the application
+    ends, or until ``clear`` is told that what came of them is written.
+    """
+
+    folders: list[str] = []
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{scratch_root(spark)}/tidewater/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        where, files = self._file(self.path)
+        files.mkdirs(where)
+        files.deleteOnExit(where)
+        Scratch.folders.append(self.path)
+
+    def _file(self, path: str):
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return where, where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    @classmethod
+    def mark(cls) -> int:
+        return len(cls.folders)
+
+    def clear(self, mark: int) -> None:
+        """Delete the folders that were made since ``mark``."""
+        while len(Scratch.folders) > mark:
+            self.drop(Scratch.folders.pop())
 
     def new_path(self, label: str) -> str:
         self.n += 1
@@ -94,6 +119,5 @@ class Scratch:
         """Delete a table that nothing reads any more."""
         path = df if isinstance(df, str) else getattr(df, "_tidewater_path", None)
         if path:
-            jvm = self.spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            where, files = self._file(path)
+            files.delete(where, True)

@@ -67,7 +67,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """The files' rows: doc_id, ids, n_tokens, shard, and start, the number of ids of all documents before.
 
-    Only the two small columns are read for the shards' totals, of which there is one row a file.
+    Only the two small columns are read for the shards' totals, of which there is one row a file: as many as the write had
+    partitions, and of 16 bytes, which is why they're summed in one task and broadcast.
     """
     rows = spark.read.schema(FILE_SCHEMA).orc(path)
     totals = rows.groupBy("shard").agg(F.sum("n_tokens").alias("total"))
@@ -77,7 +78,12 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def look_up(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
-    """doc_id and ids of some documents; the filter reaches ORC's indexes and Bloom filters."""
+    """doc_id and ids of some documents; the filter reaches ORC's indexes and Bloom filters.
+
+    A doc_id that stands on several rows gives all of them, one that isn't there
+    none, and nulls can't be looked up.  Ids of an empty or null text: the end
+    id.  A very long document is one row, read whole.  No files' rows: no rows.
+    """
     return spark.read.schema(FILE_SCHEMA).orc(path).where(F.col("doc_id").isin(doc_ids)).select("doc_id", "ids")
 
 
@@ -98,7 +104,13 @@ def _digest(batches):
 
 
 def token_digest(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
-    """Write the token files of ``docs`` in the shared folder, read them back, and return doc_id, start, n_tokens, ids_crc32."""
+    """Write the token files of ``docs`` in the shared folder, read them back, and return doc_id, start, n_tokens, ids_crc32.
+
+    Null and empty texts are the end id alone.  Null doc_ids come first; equal
+    ones are ordered by their text's hash, and each row has its own start.  A
+    very long text is one row of the files, in memory once as text and once as
+    ids.  Empty table: no rows.  Other columns aren't read.
+    """
     spark = docs.sparkSession
     path = Scratch(spark, "token-orc").new_path("files")
     write_token_files(docs, path, tokenizer, end_id)

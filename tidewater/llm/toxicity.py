@@ -374,7 +374,8 @@ def toxicity_scores(docs: DataFrame, net: Network, held_out: Column) -> DataFram
     Null and empty texts, and those of white space, score EMPTY_SCORE.  Null
     doc_id: a row, held out where the condition is true.  Repeated rows: a row
     each.  Empty table: no rows.  Other columns aren't read.  The network, of a
-    fixed size of about 2 MB, is broadcast.
+    fixed size of about 2 MB, is broadcast.  A very long text is scored whole;
+    its word numbers are in memory, its windows some thousands at a time.
     """
     shared = _shared(docs.sparkSession, net)
 
@@ -394,7 +395,13 @@ def classify_toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, rows
 
 
 def keep_civil(docs: DataFrame, net: Network, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that score below the threshold, with all their columns."""
+    """The rows of ``docs`` that score below the threshold, with all their columns, whatever their names.
+
+    Null and empty texts, and those of white space, score EMPTY_SCORE and stay.
+    A very long text is scored by all its windows, some thousands in memory at a
+    time.  A score of the threshold itself goes.  Rows are judged alone, so
+    repeated ones stay or go together.  Empty table: no rows.
+    """
     shared = _shared(docs.sparkSession, net)
 
     def run(batches):
