@@ -30,7 +30,7 @@ from tidewater.llm.shared import Scratch, map_batches
 
 THRESHOLD = 0.9
 #: Vectors of a block; and of the sample for the top of the tree, SAMPLE a cell and MOST_SAMPLED in all, which bounds the cells.
-BLOCK, SAMPLE, MOST_SAMPLED = 8192, 8, 32768
+BLOCK, SAMPLE, MOST_SAMPLED = 4096, 8, 32768
 #: Rows of a block whose distances to another block are in memory together.
 ROWS_AT_ONCE = 512
 #: Slack of the bounds for rounding; and how near the threshold a cosine is summed again exactly.
