@@ -154,6 +154,14 @@ def test_parameters(e):
         with pytest.raises(LanguageError):
             e.execute(text, params)
     assert [tuple(r) for r in e.prepare("Boat filter .id = 9 { .name }").execute(3).collect()] == [("osprey",)]
+    p = e.prepare('Boat filter .name = "x" and .crew > -5 order .id limit 9 { .id, d: .crew + 1, s: "y" }')
+    for values in (("kestrel", 7, 3, 4, "z"), ("osprey", 1, 1, 0, "w"), ("osprey", 2.5, 1, -2, "w")):
+        want = [(i, c + values[3], values[4]) for i, n, c in ((1, "kestrel", 14), (3, "osprey", 6)) if n == values[0]]
+        assert [tuple(r) for r in p.execute(*values).collect()] == want
+    assert [tuple(r) for r in e.prepare("SELECT id FROM Boat WHERE crew < 1 AND name = 'a'", sql=True).execute(10, "osprey").collect()] == [(3,)]
+    assert [tuple(r) for r in e.prepare("Boat filter .crew = 1 { .id }").execute(None).collect()] == [(2,)]
+    with pytest.raises(LanguageError):
+        p.execute(1)
 
 
 def test_negative_zero_is_a_float_of_its_own(e):

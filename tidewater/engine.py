@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 from contextlib import contextmanager
-from dataclasses import dataclass
+from dataclasses import dataclass, fields, is_dataclass, replace
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,26 +57,71 @@ def tables_of(q) -> set[str]:
     return found
 
 
+class _Slot:
+    """A literal that knows its place among a prepared statement's values, through signs too."""
+
+    at = 0
+    minus = False
+
+    def __abs__(self):
+        return self
+
+    def __neg__(self):
+        out = type(self)(-type(self).__mro__[2](self))
+        out.at, out.minus = self.at, not self.minus
+        return out
+
+
+class _Int(_Slot, int):
+    pass
+
+
+class _Float(_Slot, float):
+    pass
+
+
+class _Str(_Slot, str):
+    pass
+
+
+def _filled(node, values: tuple):
+    """A statement with its slots' values."""
+    if isinstance(node, _Slot):
+        return -values[node.at] if node.minus else values[node.at]
+    if is_dataclass(node):
+        return replace(node, **{f.name: _filled(getattr(node, f.name), values) for f in fields(node)})
+    if isinstance(node, (list, tuple)):
+        return type(node)(_filled(x, values) for x in node)
+    if isinstance(node, dict):
+        return {k: _filled(v, values) for k, v in node.items()}
+    return node
+
+
 class Prepared:
-    """A statement with its literals as slots, in the order in which they're written."""
+    """A statement with its literals as slots, in the order in which they're written; it is parsed once."""
 
     def __init__(self, engine: Engine, text: str, sql: bool):
         from tidewater.lexer import tokens
 
-        self.engine, self.sql = engine, sql
-        self.parts, at, self.slots = [], 0, 0
+        self.engine, self.sql, self.kinds, slots, parts, at = engine, sql, [], [], [], 0
         for t in tokens(text, sql):
             if t.kind in ("int", "float", "str"):
-                self.parts += [text[at : t.start], None]
-                at, self.slots = t.end, self.slots + 1
-        self.parts.append(text[at:])
+                slot = {"int": _Int, "float": _Float, "str": _Str}[t.kind](t.value)
+                slot.at = len(slots)
+                slots.append(slot)
+                self.kinds.append(type(t.value))
+                parts += [text[at : t.start], f"${len(slots)}"]
+                at = t.end
+        self.text = "".join([*parts, text[at:]])
+        self.statement = (parse_sql if sql else parse)(self.text, slots)
 
     def execute(self, *values: Any):
-        if len(values) != self.slots:
-            raise LanguageError(f"{self.slots} literals are needed, {len(values)} were given")
-        n = iter(range(1, self.slots + 1))
-        text = "".join(f"${next(n)}" if p is None else p for p in self.parts)
-        return self.engine.execute(text, list(values), sql=self.sql)
+        if len(values) != len(self.kinds):
+            raise LanguageError(f"{len(self.kinds)} literals are needed, {len(values)} were given")
+        # a value of another type, or one that syntax may refuse, is read as it would be in the text
+        if any(type(v) is not k or v == 0 or k is not str and not v > 0 for v, k in zip(values, self.kinds, strict=True)):
+            return self.engine.execute(self.text, list(values), sql=self.sql)
+        return self.engine.perform(lambda: _filled(self.statement, values), self.sql)
 
 
 class Engine:

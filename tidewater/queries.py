@@ -118,12 +118,19 @@ def run_case(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine(spark, sf_dir).dataframe(text, sql=sql)
 
 
+#: A path over two declared links: the links, and the query.
+SCALAR_LINK = (
+    ("link orders.customer -> customer on o_custkey = c_custkey", "link customer.nation -> nation on c_nationkey = n_nationkey"),
+    "orders as o filter o.o_totalprice > 200000 { k: o.o_orderkey, customer: o.customer.c_name, nation: o.customer.nation.n_name }",
+)
+
+
 def scalar_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A path over two declared links."""
     e = engine(spark, sf_dir)
-    e.execute("link orders.customer -> customer on o_custkey = c_custkey")
-    e.execute("link customer.nation -> nation on c_nationkey = n_nationkey")
-    return e.dataframe("orders as o filter o.o_totalprice > 200000 { k: o.o_orderkey, customer: o.customer.c_name, nation: o.customer.nation.n_name }")
+    for link in SCALAR_LINK[0]:
+        e.execute(link)
+    return e.dataframe(SCALAR_LINK[1])
 
 
 def block_link(spark: SparkSession, sf_dir: str) -> DataFrame:
