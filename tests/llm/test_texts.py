@@ -1,5 +1,6 @@
 """Operators on texts against plain versions."""
 
+import os
 import random
 import re
 import zlib
@@ -8,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tests.llm.fixtures import by_row, documents, none, texts
 
@@ -250,6 +252,36 @@ def test_token_files(spark):
     assert token_digest(none(spark)).count() == 0
 
 
+def test_token_file_format(spark, tmp_path):
+    """Integer run-length encoding of the second version, row indexes, a Bloom filter on doc_id, and look-ups that use them."""
+    from tidewater.llm.token_orc import look_up, write_token_files
+
+    path = f"file://{tmp_path}/orc"
+    docs = spark.range(0, 40_000, 2).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words "), F.col("id")).alias("text"))
+    write_token_files(docs, path)
+    jvm, files = spark.sparkContext._jvm, [f for f in os.listdir(f"{tmp_path}/orc") if f.endswith(".orc")]
+    assert files
+    for name in files:
+        options = jvm.org.apache.orc.OrcFile.readerOptions(spark.sparkContext._jsc.hadoopConfiguration())
+        reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(f"{path}/{name}"), options)
+        assert reader.getRowIndexStride() == 1000 and reader.getCompressionKind().toString() == "ZSTD"
+        footer = reader.rows().readStripeFooter(reader.getStripes()[0])
+        assert {footer.getColumns(c).getKind().toString() for c in range(1, footer.getColumnsCount())} == {"DIRECT_V2"}
+        streams = {(x.getColumn(), x.getKind().toString()) for x in footer.getStreamsList()}
+        assert (1, "ROW_INDEX") in streams and (1, "BLOOM_FILTER_UTF8") in streams
+
+    def scanned(df):
+        rows = df.collect()
+        leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
+        plan = leaves.head()
+        return rows, plan.metrics().apply("numOutputRows").value()
+
+    rows, read = scanned(look_up(spark, path, [1234]))
+    assert [r["doc_id"] for r in rows] == [1234] and read <= 1024
+    rows, read = scanned(look_up(spark, path, [1235]))  # between two ids: the Bloom filter knows
+    assert rows == [] and read <= 1024
+
+
 @pytest.mark.parametrize("with_ids", [False, True])
 def test_packing(spark, with_ids):
     from tidewater.llm.packing import TIERS, pack_documents
