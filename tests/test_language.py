@@ -198,6 +198,15 @@ def test_the_session_keeps_its_settings(spark, tmp_path):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def test_joins_can_be_guarded(spark, tmp_path):
+    own = Engine(spark, f"file://{tmp_path}", join_rows=10)
+    own.register("N", spark.range(4).withColumnRenamed("id", "n"), key=("n",))
+    assert len(rows(own, "N as a join N as b on a.n <= b.n")) == 10
+    for text in ("N as a cross join N as b", "N as a cross join N as b filter a.n = 1", "count(N as a cross join N as b)"):
+        with pytest.raises(LanguageError):
+            own.execute(text)
+
+
 def test_many_inserts_are_merged(spark, tmp_path):
     own = Engine(spark, f"file://{tmp_path}")
     own.execute("type S { unique id: int }")

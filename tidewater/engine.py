@@ -128,10 +128,12 @@ class Engine:
     """A catalog in a folder and the session that reads and writes it.
 
     path: a folder that the driver and all executors share; by default a new
-    one below spark.checkpoint.dir.
+    one below spark.checkpoint.dir.  join_rows: a guard against joins that blow
+    up; a query whose join has more rows is refused, at the price of counting
+    that far first.  By default joins have no bound.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None):
+    def __init__(self, spark: SparkSession, path: str | None = None, join_rows: int | None = None):
         if path is None:
             import tempfile
             import uuid
@@ -143,6 +145,7 @@ class Engine:
                 root = "file://" + tempfile.mkdtemp(prefix="tidewater-")
             path = f"{root}/tidewater/store-{uuid.uuid4().hex}"
         self.spark, self.catalog = spark, Catalog(spark, path)
+        self.catalog.join_rows = join_rows
         self.saved, self.aborted = None, False
 
     @contextmanager

@@ -281,6 +281,9 @@ class Compiler:
             df = self.join(df, scope, right, r, j)
             # a right join is a left join of swapped inputs, so its columns come first
             scope.sources = [r, *scope.sources] if j.kind == "right" else [*scope.sources, r]
+        most = self.catalog.join_rows
+        if most is not None and df.limit(most + 1).count() > most:
+            raise LanguageError(f"the join has more than {most} rows, which this engine refuses")
         return df, scope
 
     def join(self, left: DataFrame, scope: Scope, right: DataFrame, source: Source, j: Join) -> DataFrame:

@@ -117,6 +117,7 @@ class Catalog:
         self.external: dict[str, External] = {}
         self.links: dict[tuple[str, str], Link] = {}
         self.views: dict[str, View] = {}
+        self.join_rows: int | None = None  # most rows of a join, where it is guarded
         self._load()
 
     # -- state on disk, and versions for transactions --
