@@ -90,6 +90,7 @@ CASES: dict[str, tuple[str, bool, str]] = {
     "json_group": ("events group .props->k { k: .props->k, n: count(*) }", False, "SELECT json_extract_string(props, '$.k') AS k, count(*) AS n FROM events GROUP BY 1"),
     "nested_projection": ("customer as c { c.c_custkey, orders: orders as o filter o.o_custkey = c.c_custkey and o.o_totalprice > 200000 order o.o_totalprice desc limit 2 { o.o_orderkey, status: o.o_orderstatus } }", False, "SELECT c_custkey, coalesce(j, '[]') AS orders FROM customer LEFT JOIN (SELECT o_custkey, '[' || string_agg('{\"o_orderkey\":' || o_orderkey || ',\"status\":\"' || o_orderstatus || '\"}', ',' ORDER BY rn) || ']' AS j FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders WHERE o_totalprice > 200000) WHERE rn <= 2 GROUP BY 1) ON o_custkey = c_custkey"),
     "nested_two_levels": ("region as r { r.r_name, nations: nation as n filter n.n_regionkey = r.r_regionkey order n.n_nationkey { n.n_name, suppliers: supplier as s filter s.s_nationkey = n.n_nationkey order s.s_suppkey limit 2 { s.s_suppkey } } }", False, "SELECT r_name, coalesce(j, '[]') AS nations FROM region LEFT JOIN (SELECT n_regionkey, '[' || string_agg('{\"n_name\":\"' || n_name || '\",\"suppliers\":' || coalesce(k, '[]') || '}', ',' ORDER BY n_nationkey) || ']' AS j FROM nation LEFT JOIN (SELECT s_nationkey, '[' || string_agg('{\"s_suppkey\":' || s_suppkey || '}', ',' ORDER BY s_suppkey) || ']' AS k FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS rn FROM supplier) WHERE rn <= 2 GROUP BY 1) ON s_nationkey = n_nationkey GROUP BY 1) ON n_regionkey = r_regionkey"),
+    "nested_kinds": ("region as r { r.r_name, kinds: nation as n filter n.n_regionkey = r.r_regionkey order n.n_nationkey desc { f: n.n_nationkey * 1.0, b: n.n_nationkey > 5, s: n.n_name, z: cast(n.n_name, \"int\"), when: cast(n.n_nationkey, \"datetime\") } }", False, "SELECT r_name, coalesce(j, '[]') AS kinds FROM region LEFT JOIN (SELECT n_regionkey, '[' || string_agg('{\"b\":' || (n_nationkey > 5) || ',\"f\":' || n_nationkey || '.0,\"s\":\"' || n_name || '\",\"when\":\"' || n_nationkey || '\",\"z\":null}', ',' ORDER BY n_nationkey DESC) || ']' AS j FROM nation GROUP BY 1) ON n_regionkey = r_regionkey"),
     "json_point": ("events filter .props->k = 7 { .event_id }", False, "SELECT event_id FROM events WHERE json_extract(props, '$.k')::BIGINT = 7"),
     "json_order": ("events order .props->k desc limit 40 { .event_id, k: cast(.props->k, \"int\") }", False, "SELECT event_id, json_extract(props, '$.k')::BIGINT AS k FROM events ORDER BY k DESC NULLS LAST, event_id LIMIT 40"),
     "json_text": ("events { .event_id, t: json_text(.props->k), d: json_type(.props) }", False, "SELECT event_id, json_extract_string(props, '$.k') AS t, 'object' AS d FROM events"),
