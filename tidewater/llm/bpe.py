@@ -47,7 +47,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.model._resize_cache(0)  # words are kept here
+        if resize := getattr(self.model, "_resize_cache", None):  # no public name; without it words are kept twice
+            resize(0)
         self.chars = byte_characters()
         self.space = self.chars[0x20]
         self.marks: dict[str, bytes] = {}
