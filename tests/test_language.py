@@ -198,6 +198,18 @@ def test_the_session_keeps_its_settings(spark, tmp_path):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def test_rows_that_a_join_cannot_repeat(spark, e):
+    e.register("Port", spark.createDataFrame([(1, 10), (2, 20)], "port long, depth long"), key=("port",))
+    e.register("Call", spark.createDataFrame([(1, 1, 5), (2, 1, 6), (3, 2, 7), (4, None, 8), (5, 9, 9)], "call long, at long, days long"), key=("call",))
+    joined = "Call as c left join Port as p on p.port = c.at"
+    assert sorted(rows(e, f"{joined} group p.depth {{ p.depth, d: sum(c.days), n: count(c.call), ports: count(p.port), deep: sum(p.depth), all: count(*) }}"), key=str) == [
+        (10, 11, 2, 1, 10, 2), (20, 7, 1, 1, 20, 1), (None, 17, 2, 0, None, 2),
+    ]
+    assert rows(e, f"sum({joined} {{ c.days }})") == [(35,)] and rows(e, f"sum({joined} {{ p.depth }})") == [(30,)]
+    assert rows(e, "sum(Call as c join Port as p on p.port > c.at { c.days })") == [(11 + 8,)]
+    assert rows(e, "sum(Call as c cross join Port as p { c.days })") == [(35,)]
+
+
 def test_joins_can_be_guarded(spark, tmp_path):
     own = Engine(spark, f"file://{tmp_path}", join_rows=10)
     own.register("N", spark.range(4).withColumnRenamed("id", "n"), key=("n",))

@@ -49,6 +49,7 @@ class Scope:
     outer: Scope | None = None
     extra: dict = field(default_factory=dict)  # expressions that are columns already
     joined: bool = False
+    once: frozenset = frozenset()  # aliases whose rows a join can't repeat
 
     def find(self, f: Field) -> Typed:
         if f in self.extra:
@@ -281,11 +282,35 @@ class Compiler:
             df = self.join(df, scope, right, r, j)
             # a right join is a left join of swapped inputs, so its columns come first
             scope.sources = [r, *scope.sources] if j.kind == "right" else [*scope.sources, r]
+        scope.once = self.unrepeated(scope.sources, q.joins)
         most = self.catalog.join_rows
         if most is not None and df.limit(most + 1).count() > most:
             raise LanguageError(f"the join has more than {most} rows, which this engine refuses")
         return df, scope
 
+    def unrepeated(self, sources: list[Source], joins: list[Join]) -> frozenset:
+        """Aliases from which all other sources are reached over equalities with their declared keys: a row of one meets one row of each at most."""
+
+        def place(f) -> tuple[str, str, str] | None:
+            own = [s for s in sources if isinstance(f, Field) and not f.hops and f.name in s.kinds and f.alias in (None, s.alias or s.table)]
+            return (own[0].alias or own[0].table, f.name, own[0].kinds[f.name]) if len(own) == 1 else None
+
+        keys = {s.alias or s.table: getattr(self.catalog.table(s.table), "unique", frozenset()) for s in sources}
+        steps = []
+        for c in (c for j in joins for c in conjuncts(j.on)):
+            a, b = (place(c.left), place(c.right)) if isinstance(c, Binary) and c.op == "=" else (None, None)
+            if a and b and a[2] == b[2]:
+                steps += [(x[0], y[0]) for x, y in ((a, b), (b, a)) if y[1] in keys[y[0]]]
+        out = []
+        for start in keys:
+            reached, before = {start}, 0
+            while len(reached) > before:
+                before = len(reached)
+                reached |= {y for x, y in steps if x in reached}
+            if len(reached) == len(sources):
+                out.append(start)
+        return frozenset(out)
+
     def join(self, left: DataFrame, scope: Scope, right: DataFrame, source: Source, j: Join) -> DataFrame:
         if j.kind == "cross":
             return left.crossJoin(right)
@@ -530,7 +555,10 @@ class Compiler:
             reads = self.value(a.arg, scope).source
             if len(reads) != 1:
                 raise LanguageError(f"'{a.name}' over a join must read exactly one source; use {a.name}(raw ...)")
-            apart.setdefault(next(iter(reads)), []).append(n)
+            if reads <= scope.once:  # each row once as it is
+                plain[n] = col
+            else:
+                apart.setdefault(next(iter(reads)), []).append(n)
         parts = []
         if plain:
             parts.append(df.groupBy(*(c.alias(n) for n, c in columns.items())).agg(*(c.alias(f"__agg{n}") for n, c in plain.items())))
