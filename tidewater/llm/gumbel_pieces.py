@@ -38,8 +38,8 @@ NODES_KEPT = 300_000
 UNSEEN, FAR = 40.0, 60.0
 #: Log-probability of an edge above which those beside it are added up, as 1 less it is not exact.
 NEAR_ONE = -1e-6
-#: Distance from a pre-token's end from which the sums of its lattice are scaled; closer ones are above e ** -600.
-SCALED = 12
+#: Sums of a lattice below which they and those before them are scaled.
+TINY = 1e-200
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -196,7 +196,7 @@ class Lattices:
                 break
         # backward sums, the nodes of all pre-tokens of some lengths that are as far from their ends together;
         # exponent: what the sums were scaled by, in steps that keep them far from the smallest numbers
-        after, exponent = np.zeros(n + 1), np.zeros(n + 1, np.int64)
+        after, exponent, scaled = np.zeros(n + 1), np.zeros(n + 1, np.int64), False
         for d in range(1, int(sizes[-1]) + 1):
             own = ends[np.searchsorted(sizes, d) :] - d
             m = min(d, longest)
@@ -204,7 +204,7 @@ class Lattices:
             nxt = np.empty_like(weight)
             for k in range(m):
                 nxt[:, k] = 1.0 if k + 1 == d else after[own + k + 1]
-            if d > SCALED:
+            if scaled:
                 scale = exponent[own + 1]
                 for k in range(1, m):  # of later nodes, which were scaled less or as much
                     nxt[:, k] = np.ldexp(nxt[:, k], (scale - (0 if k + 1 == d else exponent[own + k + 1])).clip(-2000, 2000).astype(np.int32))
@@ -217,7 +217,8 @@ class Lattices:
             last = m - 1 - np.argmax(ids[own, :m][:, ::-1] != -1, axis=1)
             sums[np.arange(m) >= last[:, None]] = 2
             upto[own, :m] = sums
-            if d >= SCALED:
+            if scaled or total.min() < TINY:
+                scaled = True
                 shift = np.frexp(total)[1]
                 exponent[own] = (exponent[own + 1] if d > 1 else 0) - shift
                 total = np.ldexp(total, -shift)
