@@ -75,7 +75,8 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         small = _small_star(large)
         new = scratch.save(small, "stars")
         # stars: each non-root has one link, to its root, and no root has a link
-        if not new.join(new.select(F.col("u").alias("w")).hint("merge"), new["v"] == F.col("w"), "left_semi").take(1) and not new.groupBy("u").count().where("count > 1").take(1):
+        onward = new.join(new.select(F.col("u").alias("w")).hint("merge"), new["v"] == F.col("w"), "left_semi").select("u")
+        if not onward.unionByName(new.groupBy("u").count().where("count > 1").select("u")).take(1):
             scratch.drop(edges)
             return new.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(new.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         scratch.drop(edges)

@@ -314,8 +314,13 @@ def candidates(index: DataFrame, probes: DataFrame) -> DataFrame:
     return met.join(held.hint("merge"), [*key, "apart", "salt"]).where("q_root <> root").select("q", "q_root", "fp", "root")
 
 
-def fingerprint_components(distinct: DataFrame, scratch: Scratch, verified: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """(node, component) for every fp that links to another; component is the smallest fp reachable.
+def fingerprint_components(distinct: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, component) for every fp of ``distinct`` that links to another; component is the smallest fp reachable."""
+    return components(fingerprint_links(distinct, scratch), scratch)
+
+
+def fingerprint_links(distinct: DataFrame, scratch: Scratch, verified: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Pairs (a, b) of fingerprints that connect all that links connect.
 
     distinct: one column fp without repeats, a table that can be read twice.
     verified: leaves those of candidate pairs (a, b) of fingerprints that are links; by default all are.
@@ -337,7 +342,7 @@ def fingerprint_components(distinct: DataFrame, scratch: Scratch, verified: Call
     ends = ("q", "fp") if verified else ("q_root", "root")
     pairs = found.select(F.least(*ends).alias("a"), F.greatest(*ends).alias("b"))
     pairs = verified(pairs.distinct()) if verified else pairs
-    return components(pairs.unionByName(dense.select(F.col("component").alias("a"), F.col("node").alias("b"))), scratch)
+    return pairs.unionByName(dense.select(F.col("component").alias("a"), F.col("node").alias("b")))
 
 
 def simhash_groups(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:

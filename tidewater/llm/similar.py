@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tidewater.llm.components import components
 from tidewater.llm.shared import Scratch, map_batches, slices
-from tidewater.llm.simhash import fingerprint_components, majority
+from tidewater.llm.simhash import fingerprint_links, majority
 
 SHINGLE, SEED = 5, 42
 #: The least similarity, as a fraction.
@@ -132,15 +132,15 @@ def similar_places(rows: DataFrame, scratch: Scratch) -> DataFrame:
         near = F.size(F.array_intersect("x", "y")) * sum(LEAST) >= (F.size("x") + F.size("y")) * LEAST[0]
         return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").where(near).select("a", "b")
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        """Links (a, b) among candidates (a, a_size, b, b_size), a row for each shingle that their prefixes share.
+    def likely(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) that can be links among candidates (a, a_size, b, b_size), a row for each shingle that their prefixes share.
 
         Of a text's shared shingles those beyond its prefix number at most its size less the prefix.
         """
         small, large = F.least("a_size", "b_size"), F.greatest("a_size", "b_size")
         beyond = F.floor((large * LEAST[0] + LEAST[1] - 1) / LEAST[1]) - 1
         pairs = pairs.where((F.col("a") != F.col("b")) & (small * LEAST[1] >= large * LEAST[0])).groupBy("a", "b", "a_size", "b_size").agg(F.count(F.lit(1)).alias("n"))
-        return alike(pairs.where((F.col("n") + beyond) * sum(LEAST) >= (small + large) * LEAST[0]).select("a", "b"))
+        return pairs.where((F.col("n") + beyond) * sum(LEAST) >= (small + large) * LEAST[0]).select("a", "b")
 
     # the SimHash search: a text for each fingerprint, and the texts that share it
     marked = said.select("fp", "bits").distinct()
@@ -152,23 +152,23 @@ def similar_places(rows: DataFrame, scratch: Scratch) -> DataFrame:
         back = good.join(named.select(F.col("text").alias("a"), F.col("bits").alias("p")), "a").join(named.select(F.col("text").alias("b"), F.col("bits").alias("q")), "b")
         return back.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
 
-    found = fingerprint_components(scratch.save(named.select(F.col("bits").alias("fp")), "distinct"), scratch, of_texts)
-    names = named.select(F.col("bits").alias("node"), F.col("text").alias("a")), named.select(F.col("bits").alias("component"), F.col("text").alias("b"))
-    by_bits = found.join(names[0], "node").join(names[1], "component").select("a", "b")
-    same = alike(marked.join(named.hint("merge"), "bits").where("fp <> text").select(F.col("text").alias("a"), F.col("fp").alias("b")))
+    found = fingerprint_links(scratch.save(named.select(F.col("bits").alias("fp")), "distinct"), scratch, of_texts)
+    names = named.select(F.col("bits").alias("a"), F.col("text").alias("x")), named.select(F.col("bits").alias("b"), F.col("text").alias("y"))
+    by_bits = found.join(names[0], "a").join(names[1], "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    same = marked.join(named.hint("merge"), "bits").where("fp <> text").select(F.least("text", "fp").alias("a"), F.greatest("text", "fp").alias("b"))
 
     def ordered(fp: str, size: str, other: str, other_size: str) -> list[Column]:
         first = F.col(fp) < F.col(other)
         return [F.least(fp, other).alias("a"), F.when(first, F.col(size)).otherwise(F.col(other_size)).alias("a_size"), F.greatest(fp, other).alias("b"), F.when(first, F.col(other_size)).otherwise(F.col(size)).alias("b_size")]
 
     # then the prefix filter's neighbours, and what is left between different groups
-    near = linked(index.where("other IS NOT NULL").select(*ordered("fp", "size", "other", "other_size")))
-    dense = scratch.save(components(by_bits.unionByName(same).unionByName(near), scratch), "dense")
+    near = likely(index.where("other IS NOT NULL").select(*ordered("fp", "size", "other", "other_size")))
+    dense = scratch.save(components(by_bits.unionByName(alike(same.unionByName(near).distinct())), scratch), "dense")
     rooted = index.select("fp", "size", "gram").join(dense.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp")).drop("component")
     rooted = scratch.save(rooted, "rooted")
     other = rooted.select("gram", F.col("fp").alias("o"), F.col("size").alias("o_size"), F.col("root").alias("o_root"))
     close = F.least("size", "o_size") * LEAST[1] >= F.greatest("size", "o_size") * LEAST[0]
     apart = rooted.join(other.hint("merge"), (rooted["gram"] == other["gram"]) & (F.col("fp") < F.col("o")) & (F.col("root") != F.col("o_root")) & close)
-    links = linked(apart.select(*ordered("fp", "size", "o", "o_size")))
+    links = alike(likely(apart.select(*ordered("fp", "size", "o", "o_size"))))
     roots = components(links.unionByName(dense.select(F.col("node").alias("a"), F.col("component").alias("b"))), scratch)
     return prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("doc_id", "text_hash", F.coalesce("component", "fp").alias("root"))
