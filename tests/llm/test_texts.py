@@ -204,6 +204,25 @@ def test_near_duplicates_stage_is_complete(spark):
     assert corpus_pipeline.near_duplicates(spark, docs.limit(0), "").count() == 0
 
 
+def test_scratch_tables_take_few_bytes_at_a_time(spark):
+    """A task holds a batch of a few MB, in the JVM and in Python, however long the texts; the session's setting stays."""
+    from tidewater.llm.shared import BATCH_BYTES, Scratch, map_batches
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["rows", "bytes"])
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = spark.conf.get(name)
+    texts = spark.range(0, 4000, 1, 1).select(F.repeat(F.lit("x"), 4000).alias("text"))
+    found = Scratch(spark, "sizes").save(map_batches(texts, sizes, "rows long, bytes long"), "sizes").collect()
+    assert sum(r["rows"] for r in found) == 4000
+    assert max(r["bytes"] for r in found) <= BATCH_BYTES + 3 * 4004
+    assert spark.conf.get(name) == was
+
+
 def test_components(spark):
     from tidewater.llm.components import components
     from tidewater.llm.shared import Scratch

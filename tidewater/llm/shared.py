@@ -8,6 +8,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,9 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Rows that are turned into Python objects at a time.
 SLICE_ROWS = 128
 
+#: Bytes of an Arrow batch and of a scratch table's row group, which a task holds whole, the batch in the JVM and in Python.
+BATCH_BYTES, GROUP_BYTES = 4 << 20, 16 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of a data folder, read by Spark from whatever store holds it."""
@@ -61,6 +65,18 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(at, rows)
 
 
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Arrow batches of at most BATCH_BYTES, or one row, in what is computed inside; the session's setting comes back after."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``; one of our own only where that is unset and all runs on this machine."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
@@ -110,7 +126,8 @@ class Scratch:
 
     def save(self, df: DataFrame, label: str) -> DataFrame:
         path = self.new_path(label)
-        df.write.parquet(path)
+        with small_batches(self.spark):
+            df.write.option("parquet.block.size", GROUP_BYTES).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._tidewater_path = path
         return out

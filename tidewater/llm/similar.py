@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.llm.components import components
-from tidewater.llm.shared import Scratch, map_batches, slices
+from tidewater.llm.shared import Scratch, map_batches, slices, small_batches
 from tidewater.llm.simhash import fingerprint_links, majority
 
 SHINGLE, SEED = 5, 42
@@ -77,7 +77,8 @@ def _counted(rows: DataFrame) -> np.ndarray:
             part = at[i : i + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(counts[part])], ["at", "n"])
 
-    found = map_batches(rows.select("text"), run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    with small_batches(rows.sparkSession):
+        found = map_batches(rows.select("text"), run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(1 << COUNTERS, np.int64)
     out[found["at"].to_numpy()] = found["n"].to_numpy()
     return out
