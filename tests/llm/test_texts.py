@@ -421,6 +421,25 @@ def test_no_segmentation_is_left_out():
             assert total > k or all(x["inclusion"] == 1 for x in found)
 
 
+def test_lattices_are_weighed_once(monkeypatch):
+    """New pre-tokens are numbered as they're met and built once, in rows of whole eights; what a slice repeats isn't built again."""
+    from tidewater.llm import gumbel_pieces as g
+
+    lattices, built = g.Lattices(g.piece_lattices().table), []
+    monkeypatch.setattr(lattices, "_build", lambda new, f=lattices._build: (built.extend(new), f(new))[1])
+    tokens = [" the", "x", " of", " the", "\n", " internationalization", "x"]
+    assert lattices.places(tokens).tolist() == [0, 1, 2, 0, 3, 4, 1]
+    assert lattices.places(tokens[::-1]).tolist() == [1, 4, 3, 0, 2, 1, 0]
+    assert built == [" the", "x", " of", "\n", " internationalization"]
+    assert lattices.hits.tolist() == [4, 4, 2, 2, 2] and lattices.width % 8 == 0
+    for token, n in lattices.index.items():
+        at = lattices.first[n]
+        assert lattices.sizes[n] == len(token) and np.allclose(lattices.p[at : at + len(token)].sum(1), 1)
+    rows = np.sort(np.random.default_rng(2).random((500, 16)), axis=1).astype(np.float32)
+    u = np.append(rows[:250, 3], np.random.default_rng(3).random(250).astype(np.float32))
+    assert g.passed(rows, u).tolist() == (rows <= u[:, None]).sum(1).tolist()
+
+
 def test_gumbel_top_k_distribution():
     from tidewater.llm.gumbel_pieces import piece_lattices, sample_texts
 

@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -106,6 +106,28 @@ class PieceTable:
         return found
 
 
+def passed(upto: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """How many numbers of each row are at most that of ``u``; rows are of a multiple of eight numbers."""
+    eights = np.bitwise_count((upto <= u[:, None]).view(np.uint64))
+    out = eights[:, 0].astype(np.int64)
+    for k in range(1, eights.shape[1]):
+        out += eights[:, k]
+    return out
+
+
+class Places(dict):
+    """Pre-token to its number, in the order in which they are met; ``new`` has those whose lattices aren't built."""
+
+    def __init__(self, names=()):
+        super().__init__((name, n) for n, name in enumerate(names))
+        self.new: list[str] = []
+
+    def __missing__(self, token: str) -> int:
+        n = self[token] = len(self)
+        self.new.append(token)
+        return n
+
+
 class Lattices:
     """The lattices of distinct pre-tokens, kept from one call to the next; nodes of all of them end to end.
 
@@ -116,12 +138,13 @@ class Lattices:
     """
 
     def __init__(self, table: PieceTable):
-        self.table, self.width = table, table.words.longest
+        self.table, self.longest = table, table.words.longest
+        self.width = -(-self.longest // 8) * 8  # eight comparisons are counted as one number
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.first = np.zeros(1, np.int64)
+        self.index = Places()
+        self.first, self.sizes, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
         self.hits = np.zeros(0, np.int64)
         self.id, self.p, self.upto = self._room(2 * NODES_KEPT)
 
@@ -130,7 +153,7 @@ class Lattices:
 
     def _forget(self) -> None:
         """Leave the most frequent pre-tokens that were met more than once, to half of the bound."""
-        sizes = np.diff(self.first)
+        sizes = self.sizes
         often = np.argsort(-self.hits, kind="stable")
         often = often[(self.hits[often] > 1) & (np.cumsum(sizes[often]) <= NODES_KEPT // 2)]
         names, at = list(self.index), np.repeat(self.first[often] - np.cumsum(sizes[often]) + sizes[often], sizes[often])
@@ -141,34 +164,33 @@ class Lattices:
             old = self.id, self.p, self.upto
         for x, y in zip(old, (self.id, self.p, self.upto), strict=True):
             y[: len(at)] = x[at]
-        self.index = {names[i]: n for n, i in enumerate(often.tolist())}
-        self.first = np.concatenate([[0], np.cumsum(sizes[often])])
+        self.index = Places(names[i] for i in often.tolist())
+        self.sizes = sizes[often]
+        self.first, self.used = np.cumsum(self.sizes) - self.sizes, int(self.sizes.sum())
         self.hits = np.zeros(len(often), np.int64)
 
     def places(self, tokens: list[str]) -> np.ndarray:
         """The numbers of pre-tokens; those that are new are built."""
-        if self.first[-1] > NODES_KEPT:
+        if self.used > NODES_KEPT:
             self._forget()
-        out = np.fromiter(map(self.index.get, tokens, repeat(-1)), dtype=np.int64, count=len(tokens))
-        unknown = np.flatnonzero(out < 0).tolist()
-        if unknown:
-            new = sorted(dict.fromkeys(tokens[i] for i in unknown), key=len)
-            at = len(self.index)
-            self._build(new)
-            self.index.update(zip(new, range(at, at + len(new)), strict=True))
-            out[unknown] = [self.index[tokens[i]] for i in unknown]
+        out = np.fromiter(map(self.index.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+        if self.index.new:
+            self._build(self.index.new)
+            self.index.new = []
         self.hits += np.bincount(out, minlength=len(self.hits))
         return out
 
     def _build(self, texts: list[str]) -> None:
-        """Add the lattices of texts in order of length."""
-        table, words, longest = self.table, self.table.words, self.width
-        sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+        """Add the lattices of texts, nodes in order of their length."""
+        table, words, longest = self.table, self.table.words, self.longest
+        lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+        order = np.argsort(lengths, kind="stable")
+        sizes, texts = lengths[order], [texts[i] for i in order.tolist()]
         ends = np.cumsum(sizes)
         n = int(ends[-1])
         chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
         left = np.repeat(ends, sizes) - np.arange(n)  # characters from each node to its pre-token's end
-        base = int(self.first[-1])
+        base = self.used
         if base + n > len(self.id):
             old, room = (self.id, self.p, self.upto), self._room(base + n)
             for x, y in zip(old, room, strict=True):
@@ -177,6 +199,7 @@ class Lattices:
         ids, p, upto = self.id[base : base + n], self.p[base : base + n], self.upto[base : base + n]
         ids[:], p[:], upto[:] = -1, 0, 2
         inside, keys = np.arange(n), np.zeros(n, np.uint64)
+        last = np.zeros(n, np.int64)  # each node's longest edge
         for k in range(longest):
             keys = (keys + chars[inside + k] + np.uint64(1)) * _A
             keys ^= keys >> np.uint64(29)
@@ -190,6 +213,7 @@ class Lattices:
             hit = found >= 0
             at, own = inside[hit], found[hit]
             ids[at, k], p[at, k] = own, table.chance[own]
+            last[at] = k
             more = (found != table.NOTHING) & (left[inside] > k + 1)
             inside, keys = inside[more], keys[more]
             if not len(inside):
@@ -214,8 +238,7 @@ class Lattices:
             p[own, :m] = weight
             sums = np.cumsum(weight, 1)
             # rounding mustn't lead beyond the last edge
-            last = m - 1 - np.argmax(ids[own, :m][:, ::-1] != -1, axis=1)
-            sums[np.arange(m) >= last[:, None]] = 2
+            sums[np.arange(m) >= last[own][:, None]] = 2
             upto[own, :m] = sums
             if scaled or total.min() < TINY:
                 scaled = True
@@ -223,7 +246,9 @@ class Lattices:
                 exponent[own] = (exponent[own + 1] if d > 1 else 0) - shift
                 total = np.ldexp(total, -shift)
             after[own] = total
-        self.first = np.concatenate([self.first, self.first[-1] + ends])
+        first = np.empty(len(texts), np.int64)
+        first[order] = base + ends - sizes
+        self.first, self.sizes, self.used = np.concatenate([self.first, first]), np.concatenate([self.sizes, lengths]), base + n
         self.hits = np.concatenate([self.hits, np.zeros(len(texts), np.int64)])
 
     def walk(self, pre: np.ndarray, pos: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -232,13 +257,14 @@ class Lattices:
         A line is a pre-token of the input, whose random numbers come from its key and the positions.
         """
         nodes, edges, lines = [], [], []
-        began, end = self.first[pre], self.first[pre + 1]
+        began = self.first[pre]
+        end = began + self.sizes[pre]
         live = np.flatnonzero(began + pos < end)
         own, stop, key = (began + pos)[live], end[live], (keys - began.astype(np.uint64))[live]
         steps = np.zeros(len(pre), np.int64)
         while len(live):
             u = uniform(key + own.astype(np.uint64)).astype(np.float32)
-            k = (np.take(self.upto, own, axis=0) <= u[:, None]).sum(1)
+            k = passed(np.take(self.upto, own, axis=0), u)
             lines.append(live)
             nodes.append(own)
             edges.append(k)
