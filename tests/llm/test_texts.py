@@ -421,6 +421,48 @@ def test_no_segmentation_is_left_out():
             assert total > k or all(x["inclusion"] == 1 for x in found)
 
 
+def test_pre_tokens_are_cut_without_an_expression(monkeypatch):
+    """Texts without runs of spaces are cut by plain splits, to the same pre-tokens as by the expression."""
+    from tidewater.llm import unigram
+
+    rng, rule, tried = random.Random(5), unigram._PRE, []
+
+    class Counted:
+        @staticmethod
+        def findall(text):
+            tried.append(text)
+            return rule.findall(text)
+
+    monkeypatch.setattr(unigram, "_PRE", Counted)
+    odd = ["".join(rng.choice("ab \n\t\r\x0b\0é☃\u3000") for _ in range(rng.randint(0, 12))) for _ in range(3000)] + [t or "" for t in texts()]
+    for t in odd:
+        assert unigram.pre_tokens(t) == (rule.findall(" " + t) if t else [])
+    tried.clear()
+    unigram.pre_tokens("one two\nthree \n\n four ")
+    assert not tried
+
+
+def test_trie_looks_up_endings_only():
+    """Scores of random pre-tokens are those of all segmentations, and no look-up goes on where no piece ends so."""
+    from tidewater.llm.unigram import Trie, vocabulary
+
+    v, rng, asked = vocabulary(), random.Random(6), []
+
+    class Asked(dict):
+        def get(self, key):
+            asked.append(key)
+            return dict.get(self, key)
+
+    assert set(v.endings) == {p[n:] for p in v.id_of for n in range(len(p))}
+    trie = Trie(v)
+    for _ in range(400):
+        word = "".join(rng.choice("aeinrst.,é☃日") for _ in range(rng.randint(1, 20)))
+        assert trie.insert(" " + word)[1] == plain_pieces(v, word)
+    trie.words = type("Words", (), {"score": v.score, "byte_score": v.byte_score, "longest": v.longest, "endings": Asked(v.endings)})
+    trie.insert("qxqxqxqxqxqxqxqx")
+    assert all(x in v.endings or x[1:] in v.endings or len(x) == 1 for x in asked)
+
+
 def test_lattices_are_weighed_once(monkeypatch):
     """New pre-tokens are numbered as they're met and built once, in rows of whole eights; what a slice repeats isn't built again."""
     from tidewater.llm import gumbel_pieces as g

@@ -55,6 +55,8 @@ class Vocabulary:
             self.score[piece] = -math.log(rank + SHIFT) - total
         self.byte_score = -math.log(len(self.id_of) + 1 + SHIFT) - total
         self.longest = max(map(len, self.id_of))
+        #: Scores of the pieces by text, and -inf for what only ends one: no piece ends with what isn't here.
+        self.endings = {piece[n:]: -math.inf for piece in self.id_of for n in range(1, len(piece))} | self.score
 
     def fallback(self, char: str) -> list[int]:
         return [self.bytes[b] for b in char.encode("utf-8", "surrogatepass")]
@@ -77,7 +79,10 @@ def pre_tokens(text: str) -> list[str]:
     """Spaces and what follows them, what follows a line feed, and line feeds, of a space and the text; none of an empty text."""
     if not text:
         return []
-    return _PRE.findall(" " + text)
+    text = " " + text
+    if "  " in text or "\0" in text:
+        return _PRE.findall(text)
+    return list(filter(None, text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")))
 
 
 class Trie:
@@ -97,39 +102,49 @@ class Trie:
         self.children: dict[tuple[int, str], int] = {}
         self.best, self.count = [0.0], [0]
 
-    def _score(self, text: str, at: int, best: list[float], count: list[int]) -> tuple[float, int]:
-        """Best score and pieces of text[:at], from those of its shorter prefixes."""
-        score, found, n = self.words.score.get, -math.inf, 0
-        for k in range(at - self.words.longest if at > self.words.longest else 0, at):
-            s = score(text[k:at])
-            if s is not None:
-                s += best[k]
-                if s > found or s == found and count[k] + 1 < n:
-                    found, n = s, count[k] + 1
-        if score(text[at - 1]) is None:
-            size = len(text[at - 1].encode("utf-8", "surrogatepass"))
-            s = best[at - 1] + size * self.words.byte_score
-            if s > found or s == found and count[at - 1] + size < n:
-                found, n = s, count[at - 1] + size
-        self.computed += 1
-        return found, n
-
     def insert(self, text: str) -> tuple[float, int]:
         """(best score, pieces) of a pre-token."""
         if len(self.best) >= self.most_nodes:
             self.clear()
-        best, count, node = [0.0], [0], 0
-        for at, char in enumerate(text, 1):
-            child = self.children.get((node, char))
+        children, path, node = self.children, [0], 0
+        for char in text:
+            child = children.get((node, char))
             if child is None:
-                score, pieces = self._score(text, at, best, count)
-                child = self.children[node, char] = len(self.best)
-                self.best.append(score)
-                self.count.append(pieces)
+                break
+            path.append(child)
+            node = child
+        if len(path) <= len(text):
+            self._grow(text, path)
+        return self.best[path[-1]], self.count[path[-1]]
+
+    def _grow(self, text: str, path: list[int]) -> None:
+        """Add the nodes of a pre-token below ``path``, each with its best score and pieces from those of the shorter prefixes."""
+        score, endings, children = self.words.score.get, self.words.endings.get, self.children
+        known = len(path)
+        best, count, node = [self.best[n] for n in path], [self.count[n] for n in path], path[-1]
+        for at in range(known, len(text) + 1):
+            found, n = -math.inf, 0
+            for k in range(at - 1, -1, -1):
+                s = endings(text[k:at])
+                if s is None:  # nor does a longer one end a piece
+                    break
+                s += best[k]
+                if s > found or s == found and count[k] + 1 < n:
+                    found, n = s, count[k] + 1
+            char = text[at - 1]
+            if score(char) is None:
+                size = len(char.encode("utf-8", "surrogatepass"))
+                s = best[at - 1] + size * self.words.byte_score
+                if s > found or s == found and count[at - 1] + size < n:
+                    found, n = s, count[at - 1] + size
+            best.append(found)
+            count.append(n)
+            child = children[node, char] = len(self.best)
+            path.append(child)
             node = child
-            best.append(self.best[node])
-            count.append(self.count[node])
-        return best[-1], count[-1]
+            self.best.append(found)
+            self.count.append(n)
+        self.computed += len(path) - known
 
 
 class Counter(dict):
