@@ -204,6 +204,62 @@ def test_near_duplicates_stage_is_complete(spark):
     assert corpus_pipeline.near_duplicates(spark, docs.limit(0), "").count() == 0
 
 
+def join_rows(spark, since=-1):
+    """The rows that each join of the session's executions after one of that id made, and the last id."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    runs, found, last = store.executionsList(), [], since
+    for i in range(runs.size()):
+        key = runs.apply(i).executionId()
+        last = max(last, key)
+        if key <= since:
+            continue
+        values, nodes = store.executionMetrics(key), store.planGraph(key).allNodes()
+        for k in range(nodes.size()):
+            node = nodes.apply(k)
+            for m in range(node.metrics().size() if "Join" in node.name() else 0):
+                metric = node.metrics().apply(m)
+                if metric.name() == "number of output rows" and values.contains(metric.accumulatorId()):
+                    found.append(int(values.apply(metric.accumulatorId()).replace(",", "")))
+    return found, last
+
+
+def test_near_duplicates_make_no_square_of_a_dense_group(spark):
+    """Near copies around the least similarity: joins make a few rows for each, and the groups are those of all pairs."""
+    import corpus_pipeline
+    from tests.llm.fixtures import words
+    from tidewater.llm import similar
+
+    rng = random.Random(6)
+    base, rows = words(rng, 150).split(), []
+    for k in range(240):
+        copy = list(base)
+        for at in rng.sample(range(150), rng.choice((1, 2, 2, 3))):
+            copy[at] = f"changed{k}x{at}"
+        rows.append(" ".join(copy))
+    sets = [set(similar.shingles(similar.split(t)).tolist()) for t in rows]
+    roots = plain_components(sets, lambda a, b: 5 * len(a & b) >= 4 * len(a | b))
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    since = join_rows(spark)[1]
+    got = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    assert got == {min(i for i, q in enumerate(roots) if q == root) for root in set(roots)}
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    made = join_rows(spark, since)[0]
+    entries = sum(len(x) - -(-4 * len(x) // 5) + 1 for x in sets)
+    assert made and max(made) <= entries < len(rows) ** 2 / 2
+
+
+def test_parities_bound_the_difference():
+    from tidewater.llm.similar import PARITIES, parities
+
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 40, 300, 5000):
+        pool = np.unique(rng.integers(-(1 << 63), (1 << 63) - 1, n))
+        for share in (0.5, 0.9, 1.0):
+            x, y = (pool[rng.random(len(pool)) < share] for _ in range(2))
+            a, b = parities(x), parities(y)
+            assert len(a) == PARITIES and np.bitwise_count((a ^ b).view(np.uint64)).sum() <= len(np.setxor1d(x, y))
+
+
 def test_scratch_tables_take_few_bytes_at_a_time(spark):
     """A task holds a batch of a few MB, in the JVM and in Python, however long the texts; the session's setting stays."""
     from tidewater.llm.shared import BATCH_BYTES, Scratch, map_batches

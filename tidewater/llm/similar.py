@@ -9,9 +9,13 @@ their first n - ceil(0.8 n) + 1 shingles in any order common to all texts, so an
 index of these finds every link.  Shingles that are rare in all texts come first
 in the order; their counts, in a table of fixed size, bear on the work only, not
 on what is found.  Texts that are neighbours in buckets of the index are linked
-next; then the buckets are searched for links between different groups.  How
-many shingles two prefixes share bounds the similarity of their texts from
-above, so that few candidates are left, and those are verified too.
+next; then the buckets are searched for links between different groups, and the
+texts of the group that has most of a bucket aren't compared with each other.
+The join itself drops pairs that can't be similar: at the first shingle that two
+texts share, what comes from there on in their orders bounds what they share;
+and the differing bits of the parities of their shingles, counted by hash, are
+at most the shingles that only one of them has.  Pairs that are left are verified
+on the whole sets too.
 """
 
 from __future__ import annotations
@@ -33,6 +37,8 @@ SHINGLE, SEED = 5, 42
 LEAST = (4, 5)
 #: Bits of a shingle's hash that name its counter: the table has a fixed size whatever the input.
 COUNTERS = 18
+#: Words of 64 bits for a text's parities; and how far apart in a bucket texts are neighbours.  Both bear on the work only.
+PARITIES, NEIGHBOURS = 8, (1, 2)
 
 
 def split(text: str | None) -> list[bytes]:
@@ -64,6 +70,30 @@ def prefix(sets: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return sets[np.lexsort((sets, counts[counter(sets)]))[:first]]
 
 
+def parities(sets: np.ndarray) -> np.ndarray:
+    """Bits that say whether a set has an odd number of the shingles with a hash; two sets' differ in no more than the sets do."""
+    bits = 64 * PARITIES
+    odd = np.bincount(sets & (bits - 1), minlength=bits).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view("<i8")
+
+
+def least_shared(size: Column, other: Column) -> Column:
+    """How many shingles similar texts of so many share at least."""
+    return F.floor(((size + other) * LEAST[0] + sum(LEAST) - 1) / sum(LEAST))
+
+
+def first_can_be(size: Column, at: Column, other: Column, other_at: Column) -> Column:
+    """Whether a shingle at these places of similar texts' orders, from 0, can be the first that they share."""
+    least = least_shared(size, other)
+    return (at + least <= size) & (other_at + least <= other)
+
+
+def few_differ(size: Column, bits: Column, other: Column, other_bits: Column) -> Column:
+    """Whether texts with these parities can be similar."""
+    differ = sum((F.bit_count(bits[k].bitwiseXOR(other_bits[k])) for k in range(PARITIES)), F.lit(0))
+    return differ + 2 * least_shared(size, other) <= size + other
+
+
 def _counted(rows: DataFrame) -> np.ndarray:
     """How often the shingles of each counter occur in all texts; 2 ** COUNTERS numbers come to the driver, whatever the input."""
 
@@ -94,7 +124,7 @@ def similar_places(rows: DataFrame, scratch: Scratch) -> DataFrame:
 
     def prefixes(batches):
         for batch in slices(batches):
-            digests, sizes, firsts, prints = [], [], [], []
+            digests, sizes, firsts, prints, odd = [], [], [], [], []
             for text in batch.column(2).to_pylist():
                 words = split(text)
                 grams = hashes(words)
@@ -103,9 +133,11 @@ def similar_places(rows: DataFrame, scratch: Scratch) -> DataFrame:
                 digests.append(xxhash.xxh64_intdigest(b" ".join(words), SEED))
                 sizes.append(len(grams))
                 firsts.append(prefix(grams, counts.value))
+                odd.append(parities(grams))
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, firsts)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *firsts]).astype(np.int32)))
             fp, bits = (pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (digests, prints))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fp, bits, pa.array(sizes, pa.int64()), lists], ["doc_id", "text_hash", "fp", "bits", "size", "first"])
+            sums = pa.ListArray.from_arrays(pa.array(np.arange(len(odd) + 1) * PARITIES, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *odd])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fp, bits, pa.array(sizes, pa.int64()), lists, sums], ["doc_id", "text_hash", "fp", "bits", "size", "first", "odd"])
 
     def whole(batches):
         for batch in slices(batches):
@@ -113,13 +145,18 @@ def similar_places(rows: DataFrame, scratch: Scratch) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["fp", "grams"])
 
-    said = scratch.save(map_batches(rows.select("doc_id", "text_hash", "text"), prefixes, "doc_id long, text_hash long, fp long, bits long, size long, first array<int>"), "prefixes")
+    said = scratch.save(map_batches(rows.select("doc_id", "text_hash", "text"), prefixes, "doc_id long, text_hash long, fp long, bits long, size long, first array<int>, odd array<long>"), "prefixes")
     prints = said.select("doc_id", "text_hash", "fp")
     # the index: buckets of texts that share a shingle of their prefixes; 32 bits of its hash, which can only add candidates
-    index = said.select("fp", "size", "first").dropDuplicates(["fp"]).select("fp", "size", F.explode("first").alias("gram"))
-    beside = Window.partitionBy("gram").orderBy("size", "fp")
-    index = index.withColumns({"other": F.lag("fp").over(beside), "other_size": F.lag("size").over(beside), "next": F.lead("fp").over(beside)})
-    index = scratch.save(index.where("other IS NOT NULL OR next IS NOT NULL").drop("next"), "buckets")
+    index = said.select("fp", "size", "first").dropDuplicates(["fp"]).select("fp", "size", F.posexplode("first").alias("at", "gram"))
+    # neighbours are others in each bucket, so that a few links in each contract a dense group
+    beside = Window.partitionBy("gram").orderBy("size", F.xxhash64("fp", "gram"))
+    index = index.withColumns({f"n{k}": F.lag(F.struct("fp", "size", "at"), k).over(beside) for k in NEIGHBOURS} | {"next": F.lead("fp").over(beside)})
+    met = [F.when(first_can_be(F.col("size"), F.col("at"), F.col(f"n{k}.size"), F.col(f"n{k}.at")), F.col(f"n{k}.fp")) for k in NEIGHBOURS]
+    index = index.where("n1 IS NOT NULL OR next IS NOT NULL").select("gram", "fp", "size", "at", F.array_compact(F.array(*met)).alias("near"))
+    index = scratch.save(index, "buckets")
+    odds = said.join(index.select("fp").distinct().hint("merge"), "fp", "left_semi").select("fp", "size", "odd").dropDuplicates(["fp"])
+    odds = scratch.save(odds, "parities")
     one = scratch.save(prints.groupBy("fp").agg(F.min(F.struct("doc_id", "text_hash")).alias("one")).select("fp", "one.*"), "texts")
 
     def alike(pairs: DataFrame) -> DataFrame:
@@ -133,16 +170,6 @@ def similar_places(rows: DataFrame, scratch: Scratch) -> DataFrame:
         near = F.size(F.array_intersect("x", "y")) * sum(LEAST) >= (F.size("x") + F.size("y")) * LEAST[0]
         return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").where(near).select("a", "b")
 
-    def likely(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) that can be links among candidates (a, a_size, b, b_size), a row for each shingle that their prefixes share.
-
-        Of a text's shared shingles those beyond its prefix number at most its size less the prefix.
-        """
-        small, large = F.least("a_size", "b_size"), F.greatest("a_size", "b_size")
-        beyond = F.floor((large * LEAST[0] + LEAST[1] - 1) / LEAST[1]) - 1
-        pairs = pairs.where((F.col("a") != F.col("b")) & (small * LEAST[1] >= large * LEAST[0])).groupBy("a", "b", "a_size", "b_size").agg(F.count(F.lit(1)).alias("n"))
-        return pairs.where((F.col("n") + beyond) * sum(LEAST) >= (small + large) * LEAST[0]).select("a", "b")
-
     # the SimHash search: a text for each fingerprint, and the texts that share it
     marked = said.select("fp", "bits").distinct()
     named = scratch.save(marked.groupBy("bits").agg(F.min("fp").alias("text")), "fingerprints")
@@ -158,18 +185,22 @@ def similar_places(rows: DataFrame, scratch: Scratch) -> DataFrame:
     by_bits = found.join(names[0], "a").join(names[1], "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     same = marked.join(named.hint("merge"), "bits").where("fp <> text").select(F.least("text", "fp").alias("a"), F.greatest("text", "fp").alias("b"))
 
-    def ordered(fp: str, size: str, other: str, other_size: str) -> list[Column]:
-        first = F.col(fp) < F.col(other)
-        return [F.least(fp, other).alias("a"), F.when(first, F.col(size)).otherwise(F.col(other_size)).alias("a_size"), F.greatest(fp, other).alias("b"), F.when(first, F.col(other_size)).otherwise(F.col(size)).alias("b_size")]
-
     # then the prefix filter's neighbours, and what is left between different groups
-    near = likely(index.where("other IS NOT NULL").select(*ordered("fp", "size", "other", "other_size")))
+    near = index.select("fp", F.explode("near").alias("o")).select(F.least("fp", "o").alias("a"), F.greatest("fp", "o").alias("b")).distinct()
+    ends = [odds.select(F.col("fp").alias(x), F.col("size").alias(f"{x}_size"), F.col("odd").alias(f"{x}_odd")).hint("merge") for x in "ab"]
+    near = near.join(ends[0], "a").join(ends[1], "b").where(few_differ(*map(F.col, ("a_size", "a_odd", "b_size", "b_odd")))).select("a", "b")
     dense = scratch.save(components(by_bits.unionByName(alike(same.unionByName(near).distinct())), scratch), "dense")
-    rooted = index.select("fp", "size", "gram").join(dense.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp")).drop("component")
+    rooted = index.drop("near").join(dense.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp")).drop("component")
     rooted = scratch.save(rooted, "rooted")
-    other = rooted.select("gram", F.col("fp").alias("o"), F.col("size").alias("o_size"), F.col("root").alias("o_root"))
-    close = F.least("size", "o_size") * LEAST[1] >= F.greatest("size", "o_size") * LEAST[0]
-    apart = rooted.join(other.hint("merge"), (rooted["gram"] == other["gram"]) & (F.col("fp") < F.col("o")) & (F.col("root") != F.col("o_root")) & close)
-    links = alike(likely(apart.select(*ordered("fp", "size", "o", "o_size"))))
+    # of buckets with different groups, the texts of the group that has most are met by the others only
+    mains = rooted.groupBy("gram", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("gram").agg(F.max(F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("roots"))
+    mains = mains.where("roots > 1").select("gram", F.col("main.root").alias("main"))
+    mixed = rooted.join(mains.hint("merge"), "gram").withColumn("own", F.col("root") == F.col("main")).drop("main")
+    mixed = scratch.save(mixed.join(odds.drop("size").hint("merge"), "fp"), "mixed")
+    other = mixed.select("gram", *(F.col(x).alias(f"o_{x}") for x in ("fp", "size", "at", "root", "own", "odd")))
+    once = F.col("o_own") | (F.col("fp") < F.col("o_fp"))
+    can = first_can_be(*map(F.col, ("size", "at", "o_size", "o_at"))) & few_differ(*map(F.col, ("size", "odd", "o_size", "o_odd")))
+    apart = mixed.where("NOT own").join(other.hint("merge"), "gram").where((F.col("root") != F.col("o_root")) & once & can)
+    links = alike(apart.select(F.least("fp", "o_fp").alias("a"), F.greatest("fp", "o_fp").alias("b")).distinct())
     roots = components(links.unionByName(dense.select(F.col("node").alias("a"), F.col("component").alias("b"))), scratch)
     return prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("doc_id", "text_hash", F.coalesce("component", "fp").alias("root"))
