@@ -538,6 +538,53 @@ def test_lattices_are_weighed_once(monkeypatch):
     assert g.passed(rows, u).tolist() == (rows <= u[:, None]).sum(1).tolist()
 
 
+def test_lattice_rows_hold_edges_only():
+    """A node's edges are side by side in rows of eight, which get wider for a node of more, and all are those of a plain backward sum."""
+    from tidewater.llm import gumbel_pieces as g
+
+    lattices = g.Lattices(g.piece_lattices().table)
+    words = lattices.table.words
+
+    def check(token):
+        after, at = [0.0] * (len(token) + 1), lattices.first[lattices.index[token]]
+        for i in reversed(range(len(token))):
+            own = [(words.id_of[token[i:j]], j - i, words.score[token[i:j]] + after[j]) for j in range(i + 1, min(len(token), i + words.longest) + 1) if token[i:j] in words.id_of]
+            if token[i] not in words.id_of:
+                own.insert(0, (-2 - ord(token[i]), 1, len(token[i].encode()) * words.byte_score + after[i + 1]))
+            after[i] = float(np.logaddexp.reduce([x for *_, x in own]))
+            n, p = len(own), np.exp([x - after[i] for *_, x in own])
+            assert lattices.id[at + i, :n].tolist() == [x for x, *_ in own] and lattices.size[at + i, :n].tolist() == [x for _, x, _ in own]
+            assert np.allclose(lattices.p[at + i, :n], p) and not lattices.p[at + i, n:].any()
+            assert np.allclose(lattices.upto[at + i, : n - 1], np.cumsum(p)[:-1]) and (lattices.upto[at + i, n - 1 :] == 2).all()
+
+    tokens = [" the", "x", " segmentations", "é☃日😀a", " aieuxré.", "☃" * 400 + " A"]
+    lattices.places(tokens)
+    assert lattices.width == 8 and lattices.id.shape[1] == lattices.p.shape[1] == 8
+    list(map(check, tokens))
+    deepest = max(words.id_of, key=lambda p: sum(p[:n] in words.id_of for n in range(1, len(p) + 1)))
+    more = [" internationalization", deepest, deepest * 3]
+    lattices.places([*more, " the"])
+    assert lattices.width == 16
+    list(map(check, tokens + more))
+
+
+def test_sets_are_weighed_once(monkeypatch):
+    """The sets that leave a path are weighed once for all that are drawn, and again where what is left is far less likely."""
+    from tidewater.llm import gumbel_pieces as g
+
+    lattices, weighed = g.piece_lattices(), []
+
+    class Counted:
+        def __getattr__(self, name):
+            return (lambda x: (np.ndim(x) and weighed.append(len(x)), np.exp(x))[1]) if name == "exp" else getattr(np, name)
+
+    lattices.places(g.pre_tokens("one of the internationalization"))
+    monkeypatch.setattr(g, "np", Counted())
+    found = g.sample_texts(["one of the internationalization"] * 20, list(range(20)), lattices, k=3)
+    assert all(len({tuple(x["ids"].tolist()) for x in f}) == 3 for f in found)
+    assert len(weighed) == 3  # of the sets of the first, second and third paths
+
+
 def test_gumbel_top_k_distribution():
     from tidewater.llm.gumbel_pieces import piece_lattices, sample_texts
 

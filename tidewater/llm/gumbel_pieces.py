@@ -19,7 +19,8 @@ from __future__ import annotations
 
 import math
 import zlib
-from itertools import chain
+from collections import defaultdict
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -115,41 +116,61 @@ def passed(upto: np.ndarray, u: np.ndarray) -> np.ndarray:
     return out
 
 
-class Places(dict):
-    """Pre-token to its number, in the order in which they are met; ``new`` has those whose lattices aren't built."""
+class Places(defaultdict):
+    """Pre-token to its number, in the order in which they are met."""
 
     def __init__(self, names=()):
-        super().__init__((name, n) for n, name in enumerate(names))
-        self.new: list[str] = []
+        super().__init__(None, zip(names, count(), strict=False))
+        self.default_factory = count(len(self)).__next__
 
-    def __missing__(self, token: str) -> int:
-        n = self[token] = len(self)
-        self.new.append(token)
-        return n
+    def since(self, size: int) -> list[str]:
+        """Those that were met after the first ``size``."""
+        return list(islice(reversed(self), len(self) - size))[::-1]
 
 
 class Lattices:
     """The lattices of distinct pre-tokens, kept from one call to the next; nodes of all of them end to end.
 
-    p[node, k]: probability of the edge of k + 1 characters, 0 where there is
-    none; id[node, k]: its piece, or -2 minus the character for one that is
-    bytes; upto[node, k]: probability of the edges up to it.  Beyond NODES_KEPT
-    nodes only frequent pre-tokens are kept.
+    Few pieces begin at a node, so its edges are numbered by their lengths:
+    p[node, k]: probability of edge k, 0 where there is none; id[node, k]: its
+    piece, or -2 minus the character for one that is bytes; size[node, k]: its
+    characters (both anything where there is no edge); upto[node, k]:
+    probability of the edges up to it, 2 from the last on.  Rows get wider when
+    a node has more edges.  Beyond NODES_KEPT nodes only frequent pre-tokens
+    are kept.
     """
 
     def __init__(self, table: PieceTable):
         self.table, self.longest = table, table.words.longest
-        self.width = -(-self.longest // 8) * 8  # eight comparisons are counted as one number
         self.clear()
 
     def clear(self) -> None:
         self.index = Places()
         self.first, self.sizes, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
         self.hits = np.zeros(0, np.int64)
-        self.id, self.p, self.upto = self._room(2 * NODES_KEPT)
-
-    def _room(self, nodes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return np.empty((nodes, self.width), np.int32), np.empty((nodes, self.width)), np.empty((nodes, self.width), np.float32)
+        self.width = 8  # eight comparisons are counted as one number
+        self.rows = self._room(2 * NODES_KEPT)
+
+    @property
+    def rows(self) -> tuple[np.ndarray, ...]:
+        return self.id, self.p, self.upto, self.size
+
+    @rows.setter
+    def rows(self, rows: tuple[np.ndarray, ...]) -> None:
+        self.id, self.p, self.upto, self.size = rows
+
+    def _room(self, nodes: int) -> tuple[np.ndarray, ...]:
+        return tuple(np.empty((nodes, self.width), kind) for kind in (np.int32, np.float64, np.float32, np.int16))
+
+    def _reserve(self, nodes: int, edges: int) -> None:
+        """Rows for so many nodes in all, of so many edges at most."""
+        if nodes <= len(self.id) and edges <= self.width:
+            return
+        old, was = self.rows, self.width
+        self.width = max(was, -(-edges // 8) * 8)
+        self.rows = self._room(max(nodes, len(self.id)))
+        for x, y, none in zip(old, self.rows, (-1, 0, 2, 0), strict=True):
+            y[: self.used, :was], y[: self.used, was:] = x[: self.used], none
 
     def _forget(self) -> None:
         """Leave the most frequent pre-tokens that were met more than once, to half of the bound."""
@@ -158,12 +179,11 @@ class Lattices:
         often = often[(self.hits[often] > 1) & (np.cumsum(sizes[often]) <= NODES_KEPT // 2)]
         names, at = list(self.index), np.repeat(self.first[often] - np.cumsum(sizes[often]) + sizes[often], sizes[often])
         at += np.arange(len(at))
+        old = self.rows
         if len(self.id) > 2 * NODES_KEPT:  # for one very long text
-            old, (self.id, self.p, self.upto) = (self.id, self.p, self.upto), self._room(2 * NODES_KEPT)
-        else:
-            old = self.id, self.p, self.upto
-        for x, y in zip(old, (self.id, self.p, self.upto), strict=True):
-            y[: len(at)] = x[at]
+            self.rows = self._room(2 * NODES_KEPT)
+        for x, y in zip(old, self.rows, strict=True):
+            y[: len(at)] = np.take(x, at, axis=0)
         self.index = Places(names[i] for i in often.tolist())
         self.sizes = sizes[often]
         self.first, self.used = np.cumsum(self.sizes) - self.sizes, int(self.sizes.sum())
@@ -174,110 +194,129 @@ class Lattices:
         if self.used > NODES_KEPT:
             self._forget()
         out = np.fromiter(map(self.index.__getitem__, tokens), dtype=np.int64, count=len(tokens))
-        if self.index.new:
-            self._build(self.index.new)
-            self.index.new = []
+        if new := self.index.since(len(self.sizes)):
+            self._build(new)
         self.hits += np.bincount(out, minlength=len(self.hits))
         return out
 
     def _build(self, texts: list[str]) -> None:
-        """Add the lattices of texts, nodes in order of their length."""
+        """Add the lattices of texts, in order of their lengths.
+
+        While they are weighed, nodes are in levels, by their characters to the
+        end, the longest text first: a level's texts are the first of those of
+        the level before it.  Edges are in order of nodes and lengths.
+        """
         table, words, longest = self.table, self.table.words, self.longest
         lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
         order = np.argsort(lengths, kind="stable")
-        sizes, texts = lengths[order], [texts[i] for i in order.tolist()]
+        sizes, texts = lengths[order], list(map(texts.__getitem__, order.tolist()))
         ends = np.cumsum(sizes)
-        n = int(ends[-1])
+        n, m, most = int(ends[-1]), len(texts), int(sizes[-1])
         chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
-        left = np.repeat(ends, sizes) - np.arange(n)  # characters from each node to its pre-token's end
-        base = self.used
-        if base + n > len(self.id):
-            old, room = (self.id, self.p, self.upto), self._room(base + n)
-            for x, y in zip(old, room, strict=True):
-                y[:base] = x[:base]
-            self.id, self.p, self.upto = room
-        ids, p, upto = self.id[base : base + n], self.p[base : base + n], self.upto[base : base + n]
-        ids[:], p[:], upto[:] = -1, 0, 2
-        inside, keys = np.arange(n), np.zeros(n, np.uint64)
-        last = np.zeros(n, np.int64)  # each node's longest edge
+        counts = np.cumsum(np.bincount(sizes)[::-1])[::-1]  # of each level; level 0 are the ends
+        heads = np.cumsum(counts) - counts
+        level = np.repeat(np.arange(most + 1), counts)[m:]
+        line = np.arange(m, m + n) - heads[level]
+        at = ends[::-1][line] - level  # the nodes' places in the texts
+        inside, keys, to = np.arange(n), np.zeros(n, np.uint64), at
+        degree, pieces, found_at = np.ones(n, np.int64), [], []  # each character is an edge
         for k in range(longest):
-            keys = (keys + chars[inside + k] + np.uint64(1)) * _A
+            keys = (keys + chars[to + k] + np.uint64(1)) * _A
             keys ^= keys >> np.uint64(29)
             found = table.find(keys)
             if k == 0:
-                unknown = inside[found < 0]
-                if len(unknown):
-                    ids[unknown, 0] = -2 - chars[unknown].astype(np.int64)
-                    c = chars[unknown]
-                    p[unknown, 0] = np.exp((1 + (c >= 0x80).astype(int) + (c >= 0x800) + (c >= 0x10000)) * words.byte_score)
-            hit = found >= 0
-            at, own = inside[hit], found[hit]
-            ids[at, k], p[at, k] = own, table.chance[own]
-            last[at] = k
-            more = (found != table.NOTHING) & (left[inside] > k + 1)
-            inside, keys = inside[more], keys[more]
+                single = found
+            else:
+                hit = np.flatnonzero(found >= 0)
+                own = inside[hit]
+                pieces.append(found[hit])
+                found_at.append((own, degree[own]))
+                degree[own] += 1
+            if k + 1 >= most:
+                break
+            ended = int(np.searchsorted(inside, heads[k + 2] - m))  # nodes of k + 1 characters come first
+            more = ended + np.flatnonzero(found[ended:] != table.NOTHING)
+            inside, keys, to = inside[more], keys[more], to[more]
             if not len(inside):
                 break
-        # backward sums, the nodes of all pre-tokens of some lengths that are as far from their ends together;
+        start = np.cumsum(degree) - degree
+        edges = int(degree.sum())
+        ids, length, rank = np.empty(edges, np.int32), np.ones(edges, np.int16), np.zeros(edges, np.int16)
+        ids[start] = single
+        for k, (found, (own, r)) in enumerate(zip(pieces, found_at, strict=True), 2):
+            e = start[own] + r
+            ids[e], length[e], rank[e] = found, k, r
+        p = np.take(table.chance, ids, mode="clip")
+        unknown = np.flatnonzero(single < 0)
+        if len(unknown):
+            c, e = chars[at[unknown]], start[unknown]
+            ids[e] = -2 - c.astype(np.int64)
+            p[e] = np.exp((1 + (c >= 0x80).astype(int) + (c >= 0x800) + (c >= 0x10000)) * words.byte_score)
+        to = heads[np.repeat(level, degree) - length] + np.repeat(line, degree)
+        # backward sums by levels;
         # exponent: what the sums were scaled by, in steps that keep them far from the smallest numbers
-        after, exponent, scaled = np.zeros(n + 1), np.zeros(n + 1, np.int64), False
-        for d in range(1, int(sizes[-1]) + 1):
-            own = ends[np.searchsorted(sizes, d) :] - d
-            m = min(d, longest)
-            weight = p[own, :m]
-            nxt = np.empty_like(weight)
-            for k in range(m):
-                nxt[:, k] = 1.0 if k + 1 == d else after[own + k + 1]
-            if scaled:
-                scale = exponent[own + 1]
-                for k in range(1, m):  # of later nodes, which were scaled less or as much
-                    nxt[:, k] = np.ldexp(nxt[:, k], (scale - (0 if k + 1 == d else exponent[own + k + 1])).clip(-2000, 2000).astype(np.int32))
-            weight *= nxt
-            total = weight.sum(1)
-            weight /= total[:, None]
-            p[own, :m] = weight
-            sums = np.cumsum(weight, 1)
-            # rounding mustn't lead beyond the last edge
-            sums[np.arange(m) >= last[own][:, None]] = 2
-            upto[own, :m] = sums
+        after, exponent, totals, scaled = np.ones(m + n), np.zeros(m + n, np.int64), np.empty(n), False
+        cuts = np.append(start, edges)[heads[1:] - m].tolist() + [edges]
+        begins, widths = heads.tolist(), counts.tolist()
+        for d in range(1, most + 1):
+            begin, size, a, b = begins[d], widths[d], cuts[d - 1], cuts[d]
+            nxt = after[to[a:b]]
+            scale = exponent[begins[d - 1] : begins[d - 1] + size]
+            if scaled:  # later nodes were scaled less or as much
+                nxt = np.ldexp(nxt, (scale[np.repeat(line[begin - m : begin - m + size], degree[begin - m : begin - m + size])] - exponent[to[a:b]]).clip(-2000, 2000).astype(np.int32))
+            p[a:b] *= nxt
+            total = totals[begin - m : begin - m + size] = np.add.reduceat(p[a:b], start[begin - m : begin - m + size] - a)
             if scaled or total.min() < TINY:
                 scaled = True
                 shift = np.frexp(total)[1]
-                exponent[own] = (exponent[own + 1] if d > 1 else 0) - shift
+                exponent[begin : begin + size] = scale - shift
                 total = np.ldexp(total, -shift)
-            after[own] = total
+            after[begin : begin + size] = total
+        p /= np.repeat(totals, degree)
+        upto = p.copy()
+        widest = int(degree.max())
+        for r in range(1, widest):
+            e = np.flatnonzero(rank == r)
+            upto[e] += upto[e - 1]
+        upto[start + degree - 1] = 2  # rounding mustn't lead beyond the last edge
+        base = self.used
+        self._reserve(base + n, widest)
+        self.p[base : base + n], self.upto[base : base + n] = 0, 2
+        flat = np.repeat((base + at) * self.width, degree) + rank
+        for x, y in zip(self.rows, (ids, p, upto, length), strict=True):
+            x.ravel()[flat] = y
         first = np.empty(len(texts), np.int64)
         first[order] = base + ends - sizes
         self.first, self.sizes, self.used = np.concatenate([self.first, first]), np.concatenate([self.sizes, lengths]), base + n
         self.hits = np.concatenate([self.hits, np.zeros(len(texts), np.int64)])
 
-    def walk(self, pre: np.ndarray, pos: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sample paths from a position of each pre-token to its end: (line, node, edge) in order of line and step.
+    def walk(self, pre: np.ndarray, pos: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sample paths from a position of each pre-token to its end: the lines' numbers of steps, and the steps' edges in order of line and step.
 
-        A line is a pre-token of the input, whose random numbers come from its key and the positions.
+        A line is a pre-token of the input, whose random numbers come from its
+        key and the positions.  An edge is its node times the width, and its number there.
         """
-        nodes, edges, lines = [], [], []
+        edges, lines = [], []
         began = self.first[pre]
         end = began + self.sizes[pre]
         live = np.flatnonzero(began + pos < end)
         own, stop, key = (began + pos)[live], end[live], (keys - began.astype(np.uint64))[live]
         steps = np.zeros(len(pre), np.int64)
+        sizes = self.size.ravel()
         while len(live):
             u = uniform(key + own.astype(np.uint64)).astype(np.float32)
-            k = passed(np.take(self.upto, own, axis=0), u)
+            edge = own * self.width + passed(np.take(self.upto, own, axis=0), u)
             lines.append(live)
-            nodes.append(own)
-            edges.append(k)
+            edges.append(edge)
             steps[live] += 1
-            own = own + k + 1
-            more = own < stop
+            own = own + np.take(sizes, edge)
+            more = np.flatnonzero(own < stop)
             live, own, stop, key = live[more], own[more], stop[more], key[more]
         start = np.cumsum(steps) - steps
-        out = np.empty((2, int(steps.sum())), np.int64)
-        for r, (line, n, e) in enumerate(zip(lines, nodes, edges, strict=True)):
-            where = start[line] + r
-            out[0, where], out[1, where] = n, e
-        return np.repeat(np.arange(len(pre)), steps), out[0], out[1]
+        out = np.empty(int(steps.sum()), np.int64)
+        for r, (line, edge) in enumerate(zip(lines, edges, strict=True)):
+            out[start[line] + r] = edge
+        return steps, out
 
 
 def cut_gumbel(location: np.ndarray, top: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -289,13 +328,13 @@ def cut_gumbel(location: np.ndarray, top: np.ndarray, u: np.ndarray) -> np.ndarr
 
 
 class Path:
-    """A segmentation: its steps' lines, nodes, edges, log-probabilities and ids, and its perturbed value."""
+    """A segmentation: its steps' lines, edges, log-probabilities and ids, and its perturbed value."""
 
-    __slots__ = ("value", "lines", "nodes", "edges", "logs", "ids", "begin", "before", "excluded", "key")
+    __slots__ = ("value", "lines", "edges", "logs", "ids", "begin", "before", "excluded", "key")
 
     def __init__(self, value, steps, begin, excluded, key):
         self.value, self.begin, self.excluded, self.key = value, begin, excluded, key
-        self.lines, self.nodes, self.edges, self.logs, self.ids = steps
+        self.lines, self.edges, self.logs, self.ids = steps
         self.before = float(self.logs[:begin].sum()) if begin else 0.0
 
     def until(self, far: float) -> int:
@@ -326,7 +365,7 @@ def open_sets(paths: list[Path], lattices: Lattices, keep: int, far: float = FAR
     if not len(filled):
         return out
     cut = [(p.begin, p.begin + n) for p, n in zip(paths, sizes.tolist(), strict=True)]
-    nodes, edges, logs = (np.concatenate([getattr(p, name)[a:b] for p, (a, b) in zip(paths, cut, strict=True)]) for name in ("nodes", "edges", "logs"))
+    edges, logs = (np.concatenate([getattr(p, name)[a:b] for p, (a, b) in zip(paths, cut, strict=True)]) for name in ("edges", "logs"))
     ends = np.cumsum(sizes)
     starts = (ends - sizes)[filled]
     own = np.repeat(np.arange(len(filled)), sizes[filled])
@@ -336,17 +375,21 @@ def open_sets(paths: list[Path], lattices: Lattices, keep: int, far: float = FAR
     near = logs > NEAR_ONE
     near[[at for at, _ in heads]] = True
     near = np.flatnonzero(near)
-    rows = lattices.p[nodes[near]]
-    rows[np.arange(len(rows)), edges[near]] = 0
+    nodes, own_edge = np.divmod(edges[near], lattices.width)
+    several = np.flatnonzero(np.take(lattices.upto.ravel(), nodes * lattices.width) < 2)  # of one edge, nothing is beside it
+    near, nodes, own_edge = near[several], nodes[several], own_edge[several]
+    rows = np.take(lattices.p, nodes, axis=0)
+    rows[np.arange(len(rows)), own_edge] = 0
     for row, (_, excluded) in zip(np.searchsorted(near, [at for at, _ in heads]).tolist(), heads, strict=True):
         rows[row, excluded] = 0
     rest[near] = rows.sum(1)
     with np.errstate(divide="ignore"):
         rest = np.log(rest)
-    before = np.cumsum(logs)
+    before = np.cumsum(logs) - logs
     shift = np.array([paths[i].before for i in filled.tolist()])
-    upto = before - logs - (before - logs)[starts][own] + shift[own]
-    beyond = np.where(total[filled] > sizes[filled], (upto + logs)[ends[filled] - 1], -np.inf)
+    upto = before - before[starts][own] + shift[own]
+    lasts = ends[filled] - 1
+    beyond = np.where(total[filled] > sizes[filled], upto[lasts] + logs[lasts], -np.inf)
     location = upto + rest
     top = np.array([paths[i].value for i in filled.tolist()])
     keys = np.array([paths[i].key for i in filled.tolist()], np.uint64)
@@ -360,19 +403,21 @@ def open_sets(paths: list[Path], lattices: Lattices, keep: int, far: float = FAR
         live &= (most > -np.inf) & ~whole
         if not live.any():
             break
-        weight = np.exp(location - np.where(live, most, np.inf)[own])
+        if r == 0 or (unit[live] - most[live] > UNSEEN).any():  # else the weights of the round before do, less the sets taken
+            unit = np.where(live, most, np.inf)
+            weight = np.exp(location - unit[own])
         sums = np.cumsum(weight)
         mass = np.add.reduceat(weight, starts)
         with np.errstate(divide="ignore"):
-            value = cut_gumbel(np.where(live, most, 0.0) + np.log(np.where(live, mass, 1.0)), top, uniform(keys + np.uint64(2 * r)))
-        target = (sums - weight)[starts] + uniform(keys + np.uint64(2 * r + 1)) * mass
-        at = np.clip(np.searchsorted(sums, target, side="right"), starts, ends[filled] - 1)
+            value = cut_gumbel(np.where(live, unit, 0.0) + np.log(np.where(live, mass, 1.0)), top, uniform(keys + np.uint64(2 * r)))
+        target = sums[starts] - weight[starts] + uniform(keys + np.uint64(2 * r + 1)) * mass
+        at = np.clip(np.searchsorted(sums, target, side="right"), starts, lasts)
         # a set of no weight is taken by rounding only: the heaviest stands for it
         for j in np.flatnonzero(live & (weight[at] == 0)).tolist():
             at[j] = starts[j] + int(weight[starts[j] : ends[filled[j]]].argmax())
         for j in np.flatnonzero(live).tolist():
             found[j].append((float(value[j]), int(at[j] - starts[j]) + paths[filled[j]].begin))
-        location[at[live]] = -np.inf
+        location[at[live]], weight[at[live]] = -np.inf, 0
         top = np.where(live, value, top)
     for j, i in enumerate(filled.tolist()):
         out[i] = found[j]
@@ -386,14 +431,14 @@ def open_sets(paths: list[Path], lattices: Lattices, keep: int, far: float = FAR
 class Search:
     """The frontier of one text, and the paths taken."""
 
-    def __init__(self, key: np.uint64):
-        self.key, self.paths, self.frontier = key, [], []
+    def __init__(self):
+        self.paths, self.frontier = [], []
 
-    def take(self, path: Path, sets: list[tuple[float, int]]) -> None:
+    def take(self, path: Path, sets: list[tuple[float, int]], width: int) -> None:
         """Add a path and the sets that leave it."""
         n = len(self.paths)
         self.paths.append(path)
-        self.frontier += [(g, n, s, [*(path.excluded if s == path.begin else []), int(path.edges[s])]) for g, s in sets]
+        self.frontier += [(g, n, s, [*(path.excluded if s == path.begin else []), int(path.edges[s]) % width]) for g, s in sets]
         self.frontier.sort(key=lambda x: -x[0])
 
 
@@ -410,36 +455,35 @@ def sample_texts(texts: list[str], keys: list[int], lattices: Lattices, k: int =
     flat = lattices.places(list(chain.from_iterable(parts)))
     row_keys = mix(np.array([x & (2**64 - 1) for x in keys], dtype=np.uint64) + np.array([seed], np.uint64) * _A)
     token_keys = mix(np.repeat(row_keys, counts) + (np.arange(len(flat)) - np.repeat(offset[:-1], counts)).astype(np.uint64) * _C)
-    searches = [Search(key) for key in row_keys]
+    searches = [Search() for _ in texts]
 
     def path_keys(sample: int) -> np.ndarray:
         return mix(row_keys + np.array([1_000_003 + sample], np.uint64) * _B)
 
     def walked(lines: np.ndarray, pos: np.ndarray, sample: int):
-        at, nodes, edges = lattices.walk(flat[lines], pos, mix(token_keys[lines] + np.array([sample + 1], np.uint64) * _B))
-        flat_edges = nodes * lattices.width + edges
-        return at, (lines[at], nodes, edges, np.log(np.take(lattices.p.ravel(), flat_edges)), np.take(lattices.id.ravel(), flat_edges))
+        """Where each line's steps begin, and the end of the last's; and the steps."""
+        steps, edges = lattices.walk(flat[lines], pos, mix(token_keys[lines] + np.array([sample + 1], np.uint64) * _B))
+        return np.append(0, np.cumsum(steps)), (np.repeat(lines, steps), edges, np.log(np.take(lattices.p.ravel(), edges)), np.take(lattices.id.ravel(), edges))
 
     # first paths, all together
     at, steps = walked(np.arange(len(flat)), np.zeros(len(flat), np.int64), 0)
-    ends = np.searchsorted(at, offset).tolist()
+    ends = at[offset].tolist()
     roots = (-np.log(-np.log(uniform(row_keys + np.array([1_000_001], np.uint64))))).tolist()
     made = [Path(roots[i], [x[a:b] for x in steps], 0, [], key) for i, (a, b, key) in enumerate(zip(ends, ends[1:], path_keys(0), strict=False))]
     for search, path, sets in zip(searches, made, open_sets(made, lattices, k), strict=True):
-        search.take(path, sets)
+        search.take(path, sets, lattices.width)
     for sample in range(1, k):
         going = [i for i, s in enumerate(searches) if s.frontier and len(s.paths) == sample]
         if not going:
             break
         starts, own_keys = [], path_keys(sample)
-        for i in going:
-            search = searches[i]
-            value, parent, step, excluded = search.frontier.pop(0)
-            path = search.paths[parent]
-            node = int(path.nodes[step])
+        tops = [searches[i].frontier.pop(0) for i in going]
+        us = uniform(mix(row_keys[going] + np.array([2_000_003 + sample], np.uint64) * _B) + np.array([step for _, _, step, _ in tops], np.uint64)).tolist()
+        for i, u, (value, parent, step, excluded) in zip(going, us, tops, strict=True):
+            path = searches[i].paths[parent]
+            node = int(path.edges[step]) // lattices.width
             weights = lattices.p[node].copy()
             weights[excluded] = 0
-            u = float(uniform(mix(search.key + np.array([2_000_003 + sample], np.uint64) * _B) + np.array([step], np.uint64))[0])
             upto = np.cumsum(weights)
             edge = int(min(np.searchsorted(upto, u * upto[-1], side="right"), np.flatnonzero(weights)[-1]))
             starts.append((i, value, path, step, excluded, node, edge, int(path.lines[step])))
@@ -448,17 +492,17 @@ def sample_texts(texts: list[str], keys: list[int], lattices: Lattices, k: int =
         heads = np.cumsum(sizes) - sizes
         where = np.arange(int(sizes.sum())) + np.repeat(lasts - heads, sizes)
         begin = np.zeros(len(where), np.int64)
-        begin[heads] = [node + edge + 1 for *_, node, edge, _ in starts] - lattices.first[flat[lasts]]
+        begin[heads] = [node + int(lattices.size[node, edge]) for *_, node, edge, _ in starts] - lattices.first[flat[lasts]]
         at, steps = walked(where, begin, sample)
-        ends = np.searchsorted(at, np.append(heads, len(where))).tolist()
+        ends = at[np.append(heads, len(where))].tolist()
         made = []
         for (i, value, path, step, excluded, node, edge, line), a, b in zip(starts, ends, ends[1:], strict=False):
-            first = (line, node, edge, math.log(lattices.p[node, edge]), lattices.id[node, edge])
-            old = (path.lines, path.nodes, path.edges, path.logs, path.ids)
+            first = (line, node * lattices.width + edge, math.log(lattices.p[node, edge]), lattices.id[node, edge])
+            old = (path.lines, path.edges, path.logs, path.ids)
             own = [np.concatenate([x[:step], np.array([f], x.dtype), y[a:b]]) for x, f, y in zip(old, first, steps, strict=True)]
             made.append(Path(value, own, step, excluded, own_keys[i]))
         for i, path, sets in zip(going, made, open_sets(made, lattices, k - sample), strict=True):
-            searches[i].take(path, sets)
+            searches[i].take(path, sets, lattices.width)
     out = []
     for search in searches:
         threshold = search.frontier[0][0] if search.frontier else -np.inf
@@ -469,10 +513,9 @@ def sample_texts(texts: list[str], keys: list[int], lattices: Lattices, k: int =
                 spelt = [words.fallback(chr(-2 - i)) for i in ids[unknown].tolist()]
                 sizes = np.ones(len(ids), np.int64)
                 sizes[unknown] = list(map(len, spelt))
-                known = np.repeat(ids >= 0, sizes)
                 ids = np.repeat(ids, sizes)
-                ids[~known] = list(chain.from_iterable(spelt))
-            inclusion = float(-np.expm1(-np.exp(min(log - threshold, 700.0)))) if np.isfinite(threshold) else 1.0
+                ids[ids < 0] = list(chain.from_iterable(spelt))
+            inclusion = -math.expm1(-math.exp(min(log - threshold, 700.0))) if math.isfinite(threshold) else 1.0
             rows.append({"ids": ids, "log_prob": log, "perturbed": path.value, "inclusion": inclusion})
         out.append(rows)
     return out
