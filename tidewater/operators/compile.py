@@ -615,16 +615,19 @@ class Compiler:
         if apart is not None:
             names[apart] |= set(by[apart].rid)
 
+        # a product of two such numbers that a bigint doesn't hold is refused, as the number of the join's rows would be
+        whole = "bigint" if len(by) == 2 else "decimal(20,0)"
+
         def rows(s: Source) -> DataFrame:
             df = reduce(DataFrame.where, alone[s.alias], self.scan(s.table, s.alias, s.prefix)[0])
             cols = {s.prefix + n: Typed(quoted(s.prefix + n), s.kinds.get(n, "")) for n in sorted(names[s.alias])} | kept[s.alias]
             values = (partial or {}).get(s.alias, {})
             unique = getattr(self.catalog.table(s.table), "unique", frozenset())
             if s.alias == apart or unique & names[s.alias] or s.keyed and set(s.rid) <= names[s.alias]:
-                return df.select(*(t.col.alias(n) for n, t in cols.items()), F.lit(1).cast("decimal(20,0)").alias(f"__rows.{s.alias}"), *(row.alias(n) for n, (_, row) in values.items()))
+                return df.select(*(t.col.alias(n) for n, t in cols.items()), F.lit(1).cast(whole).alias(f"__rows.{s.alias}"), *(row.alias(n) for n, (_, row) in values.items()))
             keys = {n: [f"__by{i}_{k}" for k in range(len(identity(t)))] for i, (n, t) in enumerate(cols.items())}
             df = df.groupBy(*(c.alias(k) for n, t in cols.items() for c, k in zip(identity(t), keys[n], strict=True)))
-            df = df.agg(F.count(F.lit(1)).cast("decimal(20,0)").alias(f"__rows.{s.alias}"), *(together.alias(n) for n, (together, _) in values.items()))
+            df = df.agg(F.count(F.lit(1)).cast(whole).alias(f"__rows.{s.alias}"), *(together.alias(n) for n, (together, _) in values.items()))
             df = df.where(quoted(f"__rows.{s.alias}") > 0)  # of an empty source no row, also where nothing is read of it
             return df.select(*(S.with_zero(*map(F.col, k)).alias(n) if len(k) > 1 else F.col(k[0]).alias(n) for n, k in keys.items()), quoted(f"__rows.{s.alias}"), *values)
 
